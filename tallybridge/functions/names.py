@@ -1,0 +1,13 @@
+"""Column references that survive dots, spaces and backticks in names."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
