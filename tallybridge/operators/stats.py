@@ -52,33 +52,56 @@ def all_equal(rules: dict[str, Comparison]) -> Column:
     return reduce(lambda x, y: x & y, [rule.match for rule in rules.values()], F.lit(True))
 
 
+ROW_FIELDS = (
+    "source_rows",
+    "target_rows",
+    "source_only",
+    "target_only",
+    "matched",
+    "all_equal",
+    "some_unequal",
+)
+
+
 def row_measures(rules: dict[str, Comparison]) -> list[Column]:
     in_s, in_t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
     equal = all_equal(rules)
-    return [
-        F.count_if(in_s).alias("source_rows"),
-        F.count_if(in_t).alias("target_rows"),
-        F.count_if(in_s & ~in_t).alias("source_only"),
-        F.count_if(in_t & ~in_s).alias("target_only"),
-        F.count_if(in_s & in_t).alias("matched"),
-        F.count_if(in_s & in_t & equal).alias("all_equal"),
-        F.count_if(in_s & in_t & ~equal).alias("some_unequal"),
-    ]
+    conditions = (
+        in_s,
+        in_t,
+        in_s & ~in_t,
+        in_t & ~in_s,
+        in_s & in_t,
+        in_s & in_t & equal,
+        in_s & in_t & ~equal,
+    )
+    return [F.count_if(c).alias(name) for name, c in zip(ROW_FIELDS, conditions)]
 
 
 def column_measures(
-    layout: Layout, rules: dict[str, Comparison], columns: Sequence[str]
+    layout: Layout,
+    rules: dict[str, Comparison],
+    columns: Sequence[str],
+    among: Column | None = None,
 ) -> list[Column]:
-    """Three measures per column over matched rows, numbered as in ``columns``."""
+    """Three measures per column, numbered as in ``columns``.
+
+    ``among`` restricts them to matched rows where the input has others too.
+    """
     names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
+
+    def counted(condition: Column) -> Column:
+        return F.count_if(condition if among is None else among & condition)
+
     measures = []
     for i, name in enumerate(columns):
         rule = rules[name]
         a = nan_to_null(F.col(names_s[name]), layout.source[name])
         b = nan_to_null(F.col(names_t[name]), layout.target[name])
-        measures.append(F.count_if(rule.match).alias(f"m{i}"))
-        measures.append(F.count_if(a.isNull() != b.isNull()).alias(f"n{i}"))
+        measures.append(counted(rule.match).alias(f"m{i}"))
+        measures.append(counted(a.isNull() != b.isNull()).alias(f"n{i}"))
         if rule.difference is not None:
+            # Missing values already make the difference NULL, except inf - inf.
             size = F.nanvl(rule.difference, F.lit(None).cast("double"))
             measures.append(F.max(size).alias(f"d{i}"))
     return measures

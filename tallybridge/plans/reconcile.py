@@ -86,6 +86,8 @@ class Reconciliation:
     workspace: Workspace = field(repr=False)
     _inputs: tuple[DataFrame, DataFrame] = field(repr=False)
     _stored: bool = False
+    _row_summary: DataFrame | None = field(default=None, repr=False)
+    _column_stats: DataFrame | None = field(default=None, repr=False)
 
     # -- rows ---------------------------------------------------------------
 
@@ -105,7 +107,30 @@ class Reconciliation:
         table = self.workspace.store(
             self.classified.withColumn("_status", status), "classified", "_status"
         )
-        return replace(self, classified=table, _stored=True)
+        return replace(self, classified=table, _stored=True)._measured()
+
+    def _measured(self) -> Reconciliation:
+        """Keep the row and column measures too; a handful of rows, from one pass."""
+        columns, rules = self.layout.compared, self.rules()
+        if len(columns) > COLUMNS_PER_PASS:
+            return replace(
+                self,
+                _row_summary=self.workspace.store(self.row_summary(), "row-summary"),
+                _column_stats=self.workspace.store(self.column_stats(), "column-stats"),
+            )
+        measures = self.workspace.store(
+            self.classified.agg(
+                *stats.row_measures(rules),
+                *stats.column_measures(self.layout, rules, columns, stats.matched()),
+            ),
+            "measures",
+        )
+        rows = stats.stat_rows(self.layout, rules, columns, with_keys=True)
+        return replace(
+            self,
+            _row_summary=measures.select(*stats.ROW_FIELDS),
+            _column_stats=measures.select(F.inline(rows)).select("position", *stats.STAT_FIELDS),
+        )
 
     def close(self) -> None:
         """Drop the intermediate tables; lazy results no longer work afterwards."""
@@ -191,10 +216,14 @@ class Reconciliation:
         Tables too wide for one aggregate are stored first and read in groups
         of columns.
         """
+        if self._column_stats is not None:
+            return self._column_stats
         columns = self.layout.compared
         if len(columns) <= COLUMNS_PER_PASS:
             return self._stats_over(self, columns, with_keys=True)
-        base = self.stored()
+        base = self if self._stored else self.stored()
+        if base._column_stats is not None:
+            return base._column_stats
         groups = [
             columns[i : i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)
         ]
@@ -217,6 +246,8 @@ class Reconciliation:
 
     def row_summary(self) -> DataFrame:
         """Row counts per side and status, and matched rows that agree or differ."""
+        if self._row_summary is not None:
+            return self._row_summary
         return self.classified.agg(*stats.row_measures(self.rules()))
 
     def column_summary(self) -> DataFrame:
