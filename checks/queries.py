@@ -42,9 +42,9 @@ from tallybridge.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Small enough to make the five event types hot at every test scale.
+# Small enough to make the five event types hot, in several ranges, at every test scale.
 LOW_HOT_ROWS = 100
-LOW_RANGE_ROWS = 150
+LOW_RANGE_ROWS = 5_000
 
 
 def compared(spark: SparkSession, sf_dir: str, pair: Pair, **options) -> Reconciliation:
