@@ -31,7 +31,7 @@ from tallybridge.sinks.ledger import (
     latest_state,
     parsed_runs,
     result_document,
-    result_kind,
+    result_kinds,
     run_record,
     status_of,
 )
@@ -251,9 +251,7 @@ def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_result_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = latest_state(load(spark, sf_dir, JOB_LOG))
-    kind = result_kind(F.col("result_path"), F.col("error"))
-    return jobs.select("job_id", kind.alias("kind"))
+    return result_kinds(load(spark, sf_dir, JOB_LOG))
 
 
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:

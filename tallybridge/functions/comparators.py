@@ -1,8 +1,7 @@
 """Value comparison rules, chosen per column from the pair of declared types.
 
-Every rule returns two Catalyst expressions: whether the values match (never
-NULL) and, where a numeric difference exists, its absolute size as a double.
-No Python runs per row.
+Every rule gives two SQL expressions: whether the values match (never NULL)
+and, where a numeric difference exists, its absolute size as a double.
 """
 
 from __future__ import annotations
@@ -10,14 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import types as T
 
 from tallybridge.functions.nested import canonical, contains_map
+from tallybridge.functions.sqltext import number, text
 
 # Java accepts a type suffix ("1.5d") and hexadecimal floats; both are plain
 # text to everybody else and must not be read as numbers.
 _JAVA_ONLY_NUMBER = r"(?i)([0-9.][df]\s*$|0x)"
 
+MISSING = "CAST(NULL AS DOUBLE)"
+
 
 @dataclass(frozen=True)
 class Tolerance:
@@ -38,8 +40,8 @@ class Tolerance:
 
 @dataclass(frozen=True)
 class Comparison:
-    match: Column
-    difference: Column | None = None
+    match: str
+    difference: str | None = None
 
 
 def is_integer(dtype: T.DataType) -> bool:
@@ -62,12 +64,14 @@ def is_instant(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def nan_to_null(value: Column, dtype: T.DataType) -> Column:
-    return F.nanvl(value, F.lit(None).cast(dtype)) if is_float(dtype) else value
+def nan_to_null(value: str, dtype: T.DataType) -> str:
+    if not is_float(dtype):
+        return value
+    return f"nanvl({value}, CAST(NULL AS {dtype.simpleString()}))"
 
 
 def compare(
-    a: Column, b: Column, type_a: T.DataType, type_b: T.DataType, tolerance: Tolerance
+    a: str, b: str, type_a: T.DataType, type_b: T.DataType, tolerance: Tolerance
 ) -> Comparison:
     """Pick the rule for one column."""
     numeric_a = is_number(type_a) or isinstance(type_a, T.BooleanType)
@@ -75,77 +79,75 @@ def compare(
     if numeric_a and numeric_b:
         return _numbers(a, b, type_a, type_b, tolerance)
     if is_number(type_a) and is_text(type_b):
-        return _number_and_text(_as_double(a, type_a), _text_to_double(b), tolerance)
+        return _parsed_numbers(_as_double(a, type_a), _text_to_double(b), tolerance)
     if is_text(type_a) and is_number(type_b):
-        return _number_and_text(_text_to_double(a), _as_double(b, type_b), tolerance)
+        return _parsed_numbers(_text_to_double(a), _as_double(b, type_b), tolerance)
     if is_text(type_a) and is_text(type_b):
-        return Comparison(a.eqNullSafe(b))
+        return Comparison(f"({a} <=> {b})")
     if is_instant(type_a) and is_instant(type_b):
         if type_a == type_b:
-            return Comparison(a.eqNullSafe(b))
-        return Comparison(a.cast("timestamp_ntz").eqNullSafe(b.cast("timestamp_ntz")))
+            return Comparison(f"({a} <=> {b})")
+        return Comparison(f"(CAST({a} AS TIMESTAMP_NTZ) <=> CAST({b} AS TIMESTAMP_NTZ))")
     if is_instant(type_a) and is_text(type_b):
         return _instant_and_text(a, b, type_a)
     if is_text(type_a) and is_instant(type_b):
         return _instant_and_text(b, a, type_b)
     if type_a.simpleString() == type_b.simpleString():
         if contains_map(type_a):
-            return Comparison(canonical(a, type_a).eqNullSafe(canonical(b, type_b)))
-        return Comparison(a.eqNullSafe(b))
-    return Comparison(a.isNull() & b.isNull())
+            return Comparison(f"({canonical(a, type_a)} <=> {canonical(b, type_b)})")
+        return Comparison(f"({a} <=> {b})")
+    return Comparison(f"({a} IS NULL AND {b} IS NULL)")
 
 
-def _as_double(value: Column, dtype: T.DataType) -> Column:
-    return nan_to_null(value.cast("double"), T.DoubleType())
+def _as_double(value: str, dtype: T.DataType) -> tuple[str, str]:
+    """The value as a double without NaN, and whether it is missing."""
+    double = nan_to_null(f"CAST({value} AS DOUBLE)", T.DoubleType())
+    if not is_float(dtype):
+        double = f"CAST({value} AS DOUBLE)"
+    return double, f"{double} IS NULL"
 
 
-def _text_to_double(value: Column) -> tuple[Column, Column]:
-    """The parsed number and whether the text stands for a missing value."""
-    parsed = F.when(~value.rlike(_JAVA_ONLY_NUMBER), value.try_cast("double"))
-    return nan_to_null(parsed, T.DoubleType()), value.isNull() | F.coalesce(
-        F.isnan(parsed), F.lit(False)
-    )
+def _text_to_double(value: str) -> tuple[str, str]:
+    """The parsed number, and whether the text stands for a missing value."""
+    parsed = f"IF({value} RLIKE {text(_JAVA_ONLY_NUMBER)}, NULL, TRY_CAST({value} AS DOUBLE))"
+    missing = f"({value} IS NULL OR coalesce(isnan({parsed}), false))"
+    return nan_to_null(parsed, T.DoubleType()), missing
 
 
-def _close(a: Column, b: Column, tolerance: Tolerance) -> Column:
+def _close(a: str, b: str, tolerance: Tolerance) -> str:
     """Both doubles; equal infinities match although their difference is NaN."""
-    near = F.abs(a - b) <= F.lit(tolerance.absolute)
+    near = f"abs({a} - {b}) <= {number(tolerance.absolute)}"
     if tolerance.relative:
-        near = (F.abs(b) < F.lit(float("inf"))) & (
-            F.abs(a - b) <= F.lit(tolerance.absolute) + F.lit(tolerance.relative) * F.abs(b)
-        )
-    return (a == b) | near
+        finite = f"abs({b}) < CAST('Infinity' AS DOUBLE)"
+        near = f"({finite} AND {near} + {number(tolerance.relative)} * abs({b}))"
+    return f"({a} = {b} OR {near})"
 
 
 def _numbers(
-    a: Column, b: Column, type_a: T.DataType, type_b: T.DataType, tolerance: Tolerance
+    a: str, b: str, type_a: T.DataType, type_b: T.DataType, tolerance: Tolerance
 ) -> Comparison:
     if isinstance(type_a, T.BooleanType):
-        a, type_a = a.cast("int"), T.IntegerType()
+        a, type_a = f"CAST({a} AS INT)", T.IntegerType()
     if isinstance(type_b, T.BooleanType):
-        b, type_b = b.cast("int"), T.IntegerType()
+        b, type_b = f"CAST({b} AS INT)", T.IntegerType()
 
-    double_a, double_b = _as_double(a, type_a), _as_double(b, type_b)
-    difference = F.abs(double_a - double_b)
+    double_a, double_b = _as_double(a, type_a)[0], _as_double(b, type_b)[0]
+    difference = f"abs({double_a} - {double_b})"
     if is_integer(type_a) and is_integer(type_b) and tolerance.exact_for_integers:
-        return Comparison(a.eqNullSafe(b), difference)
+        return Comparison(f"({a} <=> {b})", difference)
 
     exact = _exact_decimal(a, b, type_a, type_b)
     if exact is not None and tolerance.relative == 0:
-        limit = F.lit(Decimal(repr(tolerance.absolute)))
-        match = a.eqNullSafe(b) | F.coalesce(F.abs(exact) <= limit, F.lit(False))
-        return Comparison(match, F.abs(exact).cast("double"))
+        limit = f"{Decimal(repr(tolerance.absolute)):f}BD"
+        match = f"(({a} <=> {b}) OR coalesce({exact} <= {limit}, false))"
+        return Comparison(match, f"CAST({exact} AS DOUBLE)")
 
-    match = double_a.eqNullSafe(double_b) | F.coalesce(
-        _close(double_a, double_b, tolerance), F.lit(False)
-    )
-    return Comparison(match, difference)
+    close = _close(double_a, double_b, tolerance)
+    return Comparison(f"(({double_a} <=> {double_b}) OR coalesce({close}, false))", difference)
 
 
-def _exact_decimal(
-    a: Column, b: Column, type_a: T.DataType, type_b: T.DataType
-) -> Column | None:
-    """``a - b`` in decimal arithmetic, when the result type holds every digit."""
+def _exact_decimal(a: str, b: str, type_a: T.DataType, type_b: T.DataType) -> str | None:
+    """``abs(a - b)`` in decimal arithmetic, when the result type holds every digit."""
     if is_float(type_a) or is_float(type_b):
         return None
     if not (isinstance(type_a, T.DecimalType) or isinstance(type_b, T.DecimalType)):
@@ -153,9 +155,9 @@ def _exact_decimal(
     (whole_a, scale_a), (whole_b, scale_b) = _digits(type_a), _digits(type_b)
     if max(whole_a, whole_b) + max(scale_a, scale_b) + 1 > 38:
         return None
-    return a.cast(T.DecimalType(whole_a + scale_a, scale_a)) - b.cast(
-        T.DecimalType(whole_b + scale_b, scale_b)
-    )
+    left = f"CAST({a} AS DECIMAL({whole_a + scale_a}, {scale_a}))"
+    right = f"CAST({b} AS DECIMAL({whole_b + scale_b}, {scale_b}))"
+    return f"abs({left} - {right})"
 
 
 def _digits(dtype: T.DataType) -> tuple[int, int]:
@@ -164,16 +166,16 @@ def _digits(dtype: T.DataType) -> tuple[int, int]:
     return 19, 0
 
 
-def _number_and_text(a, b, tolerance: Tolerance) -> Comparison:
-    """One side is a double column, the other a parsed text with its own gap flag."""
-    number_a, gap_a = a if isinstance(a, tuple) else (a, a.isNull())
-    number_b, gap_b = b if isinstance(b, tuple) else (b, b.isNull())
-    match = (gap_a & gap_b) | F.coalesce(_close(number_a, number_b, tolerance), F.lit(False))
-    return Comparison(match, F.abs(number_a - number_b))
+def _parsed_numbers(a: tuple[str, str], b: tuple[str, str], tolerance: Tolerance) -> Comparison:
+    """Each side is a double and whether the value counts as missing."""
+    (number_a, gap_a), (number_b, gap_b) = a, b
+    close = _close(number_a, number_b, tolerance)
+    match = f"(({gap_a} AND {gap_b}) OR coalesce({close}, false))"
+    return Comparison(match, f"abs({number_a} - {number_b})")
 
 
-def _instant_and_text(instant: Column, text: Column, dtype: T.DataType) -> Comparison:
-    target = "timestamp" if isinstance(dtype, T.TimestampType) else "timestamp_ntz"
-    parsed = text.try_cast(target)
-    same = F.coalesce(instant.cast(target) == parsed, F.lit(False))
-    return Comparison(same | (instant.isNull() & text.isNull()))
+def _instant_and_text(instant: str, value: str, dtype: T.DataType) -> Comparison:
+    target = "TIMESTAMP" if isinstance(dtype, T.TimestampType) else "TIMESTAMP_NTZ"
+    same = f"CAST({instant} AS {target}) = TRY_CAST({value} AS {target})"
+    gap = f"({instant} IS NULL AND {value} IS NULL)"
+    return Comparison(f"(coalesce({same}, false) OR {gap})")

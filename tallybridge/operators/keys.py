@@ -15,11 +15,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from tallybridge.functions.comparators import is_instant, is_number, is_text, nan_to_null
-from tallybridge.functions.names import col
-from tallybridge.functions.nested import as_text, canonical, is_nested
+from tallybridge.functions.nested import as_text, is_nested
+from tallybridge.functions.sqltext import both, expr, ident, listed, query
 from tallybridge.operators.schema import key_value, normalise_names
 from tallybridge.workspace import Workspace
 
@@ -30,13 +30,17 @@ HOT_KEY_ROWS = 250_000
 # The list of hot keys is broadcast as 64-bit hashes: 512 KB at this length. Any
 # key left out holds less than 1/65536 of all rows and goes through the window.
 MAX_HOT_KEYS = 65_536
-# Rows per range of a hot key, and the most ranges: the sort samples 100 sort
-# keys per range on the driver, so the number of ranges has to stay bounded.
+# Rows per range of a hot key. The range sort samples 100 sort keys per range,
+# up to three times over, on the driver: MAX_SAMPLE_BYTES bounds that sample,
+# and with it the number of ranges.
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 2_048
-# Sort keys stay narrow for the same reason.
+MAX_RANGES = 16_384
+MAX_SAMPLE_BYTES = 512 * 1024 * 1024
+SAMPLES_PER_RANGE = 300
+# Sort keys stay narrow for the same reason: so many columns, so many characters.
 MAX_SORT_COLUMNS = 8
 MAX_SORT_CHARS = 64
+DIGEST_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -63,14 +67,14 @@ class KeyProfile:
         return self.source_unique and self.target_unique
 
 
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*_hash_inputs(keys))
+def _hash_inputs(keys: Sequence[str]) -> str:
+    # The hash functions skip NULLs, so (NULL, 1) and (1, NULL) need the flags.
+    flags = [f"{k} IS NULL" for k in keys] if len(keys) > 1 else []
+    return listed([*keys, *flags])
 
 
-def _hash_inputs(keys: Sequence[str]) -> list[Column]:
-    # The hash functions skip NULLs, so (NULL, 1) and (1, NULL) need the flags.
-    flags = [F.col(k).isNull() for k in keys] if len(keys) > 1 else []
-    return [F.col(k) for k in keys] + flags
+def key_hash(keys: Sequence[str]) -> str:
+    return f"xxhash64({_hash_inputs(keys)})"
 
 
 def profile_keys(
@@ -83,36 +87,36 @@ def profile_keys(
     duplicated, or a small key look hot; both lead to a slower plan with the
     same result.
     """
-    counts = (
-        rows.groupBy(
-            key_hash(keys).alias("_h"), F.hash(*_hash_inputs(keys)).alias("_h2")
-        )
-        .agg(
-            F.count_if(F.col("_side") == SOURCE).alias("_n0"),
-            F.count_if(F.col("_side") == TARGET).alias("_n1"),
-        )
+    counts = query(
+        f"""
+        SELECT {key_hash(keys)} AS _h, hash({_hash_inputs(keys)}) AS _h2,
+               count_if(_side = {SOURCE}) AS _n0, count_if(_side = {TARGET}) AS _n1
+        FROM {{rows}} GROUP BY 1, 2
+        """,
+        rows=rows,
     )
-    summary = counts.agg(
-        *[
-            F.coalesce(f(name), F.lit(0)).alias(f"{label}{name}")
-            for label, f in (("sum", F.sum), ("max", F.max))
-            for name in ("_n0", "_n1")
-        ]
-    ).first()
+    (totals,) = query(
+        """
+        SELECT coalesce(sum(_n0), 0) AS sum0, coalesce(sum(_n1), 0) AS sum1,
+               coalesce(max(_n0), 0) AS max0, coalesce(max(_n1), 0) AS max1 FROM {counts}
+        """,
+        counts=counts,
+    ).collect()
     hot: list = []
-    if max(summary["max_n0"], summary["max_n1"]) > hot_key_rows:
-        hot = (
-            counts.where(F.greatest("_n0", "_n1") > hot_key_rows)
-            .select("_h", (F.col("_n0") + F.col("_n1")).alias("_n"))
-            .orderBy(F.desc("_n"), "_h")
-            .limit(MAX_HOT_KEYS)
-            .collect()
-        )
+    if max(totals["max0"], totals["max1"]) > hot_key_rows:
+        hot = query(
+            f"""
+            SELECT _h, _n0 + _n1 AS _n FROM {{counts}}
+            WHERE greatest(_n0, _n1) > {int(hot_key_rows)}
+            ORDER BY _n DESC, _h LIMIT {MAX_HOT_KEYS}
+            """,
+            counts=counts,
+        ).collect()
     return KeyProfile(
-        source_rows=summary["sum_n0"],
-        target_rows=summary["sum_n1"],
-        source_largest=summary["max_n0"],
-        target_largest=summary["max_n1"],
+        source_rows=totals["sum0"],
+        target_rows=totals["sum1"],
+        source_largest=totals["max0"],
+        target_largest=totals["max1"],
         hot_hashes=tuple({row["_h"] for row in hot}),
         hot_rows=sum(row["_n"] for row in hot),
     )
@@ -124,78 +128,44 @@ def split_hot(
     """The rows of ordinary keys, and those of hot keys if there are any."""
     if not profile.hot_hashes:
         return rows, None
-    listed = rows.sparkSession.createDataFrame(
-        [(value,) for value in profile.hot_hashes], "_hot long"
-    )
-    is_listed = key_hash(keys) == F.col("_hot")
     # At most MAX_HOT_KEYS longs, see profile_keys.
-    small = F.broadcast(listed)
-    return rows.join(small, is_listed, "left_anti"), rows.join(small, is_listed, "left_semi")
+    hot = rows.sparkSession.createDataFrame([(h,) for h in profile.hot_hashes], "_hot long")
+    ordinary, listed_hot = (
+        query(
+            f"""
+            SELECT /*+ BROADCAST(h) */ r.* FROM {{rows}} AS r
+            LEFT {how} JOIN {{hot}} AS h ON {key_hash(keys)} = h._hot
+            """,
+            rows=rows,
+            hot=hot,
+        )
+        for how in ("ANTI", "SEMI")
+    )
+    return ordinary, listed_hot
 
 
-def number_ordinary(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column]
-) -> DataFrame:
-    """Add ``_ord`` with one shuffle on the key, which later grouping can reuse."""
-    window = Window.partitionBy(*keys, "_side").orderBy(*order)
-    return rows.repartition(*keys).withColumn("_ord", F.row_number().over(window).cast("long"))
+@dataclass(frozen=True)
+class Ordering:
+    """Sort expressions, and the most bytes one sort key can take."""
 
+    columns: tuple[str, ...]
+    width: int
 
-def number_hot(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    workspace: Workspace,
-    expected_rows: int,
-    rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
-    """Add ``_ord`` without ever bringing one key together.
+    def __add__(self, other: Ordering) -> Ordering:
+        return Ordering(self.columns + other.columns, self.width + other.width)
 
-    ``_tie`` lets exact copies of a row fall into different ranges. It is not
-    reproducible, so it is written out before anything depends on it, and so are
-    the ranges, whose boundaries come from a sample.
-    """
-    tied = workspace.store(rows.withColumn("_tie", F.monotonically_increasing_id()), "hot")
-    ranges = min(MAX_RANGES, max(2, ceil(expected_rows / rows_per_range)))
-    sort = [*[F.col(k).asc_nulls_first() for k in keys], F.col("_side"), *order, F.col("_tie")]
-    sorted_rows = (
-        tied.repartitionByRange(ranges, *sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .drop("_tie")
-    )
-    placed = workspace.store(sorted_rows, "hot-sorted").withColumn(
-        "_range", F.shiftright("_pos", 33)
-    )
-    group = [*keys, "_side"]
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        placed.groupBy(*group, "_range")
-        .agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    )
-    left, right = placed.alias("l"), offsets.alias("r")
-    same_slice = F.lit(True)
-    for name in [*group, "_range"]:
-        same_slice = same_slice & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    return left.join(right, same_slice).select(
-        *[F.col(f"l.{name}").alias(name) for name in rows.columns],
-        (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias("_ord"),
-    )
 
-
-def ordering(columns: Sequence[Sequence[tuple[Column, T.DataType]]]) -> list[Column]:
-    """Sort expressions over value columns, in the given order, NULLs first.
+def ordering(columns: Sequence[Sequence[tuple[str, T.DataType]]]) -> Ordering:
+    """How rows sort by their value columns, in the given order, NULLs first.
 
     Each entry holds one value, or one per side for a shared column; on any row
     at most one of them is filled. Long texts sort by their beginning and then a
     digest of the whole; columns that have no common order, and those beyond
     the first eight, are folded into one digest at the end.
     """
-    sort: list[Column] = []
-    folded: list[Column] = []
+    sort: list[str] = []
+    width = 0
+    folded: list[str] = []
     for position, variants in enumerate(columns):
         if position >= MAX_SORT_COLUMNS:
             folded.append(_either([as_text(v, t) for v, t in variants]))
@@ -204,50 +174,121 @@ def ordering(columns: Sequence[Sequence[tuple[Column, T.DataType]]]) -> list[Col
         if len(kinds) > 1:
             common = _common_order(variants)
             if common is not None:
-                sort.append(common.asc_nulls_first())
+                sort.append(common)
+                width += 8
             folded.append(_either([as_text(v, t) for v, t in variants]))
             continue
         dtype = variants[0][1]
         value = _either([_sortable(v, t) for v, t in variants])
         if is_text(dtype):
-            long_text = F.when(F.char_length(value) > MAX_SORT_CHARS, F.sha2(value, 256))
-            sort.append(F.substring(value, 1, MAX_SORT_CHARS).asc_nulls_first())
-            sort.append(long_text.asc_nulls_first())
+            sort.append(f"substring({value}, 1, {MAX_SORT_CHARS})")
+            sort.append(f"IF(char_length({value}) > {MAX_SORT_CHARS}, sha2({value}, 256), NULL)")
+            width += 4 * MAX_SORT_CHARS + DIGEST_BYTES
         else:
-            sort.append(value.asc_nulls_first())
+            sort.append(value)
+            digest = is_nested(dtype) or isinstance(dtype, T.BinaryType)
+            width += DIGEST_BYTES if digest else 16
     if folded:
-        row = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(folded)]))
-        sort.append(F.sha2(row, 256).asc_nulls_first())
-    return sort or [F.lit(0).asc()]
+        row = listed(f"'c{i}', {value}" for i, value in enumerate(folded))
+        sort.append(f"sha2(to_json(named_struct({row})), 256)")
+        width += DIGEST_BYTES
+    return Ordering(tuple(sort), width)
 
 
-def _either(values: Sequence[Column]) -> Column:
-    return values[0] if len(values) == 1 else F.coalesce(*values)
+def _either(values: Sequence[str]) -> str:
+    return values[0] if len(values) == 1 else f"coalesce({listed(values)})"
 
 
-def _sortable(value: Column, dtype: T.DataType) -> Column:
+def _sortable(value: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.BinaryType):
-        return F.sha2(value, 256)
+        return f"sha2({value}, 256)"
     if is_nested(dtype):
-        return F.sha2(as_text(value, dtype), 256)
+        return f"sha2({as_text(value, dtype)}, 256)"
     return nan_to_null(value, dtype)
 
 
-def _common_order(variants: Sequence[tuple[Column, T.DataType]]) -> Column | None:
+def _common_order(variants: Sequence[tuple[str, T.DataType]]) -> str | None:
     types = [dtype for _, dtype in variants]
     numbers = [is_number(t) or isinstance(t, T.BooleanType) for t in types]
-    for wanted, fits in (("double", numbers), ("timestamp_ntz", [is_instant(t) for t in types])):
+    instants = [is_instant(t) for t in types]
+    for wanted, fits in (("DOUBLE", numbers), ("TIMESTAMP_NTZ", instants)):
         if any(fits) and all(fit or is_text(t) for fit, t in zip(fits, types)):
             return _either([_to(v, t, wanted) for v, t in variants])
     return None
 
 
-def _to(value: Column, dtype: T.DataType, wanted: str) -> Column:
+def _to(value: str, dtype: T.DataType, wanted: str) -> str:
     if is_text(dtype):
-        return value.try_cast(wanted)
+        return f"TRY_CAST({value} AS {wanted})"
     if isinstance(dtype, T.BooleanType):
-        return value.cast("int").cast(wanted)
-    return value.cast(wanted)
+        return f"CAST(CAST({value} AS INT) AS {wanted})"
+    return f"CAST({value} AS {wanted})"
+
+
+def number_ordinary(rows: DataFrame, keys: Sequence[str], order: Ordering) -> DataFrame:
+    """Add ``_ord`` with one shuffle on the key, which later grouping can reuse."""
+    return query(
+        f"""
+        SELECT *, CAST(row_number() OVER (
+                      PARTITION BY {listed(keys)}, _side
+                      ORDER BY {listed(order.columns) or "_side"}) AS BIGINT) AS _ord
+        FROM (SELECT * FROM {{rows}} DISTRIBUTE BY {listed(keys)})
+        """,
+        rows=rows,
+    )
+
+
+def range_count(rows: int, rows_per_range: int, width: int) -> int:
+    affordable = MAX_SAMPLE_BYTES // (SAMPLES_PER_RANGE * max(width, 1))
+    return max(2, min(ceil(rows / rows_per_range), affordable, MAX_RANGES))
+
+
+def number_hot(
+    rows: DataFrame,
+    keys: Sequence[str],
+    key_types: Sequence[T.DataType],
+    order: Ordering,
+    workspace: Workspace,
+    expected_rows: int,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """Add ``_ord`` without ever bringing one key together.
+
+    ``_tie`` lets exact copies of a row fall into different ranges. It is not
+    reproducible, so it is written out before anything depends on it, and so are
+    the ranges, whose boundaries come from a sample.
+    """
+    tied = workspace.store(
+        query("SELECT *, monotonically_increasing_id() AS _tie FROM {rows}", rows=rows), "hot"
+    )
+    by_key = ordering([[(k, t)] for k, t in zip(keys, key_types)])
+    full = by_key + Ordering(("_side",), 4) + order + Ordering(("_tie",), 8)
+    ranges = range_count(expected_rows, rows_per_range, full.width)
+    ranged = tied.repartitionByRange(ranges, *[expr(c) for c in full.columns])
+    in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(full.columns)}", ranged=ranged)
+    placed = workspace.store(
+        query(
+            "SELECT * EXCEPT (_tie), monotonically_increasing_id() AS _pos FROM {rows}",
+            rows=in_order,
+        ),
+        "hot-sorted",
+    )
+    group = listed([*keys, "_side"])
+    return query(
+        f"""
+        SELECT p.* EXCEPT (_pos), o._before + p._pos - o._first + 1 AS _ord
+        FROM {{placed}} AS p
+        JOIN (SELECT *, coalesce(sum(_n) OVER (
+                         PARTITION BY {group} ORDER BY _range
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before
+              FROM (SELECT {group}, shiftright(_pos, 33) AS _range,
+                           min(_pos) AS _first, count(*) AS _n
+                    FROM {{placed}} GROUP BY {group}, shiftright(_pos, 33))) AS o
+        ON {both(f"p.{k} <=> o.{k}" for k in keys)}
+           AND p._side = o._side AND shiftright(p._pos, 33) = o._range
+        """,
+        placed=placed,
+    )
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -255,10 +296,14 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     df = normalise_names(df)
     names = [key.lower() for key in keys]
     types = {f.name: f.dataType for f in df.schema}
-    grouped = df.select(*[key_value(k, types[k]).alias(k) for k in names]).groupBy(
-        *[col(k) for k in names]
+    shown = listed(f"{key_value(k, types[k], types[k])} AS {ident(k)}" for k in names)
+    return query(
+        f"""
+        SELECT *, count(*) AS copies FROM (SELECT {shown} FROM {{rows}})
+        GROUP BY {listed(ident(k) for k in names)} HAVING count(*) > 1
+        """,
+        rows=df,
     )
-    return grouped.agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
 def key_ordinals(
@@ -271,25 +316,27 @@ def key_ordinals(
     """The relation plus ``ordinal``, its row's number inside the key."""
     df = normalise_names(df)
     names = [key.lower() for key in keys]
-    fields = list(df.schema.fields)
-    types = {f.name: f.dataType for f in fields}
-    inner = [f"_k{i}" for i in range(len(names))]
-    values = [f for f in fields if f.name not in names]
-    rows = df.select(
-        F.lit(SOURCE).alias("_side"),
-        *[key_value(k, types[k]).alias(i) for k, i in zip(names, inner)],
-        *[col(f.name).alias(f"_s{i}") for i, f in enumerate(values)],
+    types = {f.name: f.dataType for f in df.schema}
+    inner = {name: f"_k{i}" for i, name in enumerate(names)}
+    values = [name for name in types if name not in inner]
+    inner |= {name: f"_s{i}" for i, name in enumerate(values)}
+    shown = listed(
+        f"{key_value(n, types[n], types[n]) if n in names else ident(n)} AS {i}"
+        for n, i in inner.items()
     )
-    order = ordering([[(F.col(f"_s{i}"), f.dataType)] for i, f in enumerate(values)])
-    profile = profile_keys(rows, inner, hot_key_rows)
-    ordinary, hot = split_hot(rows, inner, profile)
-    numbered = number_ordinary(ordinary, inner, order)
+    rows = query(f"SELECT {SOURCE} AS _side, {shown} FROM {{rows}}", rows=df)
+    matched_on = [inner[name] for name in names]
+    order = ordering([[(inner[name], types[name])] for name in values])
+    profile = profile_keys(rows, matched_on, hot_key_rows)
+    ordinary, hot = split_hot(rows, matched_on, profile)
+    numbered = number_ordinary(ordinary, matched_on, order)
     if hot is not None:
         workspace = workspace or Workspace(df.sparkSession)
+        key_types = [types[name] for name in names]
         numbered = numbered.unionByName(
-            number_hot(hot, inner, order, workspace, profile.hot_rows, rows_per_range)
+            number_hot(
+                hot, matched_on, key_types, order, workspace, profile.hot_rows, rows_per_range
+            )
         )
-    renamed = dict(zip(names, inner)) | {f.name: f"_s{i}" for i, f in enumerate(values)}
-    return numbered.select(
-        *[F.col(renamed[f.name]).alias(f.name) for f in fields], F.col("_ord").alias("ordinal")
-    )
+    shown = listed(f"{inner[name]} AS {ident(name)}" for name in types)
+    return query(f"SELECT {shown}, _ord AS ordinal FROM {{rows}}", rows=numbered)

@@ -8,9 +8,10 @@ because a NULL key is a legal key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from tallybridge.functions.names import col
+from tallybridge.functions.nested import sql_type
+from tallybridge.functions.sqltext import both, ident, listed, query
 from tallybridge.operators.keys import (
     HOT_KEY_ROWS,
     ROWS_PER_RANGE,
@@ -38,25 +39,35 @@ def value_names(layout: Layout, side: int) -> dict[str, str]:
     return {name: f"{prefix}{i}" for i, name in enumerate(values)}
 
 
-def _keys_of(layout: Layout) -> list[Column]:
+def _keys_of(layout: Layout, side: int) -> list[str]:
+    given = layout.source if side == SOURCE else layout.target
     return [
-        key_value(name, dtype).alias(inner)
+        f"{key_value(name, dtype, given[name])} AS {inner}"
         for name, dtype, inner in zip(layout.keys, layout.key_types, key_names(layout))
     ]
 
 
+def _values_of(layout: Layout, side: int) -> list[str]:
+    return [f"{ident(name)} AS {inner}" for name, inner in value_names(layout, side).items()]
+
+
+def _same_keys(layout: Layout) -> str:
+    return both(f"l.{k} <=> r.{k}" for k in key_names(layout))
+
+
 def profile(
     source: DataFrame, target: DataFrame, layout: Layout, hot_key_rows: int = HOT_KEY_ROWS
 ) -> KeyProfile:
-    keys = _keys_of(layout)
-    both = source.select(F.lit(SOURCE).alias("_side"), *keys).unionByName(
-        target.select(F.lit(TARGET).alias("_side"), *keys)
+    keys = query(
+        f"""
+        SELECT {SOURCE} AS _side, {listed(_keys_of(layout, SOURCE))} FROM {{source}}
+        UNION ALL
+        SELECT {TARGET} AS _side, {listed(_keys_of(layout, TARGET))} FROM {{target}}
+        """,
+        source=source,
+        target=target,
     )
-    return profile_keys(both, key_names(layout), hot_key_rows)
-
-
-def _values_of(layout: Layout, side: int) -> list[Column]:
-    return [col(name).alias(inner) for name, inner in value_names(layout, side).items()]
+    return profile_keys(keys, key_names(layout), hot_key_rows)
 
 
 def classify_unique(source: DataFrame, target: DataFrame, layout: Layout) -> DataFrame:
@@ -65,30 +76,26 @@ def classify_unique(source: DataFrame, target: DataFrame, layout: Layout) -> Dat
     A filter on the markers lets the optimizer narrow it to an inner or
     one-sided join and prune the columns of the other side.
     """
-    keys = key_names(layout)
-    left = source.select(
-        *_keys_of(layout), *_values_of(layout, SOURCE), F.lit(True).alias("_in_s")
-    ).alias("l")
-    right = target.select(
-        *_keys_of(layout), *_values_of(layout, TARGET), F.lit(True).alias("_in_t")
-    ).alias("r")
-    return left.join(right, _same_keys(keys), "full").select(
-        *[F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in keys],
-        F.lit(1).cast("long").alias("_ord"),
+    left = listed([*_keys_of(layout, SOURCE), *_values_of(layout, SOURCE), "true AS _in_s"])
+    right = listed([*_keys_of(layout, TARGET), *_values_of(layout, TARGET), "true AS _in_t"])
+    shown = [
+        *[f"coalesce(l.{k}, r.{k}) AS {k}" for k in key_names(layout)],
+        "1L AS _ord",
         *value_names(layout, SOURCE).values(),
         *value_names(layout, TARGET).values(),
         "_in_s",
         "_in_t",
+    ]
+    return query(
+        f"""
+        SELECT {listed(shown)} FROM (SELECT {left} FROM {{source}}) AS l
+        FULL JOIN (SELECT {right} FROM {{target}}) AS r ON {_same_keys(layout)}
+        """,
+        source=source,
+        target=target,
     )
 
 
-def _same_keys(keys: list[str]) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return condition
-
-
 def classify_duplicates(
     source: DataFrame,
     target: DataFrame,
@@ -105,67 +112,75 @@ def classify_duplicates(
     """
     keys = key_names(layout)
     names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
-    stacked = _stack(source, target, layout)
     order = ordering(
         [
-            [(F.col(names_s[n]), layout.source[n]), (F.col(names_t[n]), layout.target[n])]
+            [(names_s[n], layout.source[n]), (names_t[n], layout.target[n])]
             for n in layout.compared
         ]
-        + [[(F.col(names_s[n]), layout.source[n])] for n in layout.source_only]
-        + [[(F.col(names_t[n]), layout.target[n])] for n in layout.target_only]
+        + [[(names_s[n], layout.source[n])] for n in layout.source_only]
+        + [[(names_t[n], layout.target[n])] for n in layout.target_only]
     )
-    ordinary, hot = split_hot(stacked, keys, key_profile)
+    ordinary, hot = split_hot(_stack(source, target, layout), keys, key_profile)
     classified = _fold(number_ordinary(ordinary, keys, order), layout)
     if hot is not None:
-        numbered = number_hot(hot, keys, order, workspace, key_profile.hot_rows, rows_per_range)
+        numbered = number_hot(
+            hot, keys, layout.key_types, order, workspace, key_profile.hot_rows, rows_per_range
+        )
         classified = classified.unionByName(_fold(numbered, layout))
     return classified
 
 
 def _stack(source: DataFrame, target: DataFrame, layout: Layout) -> DataFrame:
-    def side(df: DataFrame, which: int) -> DataFrame:
-        other = TARGET if which == SOURCE else SOURCE
-        types = layout.target if which == SOURCE else layout.source
-        absent = [
-            F.lit(None).cast(types[name]).alias(inner)
-            for name, inner in value_names(layout, other).items()
+    def absent(side: int) -> list[str]:
+        types = layout.source if side == SOURCE else layout.target
+        return [
+            f"CAST(NULL AS {sql_type(types[name])}) AS {inner}"
+            for name, inner in value_names(layout, side).items()
         ]
-        return df.select(
-            F.lit(which).alias("_side"), *_keys_of(layout), *_values_of(layout, which), *absent
-        )
 
-    return side(source, SOURCE).unionByName(side(target, TARGET))
+    upper = [*_keys_of(layout, SOURCE), *_values_of(layout, SOURCE), *absent(TARGET)]
+    lower = [*_keys_of(layout, TARGET), *absent(SOURCE), *_values_of(layout, TARGET)]
+    return query(
+        f"""
+        SELECT {SOURCE} AS _side, {listed(upper)} FROM {{source}}
+        UNION ALL
+        SELECT {TARGET} AS _side, {listed(lower)} FROM {{target}}
+        """,
+        source=source,
+        target=target,
+    )
 
 
 def _fold(numbered: DataFrame, layout: Layout) -> DataFrame:
     """Bring the source row and the target row of one (key, ordinal) together."""
-    keys = key_names(layout)
+    keys = listed(key_names(layout))
     values = [*value_names(layout, SOURCE).values(), *value_names(layout, TARGET).values()]
-    here = {"_in_s": SOURCE, "_in_t": TARGET}
-    return (
-        numbered.groupBy(*keys, "_ord")
-        .agg(
-            *[F.any_value(name, F.lit(True)).alias(name) for name in values],
-            *[
-                F.max(F.when(F.col("_side") == side, True)).alias(marker)
-                for marker, side in here.items()
-            ],
-        )
-        .select(*keys, "_ord", *values, *here)
+    shown = [f"any_value({name}) IGNORE NULLS AS {name}" for name in values]
+    shown += [
+        f"max(IF(_side = {side}, true, NULL)) AS {marker}"
+        for side, marker in ((SOURCE, "_in_s"), (TARGET, "_in_t"))
+    ]
+    return query(
+        f"SELECT {keys}, _ord, {listed(shown)} FROM {{rows}} GROUP BY {keys}, _ord",
+        rows=numbered,
     )
 
 
-def only_in(
-    source: DataFrame, target: DataFrame, layout: Layout, side: int
-) -> DataFrame:
+def only_in(source: DataFrame, target: DataFrame, layout: Layout, side: int) -> DataFrame:
     """Rows of one side whose key the other lacks; for keys that never repeat.
 
     An anti join, so the other side contributes nothing but its keys.
     """
     here, there = (source, target) if side == SOURCE else (target, source)
-    keys = key_names(layout)
-    left = here.select(*_keys_of(layout), *[col(name) for name in here.columns]).alias("l")
-    right = there.select(*_keys_of(layout)).alias("r")
-    return left.join(right, _same_keys(keys), "left_anti").select(
-        *[col(name) for name in here.columns]
+    types = layout.source if side == SOURCE else layout.target
+    other = TARGET if side == SOURCE else SOURCE
+    columns = listed(ident(name) for name in types)
+    return query(
+        f"""
+        SELECT {columns} FROM (SELECT {listed(_keys_of(layout, side))}, * FROM {{here}}) AS l
+        LEFT ANTI JOIN (SELECT {listed(_keys_of(layout, other))} FROM {{there}}) AS r
+        ON {_same_keys(layout)}
+        """,
+        here=here,
+        there=there,
     )

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
 from tallybridge.functions.comparators import Comparison
-from tallybridge.functions.names import col
 from tallybridge.functions.nested import as_text
+from tallybridge.functions.sqltext import ident, listed, query, text
 from tallybridge.operators.keys import SOURCE, TARGET
 from tallybridge.operators.match import key_names, value_names
 from tallybridge.operators.schema import Layout
@@ -17,11 +15,6 @@ SAMPLE_ROWS = 10
 SAMPLE_COLUMNS = 10
 
 
-def first_rows(rows: DataFrame, order: Sequence[str], n: int = SAMPLE_ROWS) -> DataFrame:
-    """Planned as a top-n per task followed by a merge of n rows per task."""
-    return rows.orderBy(*[col(name).asc_nulls_first() for name in order]).limit(n)
-
-
 def mismatch_samples(
     matched: DataFrame, layout: Layout, rules: dict[str, Comparison], n: int = SAMPLE_ROWS
 ) -> DataFrame:
@@ -30,32 +23,25 @@ def mismatch_samples(
     The rank filter is pushed below the shuffle as a per-task group limit, so a
     column that differs everywhere still sends ``n`` rows per task.
     """
-    keys = key_names(layout)
+    keys = listed(key_names(layout))
     names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
     found = [
-        F.when(
-            ~rules[name].match,
-            F.struct(
-                F.lit(name).alias("column"),
-                as_text(F.col(names_s[name]), layout.source[name]).alias("original"),
-                as_text(F.col(names_t[name]), layout.target[name]).alias("new"),
-            ),
-        )
+        f"""IF({rules[name].match}, NULL, named_struct(
+            'column', {text(name)},
+            'original', {as_text(names_s[name], layout.source[name])},
+            'new', {as_text(names_t[name], layout.target[name])}))"""
         for name in layout.compared
-    ]
-    if not found:
-        found = [F.lit(None).cast("struct<column:string,original:string,new:string>")]
-    long_form = matched.select(
-        *keys, "_ord", F.explode(F.array_compact(F.array(*found))).alias("d")
-    ).select("d.column", *keys, "_ord", "d.original", "d.new")
-    window = Window.partitionBy("column").orderBy(
-        *[F.col(k).asc_nulls_first() for k in [*keys, "_ord"]]
-    )
-    ranked = long_form.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
-    return ranked.select(
-        "column",
-        "rank",
-        *[F.col(k).alias(name) for k, name in zip(keys, layout.keys)],
-        F.col("original").alias("value_original"),
-        F.col("new").alias("value_new"),
+    ] or ["CAST(NULL AS STRUCT<`column`: STRING, original: STRING, new: STRING>)"]
+    shown = listed(f"{k} AS {ident(name)}" for k, name in zip(key_names(layout), layout.keys))
+    return query(
+        f"""
+        SELECT `column`, rank, {shown}, original AS value_original, new AS value_new
+        FROM (SELECT *, row_number() OVER (PARTITION BY `column` ORDER BY {keys}, _ord) AS rank
+              FROM (SELECT {keys}, _ord, d.*
+                    FROM (SELECT {keys}, _ord,
+                                 explode(array_compact(array({listed(found)}))) AS d
+                          FROM {{matched}})))
+        WHERE rank <= {int(n)}
+        """,
+        matched=matched,
     )

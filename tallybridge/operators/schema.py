@@ -10,11 +10,11 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from tallybridge.errors import SchemaError
 from tallybridge.functions.comparators import is_float, is_integer, is_number, nan_to_null
-from tallybridge.functions.names import col
+from tallybridge.functions.sqltext import ident, listed, query, text
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def normalise_names(df: DataFrame) -> DataFrame:
     clashes = sorted(name for name, n in Counter(lowered).items() if n > 1)
     if clashes:
         raise SchemaError(f"column names differ only by case: {', '.join(clashes)}")
-    return df.toDF(*lowered)
+    return df if lowered == df.columns else df.toDF(*lowered)
 
 
 @dataclass(frozen=True)
@@ -109,12 +109,15 @@ def _key_type(name: str, a: T.DataType, b: T.DataType) -> T.DataType:
     return T.DecimalType(whole + scale, scale)
 
 
-def key_value(name: str, dtype: T.DataType) -> Column:
+def key_value(name: str, dtype: T.DataType, given: T.DataType | None = None) -> str:
     """A key as it is matched: widened, missing values folded, one zero."""
-    value = col(name).cast(dtype)
+    value = ident(name)
+    if given is None or given.simpleString() != dtype.simpleString():
+        value = f"CAST({value} AS {dtype.simpleString()})"
     if is_float(dtype):
+        zero = f"CAST(0 AS {dtype.simpleString()})"
         value = nan_to_null(value, dtype)
-        value = F.when(value == 0, F.lit(0.0).cast(dtype)).otherwise(value)
+        value = f"IF({value} = {zero}, {zero}, {value})"
     return value
 
 
@@ -124,33 +127,33 @@ def column_presence(source: DataFrame, target: DataFrame) -> DataFrame:
     Counts are NULL on a side that lacks the column.
     """
     source, target = normalise_names(source), normalise_names(target)
-    sides = _filled(source, "source").unionByName(_filled(target, "target"))
-    merged = sides.groupBy("column").agg(
-        *[
-            F.max(F.when(F.col("side") == side, F.col(field))).alias(f"{side}_{field}")
-            for side in ("source", "target")
-            for field in ("type", "filled")
-        ]
-    )
-    placement = (
-        F.when(F.col("target_type").isNull(), "source_only")
-        .when(F.col("source_type").isNull(), "target_only")
-        .otherwise("shared")
+    return query(
+        f"""
+        SELECT `column`,
+               CASE WHEN max(source_type) IS NULL THEN 'target_only'
+                    WHEN max(target_type) IS NULL THEN 'source_only'
+                    ELSE 'shared' END AS placement,
+               max(source_type) AS source_type, max(target_type) AS target_type,
+               max(source_filled) AS source_filled, max(target_filled) AS target_filled
+        FROM (SELECT `column`, type AS source_type, filled AS source_filled,
+                     CAST(NULL AS STRING) AS target_type, CAST(NULL AS BIGINT) AS target_filled
+              FROM ({_filled(source, "source")})
+              UNION ALL
+              SELECT `column`, CAST(NULL AS STRING), CAST(NULL AS BIGINT), type, filled
+              FROM ({_filled(target, "target")}))
+        GROUP BY `column`
+        """,
+        source=source,
+        target=target,
     )
-    return merged.withColumn("placement", placement)
 
 
-def _filled(df: DataFrame, side: str) -> DataFrame:
-    counts = df.agg(
-        *[F.count(col(name)).alias(f"c{i}") for i, name in enumerate(df.columns)]
+def _filled(df: DataFrame, side: str) -> str:
+    fields = list(enumerate(df.schema.fields))
+    counts = listed(f"count({ident(f.name)}) AS c{i}" for i, f in fields)
+    rows = listed(
+        f"named_struct('column', {text(f.name)}, "
+        f"'type', {text(f.dataType.simpleString())}, 'filled', c{i})"
+        for i, f in fields
     )
-    rows = [
-        F.struct(
-            F.lit(side).alias("side"),
-            F.lit(field.name).alias("column"),
-            F.lit(field.dataType.simpleString()).alias("type"),
-            F.col(f"c{i}").alias("filled"),
-        )
-        for i, field in enumerate(df.schema.fields)
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    return f"SELECT inline(array({rows})) FROM (SELECT {counts} FROM {{{side}}})"

@@ -7,16 +7,34 @@ aggregation reduces every task's share to one row before anything is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from tallybridge.functions.comparators import Comparison, Tolerance, compare, nan_to_null
+from tallybridge.functions.comparators import (
+    MISSING,
+    Comparison,
+    Tolerance,
+    compare,
+    nan_to_null,
+)
+from tallybridge.functions.sqltext import both, listed, text
 from tallybridge.operators.keys import SOURCE, TARGET
 from tallybridge.operators.match import value_names
 from tallybridge.operators.schema import Layout
 
+MATCHED = "_in_s IS NOT NULL AND _in_t IS NOT NULL"
+STATUS = f"""CASE WHEN {MATCHED} THEN 'matched'
+WHEN _in_s IS NOT NULL THEN 'source_only' ELSE 'target_only' END"""
+
+ROW_FIELDS = (
+    "source_rows",
+    "target_rows",
+    "source_only",
+    "target_only",
+    "matched",
+    "all_equal",
+    "some_unequal",
+)
 STAT_FIELDS = (
+    "position",
     "column",
     "source_type",
     "target_type",
@@ -34,76 +52,47 @@ def comparisons(layout: Layout, tolerance: Tolerance) -> dict[str, Comparison]:
     names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
     return {
         name: compare(
-            F.col(names_s[name]),
-            F.col(names_t[name]),
-            layout.source[name],
-            layout.target[name],
-            tolerance,
+            names_s[name], names_t[name], layout.source[name], layout.target[name], tolerance
         )
         for name in layout.compared
     }
 
 
-def matched() -> Column:
-    return F.col("_in_s").isNotNull() & F.col("_in_t").isNotNull()
-
-
-def all_equal(rules: dict[str, Comparison]) -> Column:
-    return reduce(lambda x, y: x & y, [rule.match for rule in rules.values()], F.lit(True))
-
-
-ROW_FIELDS = (
-    "source_rows",
-    "target_rows",
-    "source_only",
-    "target_only",
-    "matched",
-    "all_equal",
-    "some_unequal",
-)
-
-
-def row_measures(rules: dict[str, Comparison]) -> list[Column]:
-    in_s, in_t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
-    equal = all_equal(rules)
+def row_measures(rules: dict[str, Comparison]) -> list[str]:
+    equal = both(rule.match for rule in rules.values())
     conditions = (
-        in_s,
-        in_t,
-        in_s & ~in_t,
-        in_t & ~in_s,
-        in_s & in_t,
-        in_s & in_t & equal,
-        in_s & in_t & ~equal,
+        "_in_s IS NOT NULL",
+        "_in_t IS NOT NULL",
+        "_in_t IS NULL",
+        "_in_s IS NULL",
+        MATCHED,
+        f"{MATCHED} AND {equal}",
+        f"{MATCHED} AND NOT ({equal})",
     )
-    return [F.count_if(c).alias(name) for name, c in zip(ROW_FIELDS, conditions)]
+    return [f"count_if({c}) AS {name}" for name, c in zip(ROW_FIELDS, conditions)]
 
 
 def column_measures(
     layout: Layout,
     rules: dict[str, Comparison],
     columns: Sequence[str],
-    among: Column | None = None,
-) -> list[Column]:
+    among: str = "true",
+) -> list[str]:
     """Three measures per column, numbered as in ``columns``.
 
     ``among`` restricts them to matched rows where the input has others too.
     """
     names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
-
-    def counted(condition: Column) -> Column:
-        return F.count_if(condition if among is None else among & condition)
-
     measures = []
     for i, name in enumerate(columns):
         rule = rules[name]
-        a = nan_to_null(F.col(names_s[name]), layout.source[name])
-        b = nan_to_null(F.col(names_t[name]), layout.target[name])
-        measures.append(counted(rule.match).alias(f"m{i}"))
-        measures.append(counted(a.isNull() != b.isNull()).alias(f"n{i}"))
+        a = nan_to_null(names_s[name], layout.source[name])
+        b = nan_to_null(names_t[name], layout.target[name])
+        measures.append(f"count_if({among} AND {rule.match}) AS m{i}")
+        measures.append(f"count_if({among} AND ({a} IS NULL) != ({b} IS NULL)) AS n{i}")
         if rule.difference is not None:
-            # Missing values already make the difference NULL, except inf - inf.
-            size = F.nanvl(rule.difference, F.lit(None).cast("double"))
-            measures.append(F.max(size).alias(f"d{i}"))
+            # A missing value already makes the difference NULL; inf - inf does not.
+            measures.append(f"max(nanvl({rule.difference}, {MISSING})) AS d{i}")
     return measures
 
 
@@ -112,58 +101,44 @@ def stat_rows(
     rules: dict[str, Comparison],
     columns: Sequence[str],
     with_keys: bool,
-) -> Column:
-    """An array with one struct per column, from one row of measures."""
-    total = F.col("matched")
-    rows = []
+) -> str:
+    """The select list that turns one row of measures into one row per column."""
     positions = {name: i for i, name in enumerate(columns)}
-    for name in layout.shared:
+    rows = []
+    for position, name in enumerate(layout.shared):
         if name in layout.keys:
-            if with_keys:
-                rows.append(_stat(layout, name, total, total, F.lit(0.0), F.lit(0)))
+            if not with_keys:
+                continue
+            matches, largest, gaps = "matched", "0.0D", "0L"
         elif name in positions:
             i = positions[name]
-            largest = F.lit(0.0) if rules[name].difference is None else F.col(f"d{i}")
-            rows.append(_stat(layout, name, F.col(f"m{i}"), total, largest, F.col(f"n{i}")))
-    return F.array(*rows)
-
-
-def _stat(
-    layout: Layout, name: str, matches: Column, total: Column, largest: Column, gaps: Column
-) -> Column:
-    return F.struct(
-        F.lit(layout.shared.index(name)).alias("position"),
-        F.lit(name).alias("column"),
-        F.lit(layout.source[name].simpleString()).alias("source_type"),
-        F.lit(layout.target[name].simpleString()).alias("target_type"),
-        matches.alias("matches"),
-        (total - matches).alias("unequal"),
-        total.alias("total"),
-        percent(matches, total).alias("percent"),
-        largest.cast("double").alias("max_diff"),
-        gaps.cast("long").alias("null_diff"),
-    )
+            matches, gaps = f"m{i}", f"n{i}"
+            largest = "0.0D" if rules[name].difference is None else f"d{i}"
+        else:
+            continue
+        values = (
+            str(position),
+            text(name),
+            text(layout.source[name].simpleString()),
+            text(layout.target[name].simpleString()),
+            matches,
+            f"matched - {matches}",
+            "matched",
+            percent(matches, "matched"),
+            largest,
+            gaps,
+        )
+        fields = listed(f"'{f}', {v}" for f, v in zip(STAT_FIELDS, values))
+        rows.append(f"named_struct({fields})")
+    return f"inline(array({listed(rows)}))"
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> str:
     """Two places, ties to even; NULL when there is nothing to divide by."""
-    return F.bround(F.lit(100.0) * part / F.nullif(whole, F.lit(0)), 2)
+    return f"bround(100.0D * {part} / nullif({whole}, 0), 2)"
 
 
-def column_summary(stats: DataFrame) -> DataFrame:
-    """Columns with some, and with all, values equal; unequal values in total."""
-    return stats.agg(
-        F.count_if(F.col("unequal") > 0).alias("columns_some_unequal"),
-        F.count_if(F.col("unequal") == 0).alias("columns_all_equal"),
-        F.coalesce(F.sum("unequal"), F.lit(0)).alias("unequal_values"),
-    )
-
-
-def verdict(layout: Layout) -> Column:
+def verdict(layout: Layout) -> str:
     """Identical: same columns, no one-sided rows, every matched row equal."""
-    return (
-        F.lit(layout.same_columns)
-        & (F.col("source_only") == 0)
-        & (F.col("target_only") == 0)
-        & (F.col("some_unequal") == 0)
-    )
+    same = "true" if layout.same_columns else "false"
+    return f"({same} AND source_only = 0 AND target_only = 0 AND some_unequal = 0)"

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from tallybridge.errors import SchemaError
 from tallybridge.functions.comparators import Comparison, Tolerance
-from tallybridge.functions.names import col
+from tallybridge.functions.nested import sql_type
+from tallybridge.functions.sqltext import ident, listed, query
 from tallybridge.operators import match, samples, stats
 from tallybridge.operators.keys import (
     HOT_KEY_ROWS,
@@ -47,6 +48,7 @@ def reconcile(
     them is hot; pass the ``key_profile`` of an earlier call over the same data
     to skip it. Everything on the result is lazy.
     """
+    tolerance = Tolerance(abs_tol, rel_tol)
     source, target = _typed(normalise_names(source)), _typed(normalise_names(target))
     layout = describe(source, target, keys)
     known = key_profile or match.profile(source, target, layout, hot_key_rows)
@@ -59,7 +61,7 @@ def reconcile(
         )
     return Reconciliation(
         layout=layout,
-        tolerance=Tolerance(abs_tol, rel_tol),
+        tolerance=tolerance,
         key_profile=known,
         source_name=source_name,
         target_name=target_name,
@@ -71,8 +73,15 @@ def reconcile(
 
 def _typed(df: DataFrame) -> DataFrame:
     """An untyped NULL column has no storage type; make it text."""
-    untyped = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
-    return df.withColumns({name: col(name).cast("string") for name in untyped})
+    if not any(isinstance(f.dataType, T.NullType) for f in df.schema):
+        return df
+    shown = listed(
+        f"CAST({ident(f.name)} AS STRING) AS {ident(f.name)}"
+        if isinstance(f.dataType, T.NullType)
+        else ident(f.name)
+        for f in df.schema
+    )
+    return query(f"SELECT {shown} FROM {{rows}}", rows=df)
 
 
 @dataclass(frozen=True)
@@ -99,14 +108,8 @@ class Reconciliation:
         """
         if self._stored:
             return self
-        status = (
-            F.when(stats.matched(), "matched")
-            .when(F.col("_in_s").isNotNull(), "source_only")
-            .otherwise("target_only")
-        )
-        table = self.workspace.store(
-            self.classified.withColumn("_status", status), "classified", "_status"
-        )
+        labelled = query(f"SELECT *, {stats.STATUS} AS _status FROM {{rows}}", rows=self.classified)
+        table = self.workspace.store(labelled, "classified", "_status")
         return replace(self, classified=table, _stored=True)._measured()
 
     def _measured(self) -> Reconciliation:
@@ -118,42 +121,47 @@ class Reconciliation:
                 _row_summary=self.workspace.store(self.row_summary(), "row-summary"),
                 _column_stats=self.workspace.store(self.column_stats(), "column-stats"),
             )
+        wanted = [
+            *stats.row_measures(rules),
+            *stats.column_measures(self.layout, rules, columns, stats.MATCHED),
+        ]
         measures = self.workspace.store(
-            self.classified.agg(
-                *stats.row_measures(rules),
-                *stats.column_measures(self.layout, rules, columns, stats.matched()),
-            ),
-            "measures",
+            query(f"SELECT {listed(wanted)} FROM {{rows}}", rows=self.classified), "measures"
         )
         rows = stats.stat_rows(self.layout, rules, columns, with_keys=True)
         return replace(
             self,
             _row_summary=measures.select(*stats.ROW_FIELDS),
-            _column_stats=measures.select(F.inline(rows)).select("position", *stats.STAT_FIELDS),
+            _column_stats=query(f"SELECT {rows} FROM {{measures}}", measures=measures),
         )
 
     def close(self) -> None:
         """Drop the intermediate tables; lazy results no longer work afterwards."""
         self.workspace.release()
 
-    def _with_status(self, status: str) -> DataFrame:
+    def _status_is(self, status: str) -> str:
         if self._stored:
-            return self.classified.where(F.col("_status") == status)
-        in_s, in_t = F.col("_in_s"), F.col("_in_t")
-        if status == "matched":
-            return self.classified.where(in_s.isNotNull()).where(in_t.isNotNull())
-        here, there = (in_s, in_t) if status == "source_only" else (in_t, in_s)
-        return self.classified.where(here.isNotNull()).where(there.isNull())
+            return f"_status = '{status}'"
+        return {
+            "matched": stats.MATCHED,
+            "source_only": "_in_s IS NOT NULL AND _in_t IS NULL",
+            "target_only": "_in_t IS NOT NULL AND _in_s IS NULL",
+        }[status]
+
+    def _rows(self, status: str, select: str = "*", tail: str = "") -> DataFrame:
+        return query(
+            f"SELECT {select} FROM {{rows}} WHERE {self._status_is(status)} {tail}",
+            rows=self.classified,
+        )
 
     def row_status(self) -> DataFrame:
         """Every key and ordinal with its status."""
-        status = (
-            F.when(stats.matched(), "matched")
-            .when(F.col("_in_s").isNotNull(), "source_only")
-            .otherwise("target_only")
-        )
-        return self.classified.select(
-            *self._key_columns(), F.col("_ord").alias("ordinal"), status.alias("status")
+        return query(
+            f"""
+            SELECT {listed(self._keys())}, _ord AS ordinal, {stats.STATUS} AS status
+            FROM {{rows}}
+            """,
+            rows=self.classified,
         )
 
     def source_only_rows(self) -> DataFrame:
@@ -169,40 +177,35 @@ class Reconciliation:
         inner = match.value_names(self.layout, side) | dict(
             zip(self.layout.keys, match.key_names(self.layout))
         )
-        rows = self._with_status("source_only" if side == SOURCE else "target_only")
-        return rows.select(
-            *[F.col(inner[name]).cast(dtype).alias(name) for name, dtype in types.items()]
+        shown = listed(
+            f"CAST({inner[name]} AS {sql_type(dtype)}) AS {ident(name)}"
+            if name in self.layout.keys
+            else f"{inner[name]} AS {ident(name)}"
+            for name, dtype in types.items()
         )
+        return self._rows("source_only" if side == SOURCE else "target_only", shown)
 
     def matched_rows(self) -> DataFrame:
         """Keys once, shared columns from both sides with a match flag each."""
-        return self._with_status("matched").select(*self._wide())
+        return self._rows("matched", self._wide())
 
-    def _wide(self) -> list[Column]:
+    def _wide(self) -> str:
         layout, rules = self.layout, self.rules()
-        columns = self._key_columns()
+        columns = dict(zip(layout.keys, match.key_names(layout)))
+        shown = list(columns.items())
         for side, suffix in ((SOURCE, "original"), (TARGET, "new")):
             for name, inner in match.value_names(layout, side).items():
-                shown = f"{name}_{suffix}" if name in rules else name
-                columns.append(F.col(inner).alias(shown))
-        columns += [rule.match.alias(f"{name}_match") for name, rule in rules.items()]
-        names = self.matched_columns()
+                shown.append((f"{name}_{suffix}" if name in rules else name, inner))
+        shown += [(f"{name}_match", rule.match) for name, rule in rules.items()]
+        names = [name for name, _ in shown]
         clash = sorted({name for name in names if names.count(name) > 1})
         if clash:
             raise SchemaError(f"matched rows would repeat the column {', '.join(clash)}")
-        return columns
-
-    def matched_columns(self) -> list[str]:
-        compared = set(self.layout.compared)
-        names = list(self.layout.keys)
-        for side, suffix in ((SOURCE, "original"), (TARGET, "new")):
-            for name in match.value_names(self.layout, side):
-                names.append(f"{name}_{suffix}" if name in compared else name)
-        return names + [f"{name}_match" for name in self.layout.compared]
+        return listed(f"{value} AS {ident(name)}" for name, value in shown)
 
-    def _key_columns(self) -> list[Column]:
+    def _keys(self) -> list[str]:
         inner = match.key_names(self.layout)
-        return [F.col(k).alias(name) for k, name in zip(inner, self.layout.keys)]
+        return [f"{k} AS {ident(name)}" for k, name in zip(inner, self.layout.keys)]
 
     def rules(self) -> dict[str, Comparison]:
         return stats.comparisons(self.layout, self.tolerance)
@@ -220,72 +223,85 @@ class Reconciliation:
             return self._column_stats
         columns = self.layout.compared
         if len(columns) <= COLUMNS_PER_PASS:
-            return self._stats_over(self, columns, with_keys=True)
-        base = self if self._stored else self.stored()
-        if base._column_stats is not None:
-            return base._column_stats
+            return self._stats_over(columns, with_keys=True)
+        if not self._stored:
+            return self.stored().column_stats()
         groups = [
             columns[i : i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)
         ]
         parts = [
-            self._stats_over(base, group, with_keys=position == 0)
+            self._stats_over(group, with_keys=position == 0)
             for position, group in enumerate(groups)
         ]
         return reduce(DataFrame.unionByName, parts)
 
-    def _stats_over(
-        self, base: Reconciliation, columns: Sequence[str], with_keys: bool
-    ) -> DataFrame:
+    def _stats_over(self, columns: Sequence[str], with_keys: bool) -> DataFrame:
         rules = self.rules()
-        measured = base._with_status("matched").agg(
-            F.count("*").alias("matched"),
-            *stats.column_measures(self.layout, rules, columns),
+        wanted = ["count(*) AS matched", *stats.column_measures(self.layout, rules, columns)]
+        return query(
+            f"""
+            SELECT {stats.stat_rows(self.layout, rules, columns, with_keys)}
+            FROM (SELECT {listed(wanted)} FROM {{rows}} WHERE {self._status_is("matched")})
+            """,
+            rows=self.classified,
         )
-        rows = stats.stat_rows(self.layout, rules, columns, with_keys)
-        return measured.select(F.inline(rows)).select("position", *stats.STAT_FIELDS)
 
     def row_summary(self) -> DataFrame:
         """Row counts per side and status, and matched rows that agree or differ."""
         if self._row_summary is not None:
             return self._row_summary
-        return self.classified.agg(*stats.row_measures(self.rules()))
+        return query(
+            f"SELECT {listed(stats.row_measures(self.rules()))} FROM {{rows}}",
+            rows=self.classified,
+        )
 
     def column_summary(self) -> DataFrame:
-        return stats.column_summary(self.column_stats())
+        """Columns with some, and with all, values equal; unequal values in total."""
+        return query(
+            """
+            SELECT count_if(unequal > 0) AS columns_some_unequal,
+                   count_if(unequal = 0) AS columns_all_equal,
+                   coalesce(sum(unequal), 0) AS unequal_values
+            FROM {stats}
+            """,
+            stats=self.column_stats(),
+        )
 
     def verdict(self) -> DataFrame:
-        return self.row_summary().select(stats.verdict(self.layout).alias("identical"))
+        return query(
+            f"SELECT {stats.verdict(self.layout)} AS identical FROM {{counts}}",
+            counts=self.row_summary(),
+        )
 
     # -- samples ------------------------------------------------------------
 
     def matched_sample(self, n: int = samples.SAMPLE_ROWS) -> DataFrame:
-        rows = self._with_status("matched")
-        order = [*match.key_names(self.layout), "_ord"]
-        return samples.first_rows(rows, order, n).select(*self._wide())
+        """The first matched rows in key order: a top-n per task, then a merge."""
+        order = listed([*match.key_names(self.layout), "_ord"])
+        return self._rows("matched", self._wide(), f"ORDER BY {order} LIMIT {int(n)}")
 
     def mismatch_samples(self, n: int = samples.SAMPLE_ROWS) -> DataFrame:
-        return samples.mismatch_samples(
-            self._with_status("matched"), self.layout, self.rules(), n
-        )
+        return samples.mismatch_samples(self._rows("matched"), self.layout, self.rules(), n)
 
     def source_only_sample(
         self, n: int = samples.SAMPLE_ROWS, columns: int = samples.SAMPLE_COLUMNS
     ) -> DataFrame:
-        return self._one_sided_sample(self.source_only_rows(), self.layout.source, n, columns)
+        return self._one_sided_sample(SOURCE, n, columns)
 
     def target_only_sample(
         self, n: int = samples.SAMPLE_ROWS, columns: int = samples.SAMPLE_COLUMNS
     ) -> DataFrame:
-        return self._one_sided_sample(self.target_only_rows(), self.layout.target, n, columns)
+        return self._one_sided_sample(TARGET, n, columns)
 
-    def _one_sided_sample(
-        self, rows: DataFrame, types: dict[str, T.DataType], n: int, columns: int
-    ) -> DataFrame:
-        shown = list(types)[:columns]
-        by_key = list(self.layout.keys)
-        if self.key_profile.unique:
-            return samples.first_rows(rows, by_key, n).select(*[col(c) for c in shown])
-        # Copies of a key need their other columns to come out in a fixed order.
-        rest = ordering([[(col(c), t)] for c, t in types.items() if c not in by_key])
-        ordered = rows.orderBy(*[col(k).asc_nulls_first() for k in by_key], *rest)
-        return ordered.limit(n).select(*[col(c) for c in shown])
+    def _one_sided_sample(self, side: int, n: int, columns: int) -> DataFrame:
+        types = self.layout.source if side == SOURCE else self.layout.target
+        order = [ident(name) for name in self.layout.keys]
+        if not self.key_profile.unique:
+            # Copies of a key need their other columns to come out in a fixed order.
+            rest = [[(ident(c), t)] for c, t in types.items() if c not in self.layout.keys]
+            order += ordering(rest).columns
+        shown = listed(ident(name) for name in list(types)[:columns])
+        return query(
+            f"SELECT {shown} FROM {{rows}} ORDER BY {listed(order)} LIMIT {int(n)}",
+            rows=self._one_sided(side),
+        )

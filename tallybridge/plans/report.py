@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
-from tallybridge.functions.names import col
 from tallybridge.functions.nested import as_text
+from tallybridge.functions.sqltext import ident, listed, number, query, text, texts
 from tallybridge.operators import samples, stats
 from tallybridge.plans.reconcile import Reconciliation
 
+JSON_OPTIONS = "map('ignoreNullFields', 'false')"
+
 # Field names of the summary document, in order.
 SUMMARY_FIELDS = ("fecha_generacion", "nombre_df1", "nombre_df2")
 METRIC_FIELDS = (
@@ -51,30 +53,34 @@ def summary(rec: Reconciliation) -> DataFrame:
     """One row: counts, column sets, verdict and tolerances."""
     layout = rec.layout
     lists = (layout.shared, layout.source_only, layout.target_only)
-    identical = stats.verdict(layout)
-    state = (identical, F.lit(rec.tolerance.absolute), F.lit(float(rec.tolerance.relative)))
-    generated, name_1, name_2 = SUMMARY_FIELDS
-    return rec.row_summary().select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias(generated),
-        F.lit(rec.source_name).alias(name_1),
-        F.lit(rec.target_name).alias(name_2),
-        F.struct(*[F.col(c).alias(n) for n, c in METRIC_FIELDS]).alias("metricas"),
-        F.struct(
-            *[_names(names).alias(n) for n, names in zip(STRUCTURE_FIELDS, lists)]
-        ).alias("estructura"),
-        F.struct(*[c.alias(n) for n, c in zip(STATE_FIELDS, state)]).alias("estado_comparacion"),
+    state = (
+        stats.verdict(layout),
+        number(rec.tolerance.absolute),
+        number(rec.tolerance.relative),
+    )
+    leading = (
+        "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss\")",
+        text(rec.source_name),
+        text(rec.target_name),
     )
+    shown = [
+        *[f"{value} AS {name}" for name, value in zip(SUMMARY_FIELDS, leading)],
+        f"{_record(dict(METRIC_FIELDS))} AS metricas",
+        f"{_record(dict(zip(STRUCTURE_FIELDS, map(texts, lists))))} AS estructura",
+        f"{_record(dict(zip(STATE_FIELDS, state)))} AS estado_comparacion",
+    ]
+    return query(f"SELECT {listed(shown)} FROM {{counts}}", counts=rec.row_summary())
 
 
-def summary_json(rec: Reconciliation) -> DataFrame:
-    document = summary(rec)
-    return document.select(
-        F.to_json(F.struct(*document.columns), {"ignoreNullFields": "false"}).alias("value")
-    )
+def _record(values: Mapping[str, str]) -> str:
+    return f"named_struct({listed(f'{text(k)}, {v}' for k, v in values.items())})"
 
 
-def _names(names: Sequence[str]) -> Column:
-    return F.array(*[F.lit(n) for n in names]).cast("array<string>")
+def summary_json(rec: Reconciliation) -> DataFrame:
+    return query(
+        f"SELECT to_json(struct(*), {JSON_OPTIONS}) AS value FROM {{summary}}",
+        summary=summary(rec),
+    )
 
 
 def report(rec: Reconciliation) -> DataFrame:
@@ -83,11 +89,11 @@ def report(rec: Reconciliation) -> DataFrame:
     Its length depends on the number of columns, never on the number of rows.
     Pass a stored reconciliation: several parts read the classified rows.
     """
-    counted = rec.row_summary()
+    counts = rec.row_summary()
     parts = [
-        _overview(rec, counted),
+        _lines(counts, _overview(rec)),
         _sample_lines(rec.matched_sample(), 4, 100),
-        _difference_head(rec, counted),
+        _lines(counts, _difference_head(rec), f"WHERE NOT {stats.verdict(rec.layout)}"),
         _difference_columns(rec),
         _mismatch_lines(rec),
         _sample_lines(rec.source_only_sample(), 5, 300_000, "source only: "),
@@ -96,140 +102,117 @@ def report(rec: Reconciliation) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _lines(row: DataFrame, section: int, start: int, texts: Sequence[Column]) -> DataFrame:
-    structs = [
-        F.struct(
-            F.lit(section).alias("section"),
-            F.lit(start + i).alias("line_no"),
-            text.alias("text"),
-        )
-        for i, text in enumerate(texts)
+def _lines(counts: DataFrame, sections: Mapping[int, Sequence[str]], tail: str = "") -> DataFrame:
+    rows = [
+        f"named_struct('section', {section}, 'line_no', {i}, 'text', {line})"
+        for section, lines in sections.items()
+        for i, line in enumerate(lines)
     ]
-    return row.select(F.inline(F.array(*structs)))
+    return query(f"SELECT inline(array({listed(rows)})) FROM {{counts}} {tail}", counts=counts)
 
 
-def _overview(rec: Reconciliation, counted: DataFrame) -> DataFrame:
-    layout = rec.layout
-    plain = F.lit
+def _filled_in(pattern: str, value: str) -> str:
+    return f"format_string({text(pattern)}, {value})"
 
-    def counted_line(pattern: str, name: str) -> Column:
-        return F.format_string(pattern, F.col(name))
 
-    def listed(names: Sequence[str]) -> list[Column]:
-        return [plain(COLUMN_LINE % name) for name in names]
+def _overview(rec: Reconciliation) -> dict[int, list[str]]:
+    layout = rec.layout
+
+    def names(columns: Sequence[str]) -> list[str]:
+        return [text(COLUMN_LINE % name) for name in columns]
 
-    verdict = F.when(stats.verdict(layout), "True").otherwise("False")
-    sections = {
-        0: [plain(REPORT_TITLE), F.format_string(DATE_LINE, F.current_timestamp().cast("string"))],
+    verdict = f"IF({stats.verdict(layout)}, 'True', 'False')"
+    return {
+        0: [
+            text(REPORT_TITLE),
+            _filled_in(DATE_LINE, "CAST(current_timestamp() AS STRING)"),
+        ],
         1: [
-            plain(SECTION_GENERAL),
-            plain(NAME_1 % rec.source_name),
-            plain(NAME_2 % rec.target_name),
-            counted_line(ROWS_1, "source_rows"),
-            counted_line(ROWS_2, "target_rows"),
-            F.format_string(IDENTICAL, verdict),
+            text(SECTION_GENERAL),
+            text(NAME_1 % rec.source_name),
+            text(NAME_2 % rec.target_name),
+            _filled_in(ROWS_1, "source_rows"),
+            _filled_in(ROWS_2, "target_rows"),
+            _filled_in(IDENTICAL, verdict),
         ],
         2: [
-            plain(SECTION_COLUMNS),
-            plain(SHARED_COLUMNS),
-            *listed(layout.shared),
-            plain(ONLY_COLUMNS_1),
-            *listed(layout.source_only),
-            plain(ONLY_COLUMNS_2),
-            *listed(layout.target_only),
+            text(SECTION_COLUMNS),
+            text(SHARED_COLUMNS),
+            *names(layout.shared),
+            text(ONLY_COLUMNS_1),
+            *names(layout.source_only),
+            text(ONLY_COLUMNS_2),
+            *names(layout.target_only),
         ],
         3: [
-            plain(SECTION_ROWS),
-            counted_line(ONLY_ROWS_1, "source_only"),
-            counted_line(ONLY_ROWS_2, "target_only"),
+            text(SECTION_ROWS),
+            _filled_in(ONLY_ROWS_1, "source_only"),
+            _filled_in(ONLY_ROWS_2, "target_only"),
         ],
         4: [
-            plain(SECTION_MATCHED),
-            counted_line(MATCHED_ROWS, "matched"),
-            plain(MATCHED_SAMPLE),
+            text(SECTION_MATCHED),
+            _filled_in(MATCHED_ROWS, "matched"),
+            text(MATCHED_SAMPLE),
         ],
     }
-    rows = [
-        F.struct(
-            F.lit(section).alias("section"), F.lit(i).alias("line_no"), text.alias("text")
-        )
-        for section, texts in sections.items()
-        for i, text in enumerate(texts)
-    ]
-    return counted.select(F.inline(F.array(*rows)))
 
 
 def _sample_lines(sample: DataFrame, section: int, start: int, prefix: str = "") -> DataFrame:
     """At most ten rows, numbered in the order they came out."""
-    row = F.to_json(F.struct(*[col(c) for c in sample.columns]), {"ignoreNullFields": "false"})
-    numbered = sample.select(
-        F.concat(F.lit(prefix), row).alias("text"), F.monotonically_increasing_id().alias("n")
-    )
-    position = F.row_number().over(Window.partitionBy(F.lit(section)).orderBy("n"))
-    return numbered.select(
-        F.lit(section).alias("section"), (F.lit(start) + position).alias("line_no"), "text"
+    return query(
+        f"""
+        SELECT {section} AS section,
+               {start} + row_number() OVER (PARTITION BY {section} ORDER BY n) AS line_no,
+               text
+        FROM (SELECT concat({text(prefix)}, to_json(struct(*), {JSON_OPTIONS})) AS text,
+                     monotonically_increasing_id() AS n
+              FROM {{sample}})
+        """,
+        sample=sample,
     )
 
 
-def _difference_head(rec: Reconciliation, counted: DataFrame) -> DataFrame:
-    differs = counted.where(~stats.verdict(rec.layout))
-    return _lines(
-        differs,
-        5,
-        0,
-        [
-            F.lit(SECTION_DIFFERENCES),
-            F.format_string("matched rows with every value equal: %d", F.col("all_equal")),
-            F.format_string("matched rows with some value unequal: %d", F.col("some_unequal")),
-            F.lit(f"duplicate keys: {not rec.key_profile.unique}"),
-            F.lit(
-                f"tolerance: absolute {rec.tolerance.absolute}, "
-                f"relative {rec.tolerance.relative}"
-            ),
-        ],
-    )
+def _difference_head(rec: Reconciliation) -> dict[int, list[str]]:
+    tolerance = rec.tolerance
+    return {
+        5: [
+            text(SECTION_DIFFERENCES),
+            _filled_in("matched rows with every value equal: %d", "all_equal"),
+            _filled_in("matched rows with some value unequal: %d", "some_unequal"),
+            text(f"duplicate keys: {not rec.key_profile.unique}"),
+            text(f"tolerance: absolute {tolerance.absolute}, relative {tolerance.relative}"),
+        ]
+    }
 
 
 def _difference_columns(rec: Reconciliation) -> DataFrame:
     """Columns with unequal values or with different types."""
-    found = rec.column_stats().where(
-        (F.col("unequal") > 0) | (F.col("source_type") != F.col("target_type"))
-    )
-    text = F.format_string(
-        "%s (%s, %s): %d of %d unequal, largest difference %s, one-sided nulls %d",
-        "column",
-        "source_type",
-        "target_type",
-        "unequal",
-        "total",
-        F.col("max_diff").cast("string"),
-        "null_diff",
-    )
-    return found.select(
-        F.lit(5).alias("section"), (F.lit(1000) + F.col("position")).alias("line_no"), text.alias("text")
+    pattern = "%s (%s, %s): %d of %d unequal, largest difference %s, one-sided nulls %d"
+    return query(
+        f"""
+        SELECT 5 AS section, 1000 + position AS line_no,
+               format_string({text(pattern)}, `column`, source_type, target_type, unequal,
+                             total, CAST(max_diff AS STRING), null_diff) AS text
+        FROM {{stats}} WHERE unequal > 0 OR source_type != target_type
+        """,
+        stats=rec.column_stats(),
     )
 
 
 def _mismatch_lines(rec: Reconciliation) -> DataFrame:
     layout = rec.layout
-    found = rec.mismatch_samples()
-    types = dict(zip(layout.keys, layout.key_types))
-    keys = F.concat_ws(
-        ", ",
-        *[
-            F.concat(F.lit(f"{k}="), F.coalesce(as_text(col(k), types[k]), F.lit("NULL")))
-            for k in layout.keys
-        ],
-    )
-    position = F.array_position(_names(layout.shared), F.col("column")).cast("int")
-    text = F.format_string(
-        "%s: %s: %s -> %s",
-        "column",
-        keys,
-        F.coalesce("value_original", F.lit("NULL")),
-        F.coalesce("value_new", F.lit("NULL")),
+    shown = listed(
+        f"concat({text(k + '=')}, coalesce({as_text(ident(k), t)}, 'NULL'))"
+        for k, t in zip(layout.keys, layout.key_types)
     )
-    line = F.lit(10_000) + position * (samples.SAMPLE_ROWS + 1) + F.col("rank")
-    return found.select(
-        F.lit(5).alias("section"), line.alias("line_no"), text.alias("text")
+    position = f"CAST(array_position({texts(layout.shared)}, `column`) AS INT)"
+    return query(
+        f"""
+        SELECT 5 AS section, 10000 + {position} * {samples.SAMPLE_ROWS + 1} + rank AS line_no,
+               concat(`column`, ': ', concat_ws(', ', {shown}), ': ',
+                      coalesce(value_original, 'NULL'), ' -> ',
+                      coalesce(value_new, 'NULL')) AS text
+        FROM {{found}}
+        """,
+        found=rec.mismatch_samples(),
     )

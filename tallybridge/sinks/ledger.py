@@ -12,8 +12,9 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallybridge.functions.sqltext import query, text
 from tallybridge.sources.files import exists, is_folder
 
 # Record fields and states that readers of the ledger expect.
@@ -43,74 +44,88 @@ def result_document(stats: DataFrame) -> DataFrame:
 
     The collected list has one entry per column of the compared tables.
     """
-    entry = F.struct(
-        F.col("position"),
-        F.struct(
-            F.col("column").alias("columna"),
-            F.col("matches"),
-            F.col("total"),
-            F.col("percent"),
-        ).alias("stat"),
+    return query(
+        """
+        SELECT to_json(
+            named_struct(
+                'lines', CAST(array() AS ARRAY<STRING>),
+                'column_stats', transform(
+                    array_sort(collect_list(struct(position, stat))), entry -> entry.stat)),
+            map('ignoreNullFields', 'false')) AS resultado_comparacion
+        FROM (SELECT position,
+                     struct(`column` AS columna, matches, total, percent) AS stat
+              FROM {stats})
+        """,
+        stats=stats,
     )
-    ordered = F.array_sort(F.collect_list(entry))
-    body = F.struct(
-        F.array().cast("array<string>").alias("lines"),
-        F.transform(ordered, lambda e: e["stat"]).alias("column_stats"),
-    )
-    return stats.agg(F.to_json(body, {"ignoreNullFields": "false"}).alias("resultado_comparacion"))
 
 
 def run_record(result: DataFrame, state: str, run_id: str | None = None) -> DataFrame:
     """One run row from a one-row relation with ``resultado_comparacion``."""
-    return result.select(
-        F.lit(run_id or str(uuid4())).alias("id_conciliacion"),
-        F.col("resultado_comparacion"),
-        F.lit(state).alias("estado_ejecucion"),
-        F.current_timestamp().alias("fecha_ejecucion"),
+    return query(
+        f"""
+        SELECT {text(run_id or str(uuid4()))} AS id_conciliacion, resultado_comparacion,
+               {text(state)} AS estado_ejecucion, current_timestamp() AS fecha_ejecucion
+        FROM {{result}}
+        """,
+        result=result,
     )
 
 
 def parsed_runs(runs: DataFrame) -> DataFrame:
     """Run rows with their stored JSON decoded, one row per compared column."""
-    return runs.select(
-        "id_conciliacion",
-        "estado_ejecucion",
-        "fecha_ejecucion",
-        F.from_json("resultado_comparacion", RESULT_SCHEMA).alias("r"),
-    ).select(
-        "id_conciliacion",
-        "estado_ejecucion",
-        "fecha_ejecucion",
-        F.col("r.error").alias("error"),
-        F.inline_outer("r.column_stats"),
+    return query(
+        f"""
+        SELECT id_conciliacion, estado_ejecucion, fecha_ejecucion, r.error AS error,
+               inline_outer(r.column_stats)
+        FROM (SELECT *, from_json(resultado_comparacion, {text(RESULT_SCHEMA)}) AS r
+              FROM {{runs}})
+        """,
+        runs=runs,
     )
 
 
 def latest_state(events: DataFrame) -> DataFrame:
     """The last event of every job, by time and then by sequence number."""
-    body = ["status", "progress", "result_path", "error", "updated_at", "seq"]
-    last = F.max_by(F.struct(*body), F.struct("updated_at", "seq")).alias("last")
-    return events.groupBy("job_id").agg(last).select("job_id", "last.*")
+    return query(
+        """
+        SELECT job_id, last.* FROM (
+            SELECT job_id,
+                   max_by(struct(status, progress, result_path, error, updated_at, seq),
+                          struct(updated_at, seq)) AS last
+            FROM {events} GROUP BY job_id)
+        """,
+        events=events,
+    )
 
 
 def status_of(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """Status and progress for every requested ``job_id``, known or not."""
-    known = latest_state(events).select("job_id", "status", "progress")
-    return jobs.select("job_id").distinct().join(known, "job_id", "left").select(
-        "job_id",
-        F.coalesce("status", F.lit(NOT_FOUND)).alias("status"),
-        F.coalesce("progress", F.lit(0.0)).alias("progress"),
+    return query(
+        f"""
+        SELECT asked.job_id, coalesce(status, {text(NOT_FOUND)}) AS status,
+               coalesce(progress, 0.0D) AS progress
+        FROM (SELECT DISTINCT job_id FROM {{jobs}}) AS asked
+        LEFT JOIN {{latest}} AS latest ON asked.job_id = latest.job_id
+        """,
+        jobs=jobs,
+        latest=latest_state(events),
     )
 
 
-def result_kind(path: Column, error: Column) -> Column:
-    """What a lookup of the job would return, from its latest event."""
-    dataset, document, failed, empty = RESULT_KINDS
-    return (
-        F.when(path.endswith(".parquet"), dataset)
-        .when(path.endswith(".json"), document)
-        .when(error.isNotNull() & (error != ""), failed)
-        .otherwise(empty)
+def result_kinds(events: DataFrame) -> DataFrame:
+    """What a lookup of each job would return, from its latest event."""
+    dataset, document, failed, empty = map(text, RESULT_KINDS)
+    return query(
+        f"""
+        SELECT job_id,
+               CASE WHEN endswith(result_path, '.parquet') THEN {dataset}
+                    WHEN endswith(result_path, '.json') THEN {document}
+                    WHEN error != '' THEN {failed}
+                    ELSE {empty} END AS kind
+        FROM {{latest}}
+        """,
+        latest=latest_state(events),
     )
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from posixpath import basename
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from tallybridge.functions.names import col
 from tallybridge.functions.nested import as_text, is_nested
+from tallybridge.functions.sqltext import ident, listed, query
 
 
 def save_parquet(df: DataFrame, path: str) -> None:
@@ -41,7 +41,7 @@ def save_csv(df: DataFrame, path: str) -> bool:
     if df.isEmpty():
         return False
     (
-        df.select(*[_printable(field) for field in df.schema])
+        query(f"SELECT {listed(map(_printable, df.schema))} FROM {{rows}}", rows=df)
         .write.mode("overwrite")
         .option("header", True)
         .option("quoteAll", True)
@@ -55,13 +55,13 @@ def save_csv(df: DataFrame, path: str) -> bool:
     return True
 
 
-def _printable(field: T.StructField) -> Column:
-    value = col(field.name)
+def _printable(field: T.StructField) -> str:
+    value = ident(field.name)
     if isinstance(field.dataType, T.StringType):
-        value = F.replace(value, F.lit("\\"), F.lit("\\\\"))
-    elif isinstance(field.dataType, T.BinaryType) or is_nested(field.dataType):
-        value = as_text(value, field.dataType)
-    return value.alias(field.name)
+        return f"replace({value}, '\\\\', '\\\\\\\\') AS {value}"
+    if isinstance(field.dataType, T.BinaryType) or is_nested(field.dataType):
+        return f"{as_text(value, field.dataType)} AS {value}"
+    return value
 
 
 def save_lines(lines: DataFrame, path: str) -> None:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallybridge.errors import SpecError
-from tallybridge.functions.names import col
+from tallybridge.functions.sqltext import ident, listed, query
 from tallybridge.sources.files import read_text
 from tallybridge.sources.jdbc import Connection, PartitionPlan, read_jdbc
 
@@ -166,18 +165,19 @@ def read_spec(
 
 def project(relation: DataFrame, spec: SourceSpec) -> DataFrame:
     """Filter, then project and rename; the filter sees the original columns."""
-    if spec.filter:
-        relation = relation.where(
-            reduce(lambda a, b: a & b, [F.expr(f"({text})") for text in spec.filter])
-        )
     names = spec.alias or (None,) * len(spec.columns)
     known = set(relation.columns)
-    picked = [
-        col(c) if c in known else F.expr(c) for c in spec.columns
-    ]
-    return relation.select(
-        *[c if name is None else c.alias(name) for c, name in zip(picked, names)]
+    for condition in spec.filter:
+        relation = relation.where(condition)
+    shown = [ident(c) if c in known else _as_written(c) for c in spec.columns]
+    picked = listed(
+        c if name is None else f"{c} AS {ident(name)}" for c, name in zip(shown, names)
     )
+    return query(f"SELECT {picked} FROM {{relation}}", relation=relation)
+
+
+def _as_written(expression: str) -> str:
+    return expression.replace("{", "{{").replace("}", "}}")
 
 
 __all__ = ["QUERY", "TABLE", "TEXT", "SourceSpec", "project", "read_spec"]
