@@ -44,7 +44,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Small enough to make the five event types hot, in several ranges, at every test scale.
 LOW_HOT_ROWS = 100
-LOW_RANGE_ROWS = 5_000
+LOW_RANGE_ROWS = 20_000
 
 
 def compared(spark: SparkSession, sf_dir: str, pair: Pair, **options) -> Reconciliation:
