@@ -112,9 +112,12 @@ def classify_duplicates(
     """
     keys = key_names(layout)
     names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
+    common = _common(layout)
     order = ordering(
         [
-            [(names_s[n], layout.source[n]), (names_t[n], layout.target[n])]
+            [(common[n], layout.source[n])]
+            if n in common
+            else [(names_s[n], layout.source[n]), (names_t[n], layout.target[n])]
             for n in layout.compared
         ]
         + [[(names_s[n], layout.source[n])] for n in layout.source_only]
@@ -130,21 +133,28 @@ def classify_duplicates(
     return classified
 
 
+def _common(layout: Layout) -> dict[str, str]:
+    """Compared columns of one type, which both sides keep in the same place."""
+    same = [n for n in layout.compared if sql_type(layout.source[n]) == sql_type(layout.target[n])]
+    return {name: f"_c{i}" for i, name in enumerate(same)}
+
+
 def _stack(source: DataFrame, target: DataFrame, layout: Layout) -> DataFrame:
-    def absent(side: int) -> list[str]:
-        types = layout.source if side == SOURCE else layout.target
-        return [
-            f"CAST(NULL AS {sql_type(types[name])}) AS {inner}"
-            for name, inner in value_names(layout, side).items()
-        ]
+    """Both sides in one relation, no wider than it has to be."""
+    common = _common(layout)
+
+    def select(side: int) -> str:
+        shown = [f"{ident(name)} AS {place}" for name, place in common.items()]
+        for which, types in ((SOURCE, layout.source), (TARGET, layout.target)):
+            for name, place in value_names(layout, which).items():
+                if name not in common:
+                    here = ident(name) if side == which else f"CAST(NULL AS {sql_type(types[name])})"
+                    shown.append(f"{here} AS {place}")
+        return listed([f"{side} AS _side", *_keys_of(layout, side), *shown])
 
-    upper = [*_keys_of(layout, SOURCE), *_values_of(layout, SOURCE), *absent(TARGET)]
-    lower = [*_keys_of(layout, TARGET), *absent(SOURCE), *_values_of(layout, TARGET)]
     return query(
         f"""
-        SELECT {SOURCE} AS _side, {listed(upper)} FROM {{source}}
-        UNION ALL
-        SELECT {TARGET} AS _side, {listed(lower)} FROM {{target}}
+        SELECT {select(SOURCE)} FROM {{source}} UNION ALL SELECT {select(TARGET)} FROM {{target}}
         """,
         source=source,
         target=target,
@@ -152,16 +162,33 @@ def _stack(source: DataFrame, target: DataFrame, layout: Layout) -> DataFrame:
 
 
 def _fold(numbered: DataFrame, layout: Layout) -> DataFrame:
-    """Bring the source row and the target row of one (key, ordinal) together."""
-    keys = listed(key_names(layout))
-    values = [*value_names(layout, SOURCE).values(), *value_names(layout, TARGET).values()]
-    shown = [f"any_value({name}) IGNORE NULLS AS {name}" for name in values]
+    """Bring the source row and the target row of one (key, ordinal) together.
+
+    At most one row per side shares a key and an ordinal, so the target row, if
+    there is one, directly follows the source row.
+    """
+    keys, common = listed(key_names(layout)), _common(layout)
+    names_t = value_names(layout, TARGET)
+    places = {name: common.get(name, inner) for name, inner in names_t.items()}
+    nearby = ["lead(_side) OVER w AS _following", "lag(_side) OVER w AS _preceding"]
+    nearby += [f"lead({place}) OVER w AS _n{place}" for place in places.values()]
+    shown = [
+        f"IF(_side = {SOURCE}, {common[name]}, NULL) AS {inner}" if name in common else inner
+        for name, inner in value_names(layout, SOURCE).items()
+    ]
     shown += [
-        f"max(IF(_side = {side}, true, NULL)) AS {marker}"
-        for side, marker in ((SOURCE, "_in_s"), (TARGET, "_in_t"))
+        f"IF(_side = {TARGET}, {places[name]}, _n{places[name]}) AS {inner}"
+        for name, inner in names_t.items()
     ]
     return query(
-        f"SELECT {keys}, _ord, {listed(shown)} FROM {{rows}} GROUP BY {keys}, _ord",
+        f"""
+        SELECT {listed([keys, "_ord", *shown])},
+               IF(_side = {SOURCE}, true, NULL) AS _in_s,
+               IF(_side = {TARGET} OR _following IS NOT NULL, true, NULL) AS _in_t
+        FROM (SELECT *, {listed(nearby)}
+              FROM {{rows}} WINDOW w AS (PARTITION BY {keys}, _ord ORDER BY _side))
+        WHERE _preceding IS NULL
+        """,
         rows=numbered,
     )
 
