@@ -40,7 +40,7 @@ SAMPLES_PER_RANGE = 300
 # Sort keys stay narrow for the same reason: so many columns, so many characters.
 MAX_SORT_COLUMNS = 8
 MAX_SORT_CHARS = 64
-DIGEST_BYTES = 64
+DIGEST_BYTES = 32
 
 
 @dataclass(frozen=True)
@@ -167,44 +167,50 @@ def ordering(columns: Sequence[Sequence[tuple[str, T.DataType]]]) -> Ordering:
     width = 0
     folded: list[str] = []
     for position, variants in enumerate(columns):
-        if position >= MAX_SORT_COLUMNS:
+        mixed = len({dtype.simpleString() for _, dtype in variants}) > 1
+        if mixed:
             folded.append(_either([as_text(v, t) for v, t in variants]))
-            continue
-        kinds = {dtype.simpleString() for _, dtype in variants}
-        if len(kinds) > 1:
             common = _common_order(variants)
-            if common is not None:
+            if common is not None and position < MAX_SORT_COLUMNS:
                 sort.append(common)
                 width += 8
-            folded.append(_either([as_text(v, t) for v, t in variants]))
             continue
         dtype = variants[0][1]
-        value = _either([_sortable(v, t) for v, t in variants])
-        if is_text(dtype):
+        value = _either([_plain(v, t) for v, t in variants])
+        if position >= MAX_SORT_COLUMNS:
+            folded.append(value)
+        elif is_text(dtype):
             sort.append(f"substring({value}, 1, {MAX_SORT_CHARS})")
-            sort.append(f"IF(char_length({value}) > {MAX_SORT_CHARS}, sha2({value}, 256), NULL)")
+            sort += [
+                f"IF(char_length({value}) > {MAX_SORT_CHARS}, {part}, NULL)"
+                for part in _digest([value])
+            ]
             width += 4 * MAX_SORT_CHARS + DIGEST_BYTES
+        elif is_nested(dtype) or isinstance(dtype, T.BinaryType):
+            sort += _digest([value])
+            width += DIGEST_BYTES
         else:
             sort.append(value)
-            digest = is_nested(dtype) or isinstance(dtype, T.BinaryType)
-            width += DIGEST_BYTES if digest else 16
+            width += 16
     if folded:
-        row = listed(f"'c{i}', {value}" for i, value in enumerate(folded))
-        sort.append(f"sha2(to_json(named_struct({row})), 256)")
+        sort += _digest(folded)
         width += DIGEST_BYTES
     return Ordering(tuple(sort), width)
 
 
+def _digest(values: Sequence[str]) -> list[str]:
+    """128 bits in two halves. The hash skips NULLs, hence the flags."""
+    inputs = listed([*values, *[f"{v} IS NULL" for v in values]])
+    return [f"xxhash64({inputs})", f"xxhash64('again', {inputs})"]
+
+
 def _either(values: Sequence[str]) -> str:
     return values[0] if len(values) == 1 else f"coalesce({listed(values)})"
 
 
-def _sortable(value: str, dtype: T.DataType) -> str:
-    if isinstance(dtype, T.BinaryType):
-        return f"sha2({value}, 256)"
-    if is_nested(dtype):
-        return f"sha2({as_text(value, dtype)}, 256)"
-    return nan_to_null(value, dtype)
+def _plain(value: str, dtype: T.DataType) -> str:
+    """The value without NaN, and nested values as text with their NULLs shown."""
+    return as_text(value, dtype) if is_nested(dtype) else nan_to_null(value, dtype)
 
 
 def _common_order(variants: Sequence[tuple[str, T.DataType]]) -> str | None:
@@ -238,9 +244,11 @@ def number_ordinary(rows: DataFrame, keys: Sequence[str], order: Ordering) -> Da
     )
 
 
-def range_count(rows: int, rows_per_range: int, width: int) -> int:
+def range_count(rows: int, rows_per_range: int, width: int, fewest: int = 2) -> int:
+    """Ranges for so many rows; at least ``fewest``, unless their sample is too big."""
     affordable = MAX_SAMPLE_BYTES // (SAMPLES_PER_RANGE * max(width, 1))
-    return max(2, min(ceil(rows / rows_per_range), affordable, MAX_RANGES))
+    wanted = max(ceil(rows / rows_per_range), fewest)
+    return max(2, min(wanted, affordable, MAX_RANGES))
 
 
 def number_hot(
@@ -262,10 +270,14 @@ def number_hot(
         query("SELECT *, monotonically_increasing_id() AS _tie FROM {rows}", rows=rows), "hot"
     )
     by_key = ordering([[(k, t)] for k, t in zip(keys, key_types)])
-    full = by_key + Ordering(("_side",), 4) + order + Ordering(("_tie",), 8)
-    ranges = range_count(expected_rows, rows_per_range, full.width)
+    inside = Ordering(("_side",), 4) + order + Ordering(("_tie",), 8)
+    full = by_key + inside
+    # Two long keys with one digest must not interleave within a range.
+    local = (by_key if by_key.columns == tuple(keys) else by_key + Ordering(tuple(keys), 0)) + inside
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = range_count(expected_rows, rows_per_range, full.width, tasks)
     ranged = tied.repartitionByRange(ranges, *[expr(c) for c in full.columns])
-    in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(full.columns)}", ranged=ranged)
+    in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(local.columns)}", ranged=ranged)
     placed = workspace.store(
         query(
             "SELECT * EXCEPT (_tie), monotonically_increasing_id() AS _pos FROM {rows}",

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, types as T
 
 from tallybridge.errors import SchemaError
 from tallybridge.functions.comparators import is_float, is_integer, is_number, nan_to_null
+from tallybridge.functions.nested import contains_map
 from tallybridge.functions.sqltext import ident, listed, query, text
 
 
@@ -89,8 +90,8 @@ def describe(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Layou
 
 
 def _key_type(name: str, a: T.DataType, b: T.DataType) -> T.DataType:
-    if isinstance(a, T.MapType) or isinstance(b, T.MapType):
-        raise SchemaError(f"key {name} is a map, which has no equality")
+    if contains_map(a) or contains_map(b):
+        raise SchemaError(f"key {name} holds a map, which has no order")
     if a.simpleString() == b.simpleString():
         return a
     if not (is_number(a) and is_number(b)):

@@ -151,6 +151,18 @@ def test_wide_keys_and_long_texts_order_rows(spark):
         assert rec.row_summary().first()["all_equal"] == 3
 
 
+def test_long_hot_keys(spark):
+    """Keys that agree in their first characters stay apart."""
+    ddl = "k string, v int"
+    keys = ["q" * 300 + tail for tail in "ab"]
+    source = [(key, i) for key in keys for i in range(40)]
+    target = [(key, i) for key in keys for i in range(30)]
+    a, b = spark.createDataFrame(source, ddl), spark.createDataFrame(target, ddl)
+    rec = reconcile(a, b, ["k"], hot_key_rows=5, rows_per_range=7)
+    counts = rec.row_summary().first()
+    assert (counts["all_equal"], counts["source_only"]) == (60, 20)
+
+
 def test_many_columns_fold_into_a_digest(spark):
     names = [f"c{i}" for i in range(12)]
     ddl = "k int, " + ", ".join(f"{n} int" for n in names)
