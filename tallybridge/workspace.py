@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +31,13 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self._spark = spark
-        base = folder.rstrip("/") if folder else shared_folder(spark)
-        self.root = f"{base}/tallybridge-{uuid.uuid4().hex}"
+        self._folder = folder
+
+    @cached_property
+    def root(self) -> str:
+        """Settled on first use: a comparison that stores nothing needs no folder."""
+        base = self._folder.rstrip("/") if self._folder else shared_folder(self._spark)
+        return f"{base}/tallybridge-{uuid.uuid4().hex}"
 
     def store(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` once and continue from the files."""
@@ -44,6 +50,8 @@ class Workspace:
         return self._spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
     def release(self) -> None:
+        if "root" not in self.__dict__:
+            return
         path = self._spark._jvm.org.apache.hadoop.fs.Path(self.root)
         conf = self._spark._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
