@@ -41,7 +41,7 @@ def ship(spark: SparkSession) -> None:
 
 def spread(df: DataFrame, bytes_per_part: int = 64 << 20) -> int:
     """Partitions for a shuffle of ``df``: by its estimated size, and the session's number at least."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 60:  # a plan without statistics
         size = 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_per_part)

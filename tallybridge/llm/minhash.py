@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     # Texts of all that share a bucket with another class, once.
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    shared = workspace.store(texts.join(named, "doc_id", "left_semi"), "texts")
+    # The hint keeps one plan at every size.
+    shared = workspace.store(texts.join(named.hint("merge"), "doc_id", "left_semi"), "texts")
     compared = (
         pairs.join(shared.toDF("b", "text_b"), "b")
         .join(shared.toDF("a", "text_a"), "a")
