@@ -3,25 +3,86 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybridge.llm import bpe, minhash
+from tallybridge.llm import (
+    bpe,
+    compression,
+    divergence,
+    interpolation,
+    langid,
+    minhash,
+    mixing,
+    neighbours,
+    quotes,
+    repair,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     )
 
 
+def op6_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.copies(table(spark, sf_dir, "documents"))
+
+
+def op7_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression.score_documents(docs, compression.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "documents"))
+    found = langid.identify_pages(table(spark, sf_dir, "pages"), model)
+    rounded = [F.round(c, 6).alias(c) for c in ("posterior", "text_posterior")]
+    return found.select("page_id", "lang_id", *rounded, "accepted")
+
+
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_two_tier_bpe, op10_circulant_minhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_deleted_interpolation,
+        op2_quotation_linking,
+        op3_nn_descent,
+        op4_distribution_divergence,
+        op5_two_tier_bpe,
+        op6_hierarchical_budgets,
+        op7_compression_distance,
+        op8_repair_shards,
+        op9_evidence_fusion,
+        op10_circulant_minhash,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_hierarchical_budgets": mixing.ORACLE}
