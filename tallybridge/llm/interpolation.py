@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tallybridge.llm import arrays
@@ -76,6 +77,51 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return join(tokens), join(pairs), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Counts byte by byte place, lowest first: the high places are runs of zeros."""
+    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def squeeze(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pack(counts))
+
+
+def unsqueeze(squeezed: bytes) -> np.ndarray:
+    return unpack(zstandard.ZstdDecompressor().decompress(squeezed))
+
+
+def pack_grams(grams: np.ndarray) -> bytes:
+    """Sorted hashes in six bytes each: how many begin with each 16 bits, then the rest."""
+    heads, sizes = np.unique((grams >> np.uint64(48)).astype("<u2"), return_counts=True)
+    low = grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return b"".join([np.array([len(heads)], "<u4").tobytes(), heads.tobytes(), sizes.astype("<u4").tobytes(), low.tobytes()])
+
+
+def unpack_grams(packed: bytes) -> np.ndarray:
+    n = int(np.frombuffer(packed, "<u4", 1)[0])
+    heads = np.frombuffer(packed, "<u2", n, 4)
+    sizes = np.frombuffer(packed, "<u4", n, 4 + 2 * n)
+    low = np.frombuffer(packed, np.uint8, -1, 4 + 6 * n).reshape(-1, 6)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :6] = low
+    return out.view("<u8").ravel() | np.repeat(heads.astype(np.uint64) << np.uint64(48), sizes)
+
+
+def _distinct(tokens: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    grams, codes = np.unique(np.concatenate([tokens, pairs]), return_inverse=True)
+    return grams, codes.astype(np.int32)
+
+
+def _cuts(grams: np.ndarray, owners: int) -> np.ndarray:
+    """Where each owner's range of the sorted hashes begins."""
+    bounds = [(k << 64) // owners for k in range(1, owners)]
+    return np.concatenate([[0], np.searchsorted(grams, np.array(bounds, np.uint64)), [len(grams)]]).astype(np.int64)
+
+
 def _folds(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Which rows are held out from training, and which training rows teach the weights."""
     fold = group["fold"].to_numpy()
@@ -89,23 +135,22 @@ def _request(owners: int, group: pa.Table) -> pa.Table:
     tokens, pairs, first = _grams(*arrays.utf8(group["text"]))
     sizes = np.diff(first)
     weigh = [np.repeat(w, sizes) for w in (~test & ~lent, lent)]
-    grams, codes = np.unique(np.concatenate([tokens, pairs]), return_inverse=True)
-    kept, counts_lent = (
-        np.bincount(codes, np.concatenate([w, w]), len(grams)).astype("<u4") for w in weigh
-    )
+    grams, codes = _distinct(tokens, pairs)
+    n = len(tokens)
+    del tokens, pairs
+    kept, counts_lent = (np.bincount(codes, np.concatenate([w, w]), len(grams)).astype("<u4") for w in weigh)
     single = np.zeros(len(grams), bool)
-    single[codes[: len(tokens)]] = True
-    owner = (grams >> np.uint64(40)) % np.uint64(owners)
-    rows = []
+    single[codes[:n]] = True
+    cuts = _cuts(grams, owners)
+    flagged = (grams & ~np.uint64(1)) | single
     chunk = group["chunk"][0].as_py()
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(owners + 1, dtype=np.uint64))
-    for o in range(owners):
-        at = order[cuts[o] : cuts[o + 1]]
-        if len(at):
-            flagged = (grams[at] & ~np.uint64(1)) | single[at]
-            rows.append((chunk, o, flagged.tobytes(), kept[at].tobytes(), counts_lent[at].tobytes(), 0))
-    return _messages(rows)
+    return _messages(
+        [
+            (chunk, o, pack_grams(flagged[a:b]), squeeze(kept[a:b]), squeeze(counts_lent[a:b]), 0)
+            for o, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            if b > a
+        ]
+    )
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
@@ -116,11 +161,11 @@ def _messages(rows: list[tuple]) -> pa.Table:
 
 def _answer(group: pa.Table) -> pa.Table:
     """Totals over all chunks, for each chunk in the order in which it asked."""
-    asked = [np.frombuffer(b, np.uint64) for b in group["grams"].to_pylist()]
+    asked = [unpack_grams(b) for b in group["grams"].to_pylist()]
     grams, codes = np.unique(np.concatenate(asked), return_inverse=True)
     totals = []
     for name in ("kept", "lent"):
-        given = np.frombuffer(b"".join(group[name].to_pylist()), "<u4")
+        given = np.concatenate([unsqueeze(b) for b in group[name].to_pylist()])
         totals.append(np.bincount(codes, given, len(grams)).astype("<u4"))
     known = int(((grams & np.uint64(1)).astype(bool) & (totals[0] + totals[1] > 0)).sum())
     owner = group["owner"][0].as_py()
@@ -128,7 +173,7 @@ def _answer(group: pa.Table) -> pa.Table:
     rows = [(-1, owner, b"", b"", b"", known)]
     for chunk, a, b in zip(group["chunk"].to_pylist(), cuts[:-1], cuts[1:]):
         own = codes[a:b]
-        rows.append((chunk, owner, b"", totals[0][own].tobytes(), totals[1][own].tobytes(), 0))
+        rows.append((chunk, owner, b"", squeeze(totals[0][own]), squeeze(totals[1][own]), 0))
     return _messages(rows)
 
 
@@ -139,20 +184,23 @@ def _events(owners: int, group: pa.Table, answers: pa.Table) -> pa.Table:
         return _event_table([], known=sum(answers["known"].to_pylist()))
     test, lent = _folds(group)
     tokens, pairs, first = _grams(*arrays.utf8(group["text"]))
-    grams, codes = np.unique(np.concatenate([tokens, pairs]), return_inverse=True)
-    owner = (grams >> np.uint64(40)) % np.uint64(owners)
+    grams, codes = _distinct(tokens, pairs)
+    size = len(tokens)
+    del tokens, pairs
+    cuts = _cuts(grams, owners)
     kept, out = np.zeros(len(grams), "<u4"), np.zeros(len(grams), "<u4")
-    for row in answers.select(["owner", "kept", "lent"]).to_pylist():
-        at = np.flatnonzero(owner == row["owner"])
-        kept[at] = np.frombuffer(row["kept"], "<u4")
-        out[at] = np.frombuffer(row["lent"], "<u4")
+    del grams
+    for owner, a, b in zip(*(answers[c].to_pylist() for c in ("owner", "kept", "lent"))):
+        kept[cuts[owner] : cuts[owner + 1]] = unsqueeze(a)
+        out[cuts[owner] : cuts[owner + 1]] = unsqueeze(b)
     total = kept + out
-    word, pair = total[codes[: len(tokens)]], total[codes[len(tokens) :]]
-    part_word, part_pair = kept[codes[: len(tokens)]], kept[codes[len(tokens) :]]
+    word, pair = total[codes[:size]], total[codes[size:]]
+    part_word, part_pair = kept[codes[:size]], kept[codes[size:]]
+    del codes
     sums = np.concatenate([[0.0], np.cumsum(np.log10(word + 0.5))])
     hits = np.concatenate([[0], np.cumsum(word > 0)])
     cut = lambda values, which: [
-        values[a:b].tobytes() if w else None for a, b, w in zip(first[:-1], first[1:], which)
+        pack(values[a:b]) if w else None for a, b, w in zip(first[:-1], first[1:], which)
     ]
     every = np.ones(n, bool)
     return _event_table(
@@ -192,7 +240,7 @@ def _summary(total: int, ends: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     seen: dict[int, np.ndarray] = {}
     for batch in batches:
         for word, pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            word, pair = np.frombuffer(word, "<u4").astype(float), np.frombuffer(pair, "<u4")
+            word, pair = unpack(word).astype(float), unpack(pair)
             context = _contexts(word, ends)
             p1 = word / max(total, 1)
             p2 = pair / np.maximum(context, 1)
@@ -228,7 +276,7 @@ def _scores(total: int, ends: int, vocabulary: int, weights: np.ndarray, batches
     for batch in batches:
         scores = []
         for word, pair in zip(batch["word"].to_pylist(), batch["pair"].to_pylist()):
-            word, pair = np.frombuffer(word, "<u4").astype(float), np.frombuffer(pair, "<u4")
+            word, pair = unpack(word).astype(float), unpack(pair)
             context = _contexts(word, ends)
             w = weights[_buckets(context)]
             p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(total, 1) + w[:, 2] / (vocabulary + 1)
@@ -250,7 +298,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     arrays.ship(spark)
     workspace = Workspace(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    chunks = arrays.spread(rows, 32 << 20)
+    chunks = arrays.spread(rows, 16 << 20)
     owners = chunks
     dealt = rows.select(
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"),
