@@ -126,15 +126,16 @@ def _document_words(text: bytes) -> set[bytes]:
 def distinct_texts(texts: list[bytes]) -> list[bytes]:
     """One text of each group of near copies, whose words would else count many times.
 
-    A text goes if one of ``_SKETCH`` minima over its shingles has been seen.
+    A text goes if one of ``_SKETCH`` pairs of minima over its shingles has been seen.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sets, cuts = shingle_sets(data, np.cumsum([0, *map(len, texts)]))
-    minima = [arrays.mix(sets, 60 + k) for k in range(_SKETCH)]
-    seen: set[tuple[int, int]] = set()
+    minima = [arrays.mix(sets, 60 + k) for k in range(2 * _SKETCH)]
+    seen: set[tuple[int, int, int]] = set()
     out = []
     for text, a, b in zip(texts, cuts[:-1], cuts[1:]):
-        own = {(k, int(h[a:b].min())) for k, h in enumerate(minima)} if b > a else set()
+        least = [int(h[a:b].min()) for h in minima] if b > a else []
+        own = {(k, least[k], least[k + 1]) for k in range(0, len(least), 2)}
         if not own & seen:
             out.append(text)
         seen |= own
