@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from checks.pairs import (
     COPIES,
+    DECIMALS,
     HOT_KEYS,
     INCOMPARABLE,
     LINES,
     NULL_KEYS,
+    ONE_SIDED_PAIR,
     ORDERS,
+    REPEATED_TEXTS,
+    SAME,
     TEXTS,
     TYPES,
+    UNEQUAL,
     VECTORS,
+    WHOLE_LINES,
     Pair,
     plain,
 )
@@ -39,7 +45,21 @@ LINE_RULES = {
     "l_quantity": near,
     "l_extendedprice": near,
 }
-NUMERIC = {"cust_id", "total", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "n_chars"}
+SUPPLIER_RULES = {"s_name": same, "s_nationkey": same, "s_acctbal": near}
+WHOLE_LINE_RULES = {
+    "l_partkey": same,
+    "l_suppkey": same,
+    "l_linenumber": near,
+    "l_quantity": near,
+    "l_extendedprice": near,
+    "l_discount": near,
+    "l_tax": near,
+    "l_returnflag": same,
+    "l_linestatus": same,
+    "l_shipdate": same,
+}
+REPEATED_TEXT_RULES = {"text": same, "source": same, "n_chars": same, "doc_id": same}
+NUMERIC = {"wide", "whole", "l_linenumber", "l_discount", "l_tax", "doc_id"} | {"cust_id", "total", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "n_chars"}
 
 
 def joined(pair: Pair, select: str, how: str = "FULL", where: str = "") -> str:
@@ -58,6 +78,16 @@ def numbered(pair: Pair, order: list[str]) -> str:
 t AS (SELECT *, {ordinal}, 1 AS here FROM target)"""
 
 
+def verdict(pair: Pair, rules: dict) -> str:
+    """Identical: the same column names, and no row that lacks its equal."""
+    equal = " AND ".join(rule(f"s.{c}", f"t.{c}") for c, rule in rules.items()) or "true"
+    on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM t.{k}" for k in pair.keys)
+    names = "(SELECT list_sort(list(column_name)) FROM (DESCRIBE {}))"
+    return f"""SELECT {names.format(plain(pair.source))} = {names.format(plain(pair.target))}
+AND NOT EXISTS ({pair.ctes()}, s AS (SELECT *, 1 AS here FROM source), t AS (SELECT *, 1 AS here FROM target)
+SELECT 1 FROM s FULL JOIN t ON {on} WHERE s.here IS NULL OR t.here IS NULL OR NOT ({equal})) AS identical"""
+
+
 def paired(pair: Pair, order: list[str], select: str, how: str = "FULL", where: str = "") -> str:
     """Sides with duplicate keys, matched on key and ordinal."""
     on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM t.{k}" for k in [*pair.keys, "ordinal"])
@@ -238,7 +268,9 @@ ORACLES: dict[str, str] = {
         c_acctbal AS saldo, upper(c_mktsegment) AS segmento FROM customer
         WHERE c_acctbal > 0 AND (c_nationkey < 5 OR c_nationkey > 20)""",
     "q03_text_scan": "SELECT * FROM supplier",
-    "q03_text_scan_schema": "SELECT * EXCLUDE (o_orderdate) FROM orders",
+    "q03_text_scan_schema": "SELECT * FROM orders",
+    "q03_text_round_trip_documents": "SELECT * FROM documents",
+    "q03_text_round_trip_conversations": "SELECT * FROM conversations",
     "q04_parquet_land": "SELECT * FROM part",
     "q06_location_fallback": "SELECT * FROM orders",
     "q08_columns_shared": filled(SHARED_NAMES.split(","), ["source", "target"]),
@@ -301,8 +333,20 @@ ORACLES: dict[str, str] = {
     "q27_column_summary": f"""SELECT count(*) FILTER (unequal > 0) AS columns_some_unequal,
         count(*) FILTER (unequal = 0) AS columns_all_equal,
         CAST(sum(unequal) AS BIGINT) AS unequal_values FROM ({ORDER_STATS}) AS x""",
-    "q28_verdict": f"""SELECT false AND source_only = 0 AND target_only = 0 AND some_unequal = 0
-        AS identical FROM ({ORDER_SUMMARY}) AS x""",
+    "q28_verdict": verdict(ORDERS, ORDER_RULES),
+    "q28_verdict_same": verdict(SAME, SUPPLIER_RULES),
+    "q28_verdict_unequal": verdict(UNEQUAL, SUPPLIER_RULES),
+    "q28_verdict_one_sided": verdict(ONE_SIDED_PAIR, SUPPLIER_RULES),
+    "q19_wide_decimals": stats(
+        DECIMALS, {"wide": near, "whole": near}, joined(DECIMALS, "*", "INNER")
+    ),
+    "q37_whole_lines_stats": stats(
+        WHOLE_LINES, WHOLE_LINE_RULES, paired(WHOLE_LINES, list(WHOLE_LINE_RULES), "*", "INNER")
+    ),
+    "q37_repeated_texts_stats": stats(
+        REPEATED_TEXTS, REPEATED_TEXT_RULES,
+        paired(REPEATED_TEXTS, list(REPEATED_TEXT_RULES), "*", "INNER"),
+    ),
     "q29_matched_sample": f"SELECT * FROM ({ORDER_WIDE}) AS x ORDER BY order_id LIMIT 10",
     "q30_mismatch_samples": mismatch_samples(),
     "q31_one_sided_samples": ONE_SIDED,

@@ -160,3 +160,57 @@ SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_orderkey END AS id,
        CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_partkey END AS part
 FROM {lineitem} WHERE l_suppkey % 29 <> 0""",
 )
+
+# Equal sides; equal columns and unequal values; rows that one side lacks.
+_SUPPLIERS = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM {supplier}"
+SAME = Pair(keys=("s_suppkey",), source=_SUPPLIERS, target=_SUPPLIERS)
+UNEQUAL = Pair(
+    keys=("s_suppkey",),
+    source=_SUPPLIERS,
+    target="""
+SELECT s_suppkey, s_name, s_nationkey,
+       CASE WHEN s_suppkey % 7 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal
+FROM {supplier}""",
+)
+ONE_SIDED_PAIR = Pair(
+    keys=("s_suppkey",), source=_SUPPLIERS, target=_SUPPLIERS + " WHERE s_suppkey % 5 <> 0"
+)
+
+# Decimals of 38 digits, against each other and against whole numbers, just within and
+# just beyond the tolerance.
+DECIMALS = Pair(
+    keys=("l_orderkey", "l_partkey", "l_suppkey"),
+    source="""
+SELECT l_orderkey, l_partkey, l_suppkey,
+       CAST(concat('12345678901234567', CAST(l_linenumber AS STRING), '.0001') AS DECIMAL(38, 10)) AS wide,
+       9007199254740993 + l_partkey AS whole
+FROM {lineitem}""",
+    target="""
+SELECT l_orderkey, l_partkey, l_suppkey,
+       CAST(concat('12345678901234567', CAST(l_linenumber AS STRING),
+                   CASE WHEN l_partkey % 3 = 0 THEN '.1001' WHEN l_partkey % 3 = 1 THEN '.00015'
+                        ELSE '.0001' END) AS DECIMAL(38, 10)) AS wide,
+       CAST(9007199254740993 + l_partkey - CASE WHEN l_partkey % 4 = 0 THEN 1 ELSE 0 END
+            AS DECIMAL(38, 10)) AS whole
+FROM {lineitem}""",
+)
+
+# Ten value columns under a repeating key, one of differing types.
+WHOLE_LINES = Pair(
+    keys=("l_orderkey",),
+    source="SELECT * FROM {lineitem}",
+    target="""
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_quantity,
+       l_extendedprice, l_discount, l_tax, l_returnflag,
+       CASE WHEN l_partkey % 23 = 0 THEN 'X' ELSE l_linestatus END AS l_linestatus, l_shipdate
+FROM {lineitem}""",
+)
+
+# Whole documents under a repeating key; some texts differ at their very end.
+REPEATED_TEXTS = Pair(
+    keys=("lang",),
+    source="SELECT lang, text, source, n_chars, doc_id FROM {documents}",
+    target="""
+SELECT lang, CASE WHEN doc_id % 10 = 0 THEN concat(text, '.') ELSE text END AS text,
+       source, n_chars, doc_id FROM {documents}""",
+)

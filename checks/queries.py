@@ -12,7 +12,13 @@ from checks.pairs import (
     INCOMPARABLE,
     LINES,
     NULL_KEYS,
+    DECIMALS,
+    ONE_SIDED_PAIR,
     ORDERS,
+    REPEATED_TEXTS,
+    SAME,
+    UNEQUAL,
+    WHOLE_LINES,
     TEXTS,
     TYPES,
     VECTORS,
@@ -36,7 +42,7 @@ from tallybridge.sinks.ledger import (
     status_of,
 )
 from tallybridge.sinks.tables import publish, save_csv, save_parquet
-from tallybridge.sources.files import inventory, read_parquet, read_text
+from tallybridge.sources.files import inventory, read_parquet, read_text, undoubled
 from tallybridge.sources.spec import QUERY, SourceSpec, read_spec
 from tallybridge.workspace import Workspace
 
@@ -91,12 +97,25 @@ def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_scan_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark).root}/orders.csv"
-    orders = table(spark, sf_dir, "orders").drop("o_orderdate")
+    orders = table(spark, sf_dir, "orders")
     orders.write.option("sep", "|").option("header", False).csv(path)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in orders.schema)
     return read_text(spark, path, "|", False, schema)
 
 
+def text_round_trip(name: str):
+    """A whole table with line breaks and quotes, written and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{Workspace(spark).root}/{name}.csv"
+        df = table(spark, sf_dir, name)
+        save_csv(df, path)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        return undoubled(read_text(spark, path, schema=schema))
+
+    return run
+
+
 def parquet_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark).root}/part.parquet"
     save_parquet(table(spark, sf_dir, "part"), path)
@@ -264,7 +283,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = compared(spark, sf_dir, ORDERS).column_stats()
     ledger.append_run(run_record(result_document(stats), FINISHED))
     return parsed_runs(ledger.runs()).select(
-        F.col("estado_ejecucion").alias("state"), "columna", "matches", "total", "percent"
+        "state", "columna", "matches", "total", "percent"
     )
 
 
@@ -273,6 +292,8 @@ QUERIES: dict[str, Query] = {
     "q02_spec_project_alias_filter": spec_project,
     "q03_text_scan": text_scan,
     "q03_text_scan_schema": text_scan_schema,
+    "q03_text_round_trip_documents": text_round_trip("documents"),
+    "q03_text_round_trip_conversations": text_round_trip("conversations"),
     "q04_parquet_land": parquet_land,
     "q06_location_fallback": location_fallback,
     "q07_inventory": lambda spark, sf_dir: inventory(spark, sf_dir),
@@ -308,6 +329,12 @@ QUERIES: dict[str, Query] = {
     "q26_row_summary": lambda spark, sf: compared(spark, sf, ORDERS).row_summary(),
     "q27_column_summary": lambda spark, sf: compared(spark, sf, ORDERS).column_summary(),
     "q28_verdict": lambda spark, sf: compared(spark, sf, ORDERS).verdict(),
+    "q28_verdict_same": lambda spark, sf: compared(spark, sf, SAME).verdict(),
+    "q28_verdict_unequal": lambda spark, sf: compared(spark, sf, UNEQUAL).verdict(),
+    "q28_verdict_one_sided": lambda spark, sf: compared(spark, sf, ONE_SIDED_PAIR).verdict(),
+    "q19_wide_decimals": lambda spark, sf: compared(spark, sf, DECIMALS).column_stats().drop("source_type", "target_type"),
+    "q37_whole_lines_stats": lambda spark, sf: compared(spark, sf, WHOLE_LINES).column_stats().drop("source_type", "target_type"),
+    "q37_repeated_texts_stats": lambda spark, sf: compared(spark, sf, REPEATED_TEXTS).column_stats().drop("source_type", "target_type"),
     "q29_matched_sample": lambda spark, sf: compared(spark, sf, ORDERS).matched_sample(),
     "q30_mismatch_samples": lambda spark, sf: compared(spark, sf, ORDERS).mismatch_samples(),
     "q31_one_sided_samples": one_sided_samples,

@@ -136,11 +136,18 @@ def _numbers(
     if is_integer(type_a) and is_integer(type_b) and tolerance.exact_for_integers:
         return Comparison(f"({a} <=> {b})", difference)
 
-    exact = _exact_decimal(a, b, type_a, type_b)
-    if exact is not None and tolerance.relative == 0:
+    if not (is_float(type_a) or is_float(type_b)):
         limit = f"{Decimal(repr(tolerance.absolute)):f}BD"
-        match = f"(({a} <=> {b}) OR coalesce({exact} <= {limit}, false))"
-        return Comparison(match, f"CAST({exact} AS DOUBLE)")
+        exact = _exact_decimal(a, b, type_a, type_b)
+        if exact is not None:
+            difference, near = f"CAST({exact} AS DOUBLE)", f"{exact} <= {limit}"
+        else:
+            difference = _wide_difference(a, b, type_a, type_b)
+            near = f"{difference} <= CAST({limit} AS DOUBLE)"
+        if tolerance.relative:
+            allowed = f"{number(tolerance.absolute)} + {number(tolerance.relative)} * abs({double_b})"
+            near = f"{difference} <= {allowed}"
+        return Comparison(f"(({a} <=> {b}) OR coalesce({near}, false))", difference)
 
     close = _close(double_a, double_b, tolerance)
     return Comparison(f"(({double_a} <=> {double_b}) OR coalesce({close}, false))", difference)
@@ -150,8 +157,6 @@ def _exact_decimal(a: str, b: str, type_a: T.DataType, type_b: T.DataType) -> st
     """``abs(a - b)`` in decimal arithmetic, when the result type holds every digit."""
     if is_float(type_a) or is_float(type_b):
         return None
-    if not (isinstance(type_a, T.DecimalType) or isinstance(type_b, T.DecimalType)):
-        return None
     (whole_a, scale_a), (whole_b, scale_b) = _digits(type_a), _digits(type_b)
     if max(whole_a, whole_b) + max(scale_a, scale_b) + 1 > 38:
         return None
@@ -160,6 +165,26 @@ def _exact_decimal(a: str, b: str, type_a: T.DataType, type_b: T.DataType) -> st
     return f"abs({left} - {right})"
 
 
+def _wide_difference(a: str, b: str, type_a: T.DataType, type_b: T.DataType) -> str:
+    """``abs(a - b)`` as a double where no decimal type holds every digit.
+
+    Whole parts and fractions are subtracted apart, both exactly; only their
+    small or large sum is rounded. Parts too far apart for 38 digits differ by
+    infinity.
+    """
+    parts = []
+    for value, dtype in ((a, type_a), (b, type_b)):
+        whole, scale = _digits(dtype)
+        value = f"CAST({value} AS DECIMAL({min(38, whole + scale)}, {scale}))"
+        rest = f"({value} % 1BD)" if scale else "0BD"
+        floor = f"IF({value} < 0, ceil({value}), floor({value}))" if scale else value
+        parts.append((f"CAST({floor} AS DECIMAL(38, 0))", rest))
+    (whole_a, rest_a), (whole_b, rest_b) = parts
+    whole = f"coalesce(CAST(try_subtract({whole_a}, {whole_b}) AS DOUBLE), CAST('Infinity' AS DOUBLE))"
+    rest = f"CAST({rest_a} - {rest_b} AS DOUBLE)"
+    return f"IF({a} IS NULL OR {b} IS NULL, NULL, abs({whole} + {rest}))"
+
+
 def _digits(dtype: T.DataType) -> tuple[int, int]:
     if isinstance(dtype, T.DecimalType):
         return dtype.precision - dtype.scale, dtype.scale

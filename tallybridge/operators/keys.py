@@ -27,20 +27,15 @@ SOURCE, TARGET = 0, 1
 
 # A key with more rows than this is hot.
 HOT_KEY_ROWS = 250_000
-# The list of hot keys is broadcast as 64-bit hashes: 512 KB at this length. Any
-# key left out holds less than 1/65536 of all rows and goes through the window.
-MAX_HOT_KEYS = 65_536
+# There are at most (rows / HOT_KEY_ROWS) hot keys. Up to so many their hashes are
+# broadcast (512 KB); a longer list is left to Spark's own choice of join.
+BROADCAST_KEYS = 65_536
 # Rows per range of a hot key. The range sort samples 100 sort keys per range,
-# up to three times over, on the driver: MAX_SAMPLE_BYTES bounds that sample,
-# and with it the number of ranges.
+# up to three times over, on the driver: MAX_SAMPLE_BYTES bounds that sample by
+# the measured width of the sort keys. Fewer ranges are larger, never unsorted.
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 16_384
 MAX_SAMPLE_BYTES = 512 * 1024 * 1024
 SAMPLES_PER_RANGE = 300
-# Sort keys stay narrow for the same reason: so many columns, so many characters.
-MAX_SORT_COLUMNS = 8
-MAX_SORT_CHARS = 64
-DIGEST_BYTES = 32
 
 
 @dataclass(frozen=True)
@@ -108,7 +103,6 @@ def profile_keys(
             f"""
             SELECT _h, _n0 + _n1 AS _n FROM {{counts}}
             WHERE greatest(_n0, _n1) > {int(hot_key_rows)}
-            ORDER BY _n DESC, _h LIMIT {MAX_HOT_KEYS}
             """,
             counts=counts,
         ).collect()
@@ -128,12 +122,12 @@ def split_hot(
     """The rows of ordinary keys, and those of hot keys if there are any."""
     if not profile.hot_hashes:
         return rows, None
-    # At most MAX_HOT_KEYS longs, see profile_keys.
+    hint = "/*+ BROADCAST(h) */" if len(profile.hot_hashes) <= BROADCAST_KEYS else ""
     hot = rows.sparkSession.createDataFrame([(h,) for h in profile.hot_hashes], "_hot long")
     ordinary, listed_hot = (
         query(
             f"""
-            SELECT /*+ BROADCAST(h) */ r.* FROM {{rows}} AS r
+            SELECT {hint} r.* FROM {{rows}} AS r
             LEFT {how} JOIN {{hot}} AS h ON {key_hash(keys)} = h._hot
             """,
             rows=rows,
@@ -146,62 +140,42 @@ def split_hot(
 
 @dataclass(frozen=True)
 class Ordering:
-    """Sort expressions, and the most bytes one sort key can take."""
+    """Sort expressions, whole values all of them, and those whose width varies."""
 
     columns: tuple[str, ...]
-    width: int
+    texts: tuple[str, ...] = ()
 
     def __add__(self, other: Ordering) -> Ordering:
-        return Ordering(self.columns + other.columns, self.width + other.width)
+        return Ordering(self.columns + other.columns, self.texts + other.texts)
 
 
 def ordering(columns: Sequence[Sequence[tuple[str, T.DataType]]]) -> Ordering:
     """How rows sort by their value columns, in the given order, NULLs first.
 
     Each entry holds one value, or one per side for a shared column; on any row
-    at most one of them is filled. Long texts sort by their beginning and then a
-    digest of the whole; columns that have no common order, and those beyond
-    the first eight, are folded into one digest at the end.
+    at most one of them is filled. Columns whose types differ between the sides
+    sort by their common type, and only values that have no place in it by
+    their text, so values that are equal sort alike on both sides.
     """
     sort: list[str] = []
-    width = 0
-    folded: list[str] = []
-    for position, variants in enumerate(columns):
-        mixed = len({dtype.simpleString() for _, dtype in variants}) > 1
-        if mixed:
-            folded.append(_either([as_text(v, t) for v, t in variants]))
+    texts: list[str] = []
+    for variants in columns:
+        if len({dtype.simpleString() for _, dtype in variants}) > 1:
             common = _common_order(variants)
-            if common is not None and position < MAX_SORT_COLUMNS:
+            shown = _either([as_text(v, t) for v, t in variants])
+            if common is not None:
                 sort.append(common)
-                width += 8
+                shown = f"IF({common} IS NULL, {shown}, NULL)"
+            if common is None or any(is_text(t) for _, t in variants):
+                sort.append(shown)
+                texts.append(shown)
             continue
         dtype = variants[0][1]
         value = _either([_plain(v, t) for v, t in variants])
-        if position >= MAX_SORT_COLUMNS:
-            folded.append(value)
-        elif is_text(dtype):
-            sort.append(f"substring({value}, 1, {MAX_SORT_CHARS})")
-            sort += [
-                f"IF(char_length({value}) > {MAX_SORT_CHARS}, {part}, NULL)"
-                for part in _digest([value])
-            ]
-            width += 4 * MAX_SORT_CHARS + DIGEST_BYTES
-        elif is_nested(dtype) or isinstance(dtype, T.BinaryType):
-            sort += _digest([value])
-            width += DIGEST_BYTES
-        else:
-            sort.append(value)
-            width += 16
-    if folded:
-        sort += _digest(folded)
-        width += DIGEST_BYTES
-    return Ordering(tuple(sort), width)
-
-
-def _digest(values: Sequence[str]) -> list[str]:
-    """128 bits in two halves. The hash skips NULLs, hence the flags."""
-    inputs = listed([*values, *[f"{v} IS NULL" for v in values]])
-    return [f"xxhash64({inputs})", f"xxhash64('again', {inputs})"]
+        sort.append(value)
+        if is_text(dtype) or is_nested(dtype) or isinstance(dtype, T.BinaryType):
+            texts.append(value)
+    return Ordering(tuple(sort), tuple(texts))
 
 
 def _either(values: Sequence[str]) -> str:
@@ -247,8 +221,14 @@ def number_ordinary(rows: DataFrame, keys: Sequence[str], order: Ordering) -> Da
 def range_count(rows: int, rows_per_range: int, width: int, fewest: int = 2) -> int:
     """Ranges for so many rows; at least ``fewest``, unless their sample is too big."""
     affordable = MAX_SAMPLE_BYTES // (SAMPLES_PER_RANGE * max(width, 1))
-    wanted = max(ceil(rows / rows_per_range), fewest)
-    return max(2, min(wanted, affordable, MAX_RANGES))
+    return max(2, min(max(ceil(rows / rows_per_range), fewest), affordable))
+
+
+def sort_width(rows: DataFrame, order: Ordering) -> int:
+    """Mean bytes of a sort key, measured."""
+    sizes = [f"coalesce(octet_length({t}), 0)" for t in order.texts] or ["0"]
+    (row,) = query(f"SELECT avg({' + '.join(sizes)}) AS w FROM {{rows}}", rows=rows).collect()
+    return int(row["w"] or 0) + 16 * len(order.columns)
 
 
 def number_hot(
@@ -270,14 +250,11 @@ def number_hot(
         query("SELECT *, monotonically_increasing_id() AS _tie FROM {rows}", rows=rows), "hot"
     )
     by_key = ordering([[(k, t)] for k, t in zip(keys, key_types)])
-    inside = Ordering(("_side",), 4) + order + Ordering(("_tie",), 8)
-    full = by_key + inside
-    # Two long keys with one digest must not interleave within a range.
-    local = (by_key if by_key.columns == tuple(keys) else by_key + Ordering(tuple(keys), 0)) + inside
+    full = by_key + Ordering(("_side",)) + order + Ordering(("_tie",))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = range_count(expected_rows, rows_per_range, full.width, tasks)
+    ranges = range_count(expected_rows, rows_per_range, sort_width(tied, full), tasks)
     ranged = tied.repartitionByRange(ranges, *[expr(c) for c in full.columns])
-    in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(local.columns)}", ranged=ranged)
+    in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(full.columns)}", ranged=ranged)
     placed = workspace.store(
         query(
             "SELECT * EXCEPT (_tie), monotonically_increasing_id() AS _pos FROM {rows}",

@@ -201,10 +201,11 @@ def only_in(source: DataFrame, target: DataFrame, layout: Layout, side: int) ->
     here, there = (source, target) if side == SOURCE else (target, source)
     types = layout.source if side == SOURCE else layout.target
     other = TARGET if side == SOURCE else SOURCE
-    columns = listed(ident(name) for name in types)
+    inside = listed(f"{ident(name)} AS _v{i}" for i, name in enumerate(types))
+    columns = listed(f"_v{i} AS {ident(name)}" for i, name in enumerate(types))
     return query(
         f"""
-        SELECT {columns} FROM (SELECT {listed(_keys_of(layout, side))}, * FROM {{here}}) AS l
+        SELECT {columns} FROM (SELECT {listed(_keys_of(layout, side))}, {inside} FROM {{here}}) AS l
         LEFT ANTI JOIN (SELECT {listed(_keys_of(layout, other))} FROM {{there}}) AS r
         ON {_same_keys(layout)}
         """,

@@ -19,8 +19,8 @@ from tallybridge.sources.files import exists, is_folder
 
 # Record fields and states that readers of the ledger expect.
 RUN_SCHEMA = (
-    "id_conciliacion string, resultado_comparacion string, "
-    "estado_ejecucion string, fecha_ejecucion timestamp"
+    "run_id string, result_json string, "
+    "state string, ts timestamp"
 )
 EVENT_SCHEMA = (
     "job_id string, status string, progress double, result_path string, "
@@ -51,7 +51,7 @@ def result_document(stats: DataFrame) -> DataFrame:
                 'lines', CAST(array() AS ARRAY<STRING>),
                 'column_stats', transform(
                     array_sort(collect_list(struct(position, stat))), entry -> entry.stat)),
-            map('ignoreNullFields', 'false')) AS resultado_comparacion
+            map('ignoreNullFields', 'false')) AS result_json
         FROM (SELECT position,
                      struct(`column` AS columna, matches, total, percent) AS stat
               FROM {stats})
@@ -60,12 +60,15 @@ def result_document(stats: DataFrame) -> DataFrame:
     )
 
 
-def run_record(result: DataFrame, state: str, run_id: str | None = None) -> DataFrame:
-    """One run row from a one-row relation with ``resultado_comparacion``."""
+def run_record(
+    result: DataFrame, state: str, run_id: str | None = None, ts: datetime | None = None
+) -> DataFrame:
+    """One run row from a one-row relation with ``result_json``; now, unless ``ts`` says when."""
+    when = f"TIMESTAMP {text(ts.isoformat(sep=' '))}" if ts else "current_timestamp()"
     return query(
         f"""
-        SELECT {text(run_id or str(uuid4()))} AS id_conciliacion, resultado_comparacion,
-               {text(state)} AS estado_ejecucion, current_timestamp() AS fecha_ejecucion
+        SELECT {text(run_id or str(uuid4()))} AS run_id, result_json,
+               {text(state)} AS state, {when} AS ts
         FROM {{result}}
         """,
         result=result,
@@ -76,9 +79,9 @@ def parsed_runs(runs: DataFrame) -> DataFrame:
     """Run rows with their stored JSON decoded, one row per compared column."""
     return query(
         f"""
-        SELECT id_conciliacion, estado_ejecucion, fecha_ejecucion, r.error AS error,
+        SELECT run_id, state, ts, r.error AS error,
                inline_outer(r.column_stats)
-        FROM (SELECT *, from_json(resultado_comparacion, {text(RESULT_SCHEMA)}) AS r
+        FROM (SELECT *, from_json(result_json, {text(RESULT_SCHEMA)}) AS r
               FROM {{runs}})
         """,
         runs=runs,
@@ -153,7 +156,7 @@ class Ledger:
 
     def append_error(self, message: str) -> None:
         body = F.to_json(F.struct(F.lit(message).alias("error")))
-        row = self._spark.range(1).select(body.alias("resultado_comparacion"))
+        row = self._spark.range(1).select(body.alias("result_json"))
         self.append_run(run_record(row, RUN_ERROR))
 
     def started(self, job_id: str) -> None:

@@ -15,8 +15,9 @@ def save_parquet(df: DataFrame, path: str) -> None:
 
 
 def published_name(path: str, job_id: str | None = None) -> str:
+    """The dataset's own name, inside a folder of its job if there is one."""
     base = basename(path.rstrip("/"))
-    return f"{base}_{job_id}.parquet" if job_id else f"{base}.parquet"
+    return f"{job_id}/{base}" if job_id else base
 
 
 def publish(
@@ -56,12 +57,12 @@ def save_csv(df: DataFrame, path: str) -> bool:
 
 
 def _printable(field: T.StructField) -> str:
-    value = ident(field.name)
-    if isinstance(field.dataType, T.StringType):
-        return f"replace({value}, '\\\\', '\\\\\\\\') AS {value}"
+    value, shown = ident(field.name), ident(field.name)
     if isinstance(field.dataType, T.BinaryType) or is_nested(field.dataType):
-        return f"{as_text(value, field.dataType)} AS {value}"
-    return value
+        shown = as_text(value, field.dataType)
+    elif not isinstance(field.dataType, T.StringType):
+        return value
+    return f"replace({shown}, '\\\\', '\\\\\\\\') AS {value}"
 
 
 def save_lines(lines: DataFrame, path: str) -> None:

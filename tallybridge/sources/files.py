@@ -14,13 +14,27 @@ def read_text(
     delimiter: str = ",",
     header: bool = True,
     schema: str | None = None,
+    quote: str = '"',
+    escape: str = '"',
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Delimited text. Without a ``schema`` the types cost one pass over the file."""
+    """Delimited text. Without a ``schema`` the types cost one pass over the file.
+
+    A quoted field may hold quotes (doubled) and line breaks. A file that has no
+    line breaks in fields can be split among tasks with ``multi_line=False``.
+    """
     reader = spark.read.option("sep", delimiter).option("header", header)
+    reader = reader.option("quote", quote).option("escape", escape).option("multiLine", multi_line)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
+def undoubled(df: DataFrame) -> DataFrame:
+    """Text columns as they were before ``save_csv`` doubled their backslashes."""
+    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    return df.withColumns({c: F.replace(F.col(f"`{c}`"), F.lit("\\\\"), F.lit("\\")) for c in texts})
+
+
 def read_parquet(spark: SparkSession, path: str, roots: Sequence[str] = ()) -> DataFrame:
     """Parquet at ``path``, or the dataset of that name under one of ``roots``."""
     return spark.read.parquet(locate(spark, path, roots))

@@ -7,7 +7,7 @@ Spark session already knows. Specs are plain driver-side values.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,10 +102,10 @@ class SourceSpec:
         return cls(
             kind=kind,
             query=query if isinstance(query, str) else " ".join(query),
-            columns=tuple(spec.get("columns") or ()),
-            alias=tuple(spec.get("alias") or ()),
-            filter=tuple(spec.get("filter") or ()),
-            key=tuple(spec.get("key") or ()),
+            columns=_names(spec.get("columns")),
+            alias=_names(spec.get("alias")),
+            filter=_names(spec.get("filter")),
+            key=_names(spec.get("key")),
             connection_name=spec.get("data_base_name") or "",
             **plain,
             **extra,
@@ -132,6 +132,11 @@ class SourceSpec:
         return statement + (f" WHERE {conditions}" if conditions else "")
 
 
+def _names(value: str | Sequence[str] | None) -> tuple[str, ...]:
+    """A single text is a list of one."""
+    return (value,) if isinstance(value, str) else tuple(value or ())
+
+
 def read_spec(
     spark: SparkSession,
     spec: SourceSpec,
@@ -143,9 +148,15 @@ def read_spec(
     runs over the tables and views of this session.
     """
     if spec.kind == TEXT:
-        return read_text(
+        relation = read_text(
             spark, spec.location, spec.delimiter, spec.header, spec.text_schema or None
         )
+        # A list of aliases that doesn't fit the columns leaves a text file's own names.
+        if spec.columns and len(spec.alias) in (0, len(spec.columns)):
+            return project(relation, spec)
+        for condition in spec.filter:
+            relation = relation.where(condition)
+        return relation
     if spec.connection_name:
         known = connections or {}
         if spec.connection_name not in known:

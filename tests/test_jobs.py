@@ -46,9 +46,9 @@ def test_publish_keeps_every_part(spark, tmp_path):
     save_parquet(spark.range(100).repartition(5), path)
     assert len(glob.glob(f"{path}/part-*")) == 5
     uri = publish(spark, path, str(tmp_path / "box"), "extract-7")
-    assert os.path.basename(uri) == "t.parquet_extract-7.parquet"
+    assert uri.endswith("/extract-7/t.parquet")
     assert spark.read.parquet(uri).count() == 100
-    assert published_name("a/b.parquet/") == "b.parquet.parquet"
+    assert published_name("a/b.parquet/") == "b.parquet"
     assert publish(spark, path, str(tmp_path), name="own").endswith("/own")
 
 
@@ -116,7 +116,7 @@ def test_whole_job(spark, sf_dir, tmp_path):
         ledger=ledger,
         container=str(tmp_path / "box"),
     )
-    assert pair.source.endswith(f"/box/a.parquet_{pair.job_id}.parquet")
+    assert pair.source.endswith(f"/box/{pair.job_id}/a.parquet")
     assert ledger.result(pair.job_id)["result"] == {"parquet_dir": pair.target}
 
     out = compare_datasets(
@@ -126,7 +126,7 @@ def test_whole_job(spark, sf_dir, tmp_path):
         pair.keys,
         str(tmp_path / "out"),
         ledger=ledger,
-        roots=[str(tmp_path / "box")],
+        roots=[str(tmp_path / "box" / pair.job_id)],
     )
     assert ledger.status(out.job_id)["status"] == FINISHED
     body = ledger.result(out.job_id)["result"]
@@ -146,7 +146,7 @@ def test_failed_comparison_is_recorded_once(spark, tmp_path):
     job = latest_state(ledger.events()).first()
     assert (job["status"], job["error"], job["progress"]) == (FAILED, COMPARE_FAILED, 1.0)
     run = parsed_runs(ledger.runs()).first()
-    assert (run["estado_ejecucion"], run["error"]) == ("error", COMPARE_FAILED)
+    assert (run["state"], run["error"]) == ("error", COMPARE_FAILED)
     assert ledger.result(job["job_id"])["result"] == {"error": COMPARE_FAILED}
 
 
