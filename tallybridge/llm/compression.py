@@ -41,7 +41,7 @@ LEAST_Z, LEAST_COUNT = (6.0, 4.0, 2.5), 2
 LEAST_ODDS = 3.0
 # A false alarm weighs as much as so many misses when the saving is chosen.
 _ALARM = 4
-_SKETCH = 8
+_SKETCH = 16
 _LEVEL, _MIN_MATCH = 5, 6
 # Begins every window and stands in both dictionaries: it pays a block's fixed costs, so
 # that a single match further on already shows in the length.
@@ -126,19 +126,20 @@ def _document_words(text: bytes) -> set[bytes]:
 def distinct_texts(texts: list[bytes]) -> list[bytes]:
     """One text of each group of near copies, whose words would else count many times.
 
-    A text goes if one of ``_SKETCH`` pairs of minima over its shingles has been seen.
+    A text goes if it shares two of ``_SKETCH`` minima over its shingles with one before.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sets, cuts = shingle_sets(data, np.cumsum([0, *map(len, texts)]))
-    minima = [arrays.mix(sets, 60 + k) for k in range(2 * _SKETCH)]
-    seen: set[tuple[int, int, int]] = set()
+    minima = [arrays.mix(sets, 60 + k) for k in range(_SKETCH)]
+    seen: dict[tuple[int, int], list[int]] = {}
     out = []
-    for text, a, b in zip(texts, cuts[:-1], cuts[1:]):
-        least = [int(h[a:b].min()) for h in minima] if b > a else []
-        own = {(k, least[k], least[k + 1]) for k in range(0, len(least), 2)}
-        if not own & seen:
+    for i, (text, a, b) in enumerate(zip(texts, cuts[:-1], cuts[1:])):
+        own = [(k, int(h[a:b].min())) for k, h in enumerate(minima)] if b > a else []
+        shared = Counter(j for key in own for j in seen.get(key, ()))
+        if max(shared.values(), default=0) < 2:
             out.append(text)
-        seen |= own
+        for key in own:
+            seen.setdefault(key, []).append(i)
     return out
 
 

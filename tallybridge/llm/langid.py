@@ -32,7 +32,7 @@ from tallybridge.llm import arrays
 from tallybridge.workspace import Workspace
 
 # Labelled rows that training may use.
-SAMPLE = 4000
+SAMPLE = 1500
 CELLS = 1 << 15
 LEAST_COUNT = 5
 # Trigrams of a text are no independent witnesses: their mean counts so many times at most.
