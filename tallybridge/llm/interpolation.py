@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +87,17 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+@lru_cache(1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pack(counts))
+    return _zstd()[0].compress(pack(counts))
 
 
 def unsqueeze(squeezed: bytes) -> np.ndarray:
-    return unpack(zstandard.ZstdDecompressor().decompress(squeezed))
+    return unpack(_zstd()[1].decompress(squeezed))
 
 
 def pack_grams(grams: np.ndarray) -> bytes:
@@ -200,7 +206,7 @@ def _events(owners: int, group: pa.Table, answers: pa.Table) -> pa.Table:
     sums = np.concatenate([[0.0], np.cumsum(np.log10(word + 0.5))])
     hits = np.concatenate([[0], np.cumsum(word > 0)])
     cut = lambda values, which: [
-        pack(values[a:b]) if w else None for a, b, w in zip(first[:-1], first[1:], which)
+        squeeze(values[a:b]) if w else None for a, b, w in zip(first[:-1], first[1:], which)
     ]
     every = np.ones(n, bool)
     return _event_table(
@@ -240,7 +246,7 @@ def _summary(total: int, ends: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     seen: dict[int, np.ndarray] = {}
     for batch in batches:
         for word, pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            word, pair = unpack(word).astype(float), unpack(pair)
+            word, pair = unsqueeze(word).astype(float), unsqueeze(pair)
             context = _contexts(word, ends)
             p1 = word / max(total, 1)
             p2 = pair / np.maximum(context, 1)
@@ -276,7 +282,7 @@ def _scores(total: int, ends: int, vocabulary: int, weights: np.ndarray, batches
     for batch in batches:
         scores = []
         for word, pair in zip(batch["word"].to_pylist(), batch["pair"].to_pylist()):
-            word, pair = unpack(word).astype(float), unpack(pair)
+            word, pair = unsqueeze(word).astype(float), unsqueeze(pair)
             context = _contexts(word, ends)
             w = weights[_buckets(context)]
             p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(total, 1) + w[:, 2] / (vocabulary + 1)

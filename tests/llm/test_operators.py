@@ -177,6 +177,7 @@ def test_quality_rejects_strange_text(spark):
 def test_toxicity_learns_and_spares(spark):
     rng = np.random.RandomState(2)
     vocabulary = [f"{a}{b}" for a in ("lan", "mor", "tel", "vis", "gro") for b in ("an", "ide", "ous", "ent", "ily", "og")]
+    vocabulary = [a + b for a in vocabulary for b in vocabulary]
     rows, labels = [], []
     for i in range(600):
         own = list(rng.choice(vocabulary, 80))
