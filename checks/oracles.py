@@ -338,7 +338,7 @@ ORACLES: dict[str, str] = {
     "q28_verdict_unequal": verdict(UNEQUAL, SUPPLIER_RULES),
     "q28_verdict_one_sided": verdict(ONE_SIDED_PAIR, SUPPLIER_RULES),
     "q19_wide_decimals": stats(
-        DECIMALS, {"wide": near, "whole": near}, joined(DECIMALS, "*", "INNER")
+        DECIMALS, {"wide": near, "whole": near}, paired(DECIMALS, ["wide", "whole"], "*", "INNER")
     ),
     "q37_whole_lines_stats": stats(
         WHOLE_LINES, WHOLE_LINE_RULES, paired(WHOLE_LINES, list(WHOLE_LINE_RULES), "*", "INNER")
