@@ -114,7 +114,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = arrays.utf8(batch.column(1))
         sets, cuts = shingle_sets(data, offsets)
         rows = signatures(sets, cuts)
-        bands = arrays.signed(band_hashes(rows)).ravel()
+        hashes = band_hashes(rows)
+        bands = arrays.signed(hashes).ravel()
+        # A byte of every coordinate and of every band.
+        sketch = np.concatenate([rows & 0xFF, hashes & np.uint64(0xFF)], axis=1).astype(np.uint8)
         sums = []
         for seed in (7, 8):
             total = np.zeros(len(sets) + 1, np.uint64)
@@ -127,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.diff(cuts)),
                 *sums,
                 pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands)),
-                arrays.binaries((rows & 0xFF).astype(np.uint8).tobytes(), np.arange(n + 1) * WIDTH),
+                arrays.binaries(sketch.tobytes(), np.arange(n + 1) * sketch.shape[1]),
             ],
             ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
         )
@@ -154,18 +157,18 @@ def _partners(sketches: np.ndarray, sizes: np.ndarray, parts: np.ndarray, blocks
     """Which later members must be compared with member ``i``."""
     rest = sketches[i + 1 :]
     equal = rest == sketches[i]
-    ok = (parts[i + 1 :] != parts[i]) & (equal.sum(1) >= AGREE)
+    ok = (parts[i + 1 :] != parts[i]) & (equal[:, :WIDTH].sum(1) >= AGREE)
     ok &= 5 * np.minimum(sizes[i + 1 :], sizes[i]) >= 4 * np.maximum(sizes[i + 1 :], sizes[i])
     if not same:
         ok &= blocks[i + 1 :] != blocks[i]
     if band:  # an earlier band's bucket has this pair
-        met = equal[:, : band * ROWS].reshape(len(rest), band, ROWS).all(2).any(1)
-        ok &= ~met
+        met = equal[:, : band * ROWS].reshape(len(rest), band, ROWS).all(2) & equal[:, WIDTH : WIDTH + band]
+        ok &= ~met.any(1)
     return np.flatnonzero(ok) + i + 1
 
 
 def _members(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool, int]:
-    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, WIDTH + BANDS)
     same = group["x"][0].as_py() == group["y"][0].as_py()
     sizes, parts, blocks = (group[c].to_numpy() for c in ("n_shingles", "component", "block"))
     return sketch, sizes, parts, blocks, same, group["band"][0].as_py()
