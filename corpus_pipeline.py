@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallybridge.llm import bpe, compression, langid, minhash, mixing
 from tallybridge.workspace import Workspace
 
+SHINGLE_WORDS = 5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
@@ -28,8 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    """The first document of every group that shares 0.8 of its five-word shingles."""
+    gone = minhash.near_duplicates(docs, SHINGLE_WORDS).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -1,6 +1,7 @@
 """Near-duplicate documents by circulant MinHash, banding and exact verification.
 
-A document is the set of its distinct 2-word shingles (one shorter sequence as a whole).
+A document is the set of its distinct shingles of ``width`` words, two unless the caller
+says otherwise (a shorter sequence counts as one shingle).
 Two fixed permutations give all signature coordinates: the first scatters the shingles
 over a ring of 2^32 places, and coordinate k is the smallest value that the second takes
 on the set after the ring has been turned by k.
@@ -109,10 +110,10 @@ def band_hashes(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = arrays.utf8(batch.column(1))
-        sets, cuts = shingle_sets(data, offsets)
+        sets, cuts = shingle_sets(data, offsets, width)
         rows = signatures(sets, cuts)
         hashes = band_hashes(rows)
         bands = arrays.signed(hashes).ravel()
@@ -143,10 +144,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _check(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both texts: those that are similar."""
     for batch in batches:
-        sets = [shingle_sets(*arrays.utf8(batch.column(c))) for c in (2, 3)]
+        sets = [shingle_sets(*arrays.utf8(batch.column(c)), width) for c in (2, 3)]
         keep = [
             similar(*(own[cuts[r] : cuts[r + 1]] for own, cuts in sets)) for r in range(batch.num_rows)
         ]
@@ -187,12 +188,12 @@ def _survivors(group: pa.Table) -> pa.Table:
     return group.filter(pa.array(needed))
 
 
-def _joined(group: pa.Table) -> pa.Table:
+def _joined(width: int, group: pa.Table) -> pa.Table:
     """Links that join components inside a block pair."""
     group = group.sort_by("doc_id")
     ids = group["doc_id"].to_numpy()
     members = _members(group)
-    sets, cuts = shingle_sets(*arrays.utf8(group["text"]))
+    sets, cuts = shingle_sets(*arrays.utf8(group["text"]), width)
     values, codes = np.unique(sets, return_inverse=True)
     sizes = np.diff(cuts)
     parent = {c: c for c in members[2].tolist()}
@@ -224,13 +225,13 @@ def _joined(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     spark = docs.sparkSession
     arrays.ship(spark)
     workspace = Workspace(spark)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = workspace.store(texts.mapInArrow(_sign, SIGNATURES), "signatures")
+    signed = workspace.store(texts.mapInArrow(lambda b: _sign(width, b), SIGNATURES), "signatures")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = workspace.store(classes, "classes")
@@ -253,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         .join(shared.toDF("a", "text_a"), "a")
         .select("a", "b", "text_a", "text_b")
     )
-    links = workspace.store(compared.mapInArrow(_check, _VERIFIED), "links")
+    links = workspace.store(compared.mapInArrow(lambda b: _check(width, b), _VERIFIED), "links")
     first = workspace.store(connected_components(links, workspace), "components")
 
     placed = (
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
     key = ["band", "bucket", "x", "y"]
     close = workspace.store(crowd.groupBy(*key).applyInArrow(_survivors, crowd.schema), "close")
-    again = close.join(shared, "doc_id").groupBy(*key).applyInArrow(_joined, _VERIFIED)
+    again = close.join(shared, "doc_id").groupBy(*key).applyInArrow(lambda g: _joined(width, g), _VERIFIED)
     more = workspace.store(again, "links")
     final = connected_components(links.unionByName(more), workspace)
 

@@ -66,12 +66,13 @@ def words(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
 
-def test_near_duplicates(docs, none):
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(docs, none, width):
     sets = {}
     for key, text, *_ in documents():
         if key is not None:
             own = words(text)
-            sets.setdefault(key, frozenset(zip(own, own[1:])) if len(own) > 1 else frozenset(tuple(own) and [tuple(own)]))
+            sets.setdefault(key, frozenset(zip(*(own[k:] for k in range(width)))) if len(own) >= width else frozenset(tuple(own) and [tuple(own)]))
     parent = {k: k for k in sets}
 
     def root(k):
@@ -84,14 +85,14 @@ def test_near_duplicates(docs, none):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    found = minhash.near_duplicates(docs).collect()
+    found = minhash.near_duplicates(docs, width).collect()
     assert len(found) == len(documents())
     for r in found:
         if r.doc_id is None:
             assert r.kept and r.component_id is None
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
-    assert minhash.near_duplicates(none).count() == 0
+    assert minhash.near_duplicates(none, width).count() == 0
 
 
 def test_components_of_chains_hubs_and_cycles(spark):
