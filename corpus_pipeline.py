@@ -18,8 +18,7 @@ SHINGLE_WORDS = 5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
-    known = langid.identify_documents(docs, langid.train(docs))
-    return known.where("accepted").select(*docs.columns)
+    return langid.accepted_documents(docs, langid.train(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,6 +245,37 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     )
 
 
+# What a document's verdict depends on, besides the corpus.
+_SAME = (
+    "doc_id <=> _langid_doc AND xxhash64(text) = _langid_text AND lang <=> _langid_lang AND source <=> _langid_source"
+)
+
+
+def _verdicts(docs: DataFrame, model: TextModel) -> DataFrame:
+    """A row per distinct document: the label is the declaration and the source the host.
+
+    Texts go to the workers, but neither come back nor take part in the joins of evidence.
+    """
+    narrow = docs.select(
+        F.col("doc_id").alias("_langid_doc"), F.xxhash64("text").alias("_langid_text"),
+        F.col("lang").alias("_langid_lang"), F.col("source").alias("_langid_source"), F.col("text").alias("_langid_whole"),
+    )
+    keys = narrow.columns[:-1]
+    found = identify(
+        narrow, model, F.col("_langid_whole"), F.col("_langid_lang"), None, F.col("_langid_source"), None, keys
+    )
+    return found.dropDuplicates(keys)
+
+
 def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
-    """Documents: their language label is the declaration and their source the host."""
-    return identify(docs, model, F.col("text"), F.col("lang"), None, F.col("source"), None, docs.columns)
+    """``docs`` with ``lang_id, posterior, text_posterior, accepted``."""
+    found = _verdicts(docs, model)
+    return docs.join(found, F.expr(_SAME)).select(
+        *[F.col(f"`{c}`") for c in docs.columns], *[found[c] for c in ("lang_id", "posterior", "text_posterior", "accepted")]
+    )
+
+
+def accepted_documents(docs: DataFrame, model: TextModel) -> DataFrame:
+    """The rows of ``docs`` whose language is known, with their own columns only."""
+    known = _verdicts(docs, model).where("accepted").select("_langid_doc", "_langid_text", "_langid_lang", "_langid_source")
+    return docs.join(known, F.expr(_SAME), "left_semi")

@@ -211,6 +211,11 @@ def test_languages(spark, docs, none):
     assert found[3].accepted and not found[4].accepted and found[4].posterior == 0
     out = langid.identify_documents(docs, model)
     assert out.count() == len(documents()) and out.columns[: len(docs.columns)] == docs.columns
+    clashing = docs.selectExpr("*", "1 AS accepted", "2 AS lang_id")
+    kept = langid.accepted_documents(clashing, model)
+    assert kept.columns == clashing.columns
+    assert kept.count() == out.where("accepted").count() > 0
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in out.where("accepted").collect())
     assert langid.identify_documents(none, langid.train(none)).count() == 0
     assert langid.identify_documents(none, model).count() == 0
 
