@@ -71,8 +71,8 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def each(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for i, j in slices(offsets):
+def each(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for i, j in slices(offsets, limit):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 

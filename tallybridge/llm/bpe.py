@@ -1,6 +1,7 @@
 """Byte-level BPE by two-tier lookup.
 
-The text is cut into pre-tokens and each distinct pre-token of a batch is encoded once.
+The text is cut into pre-tokens and each distinct pre-token of a few
+megabytes is encoded once.
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is itself an
 entry costs one probe. Tier two merges the bytes of the others: a doubly linked list of
 parts and a heap of adjacent pairs ordered by rank, then position.
@@ -29,7 +30,9 @@ from tallybridge.llm import arrays
 _BUCKET_KEYS = 4
 _SEED_BLOCK = 1024
 # Distinct pre-tokens a Python worker remembers between batches.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
+# Bytes of whole texts whose pre-tokens are in memory at a time.
+_GROUP = 4 << 20
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -241,11 +244,12 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
             words, *parts = shared.value
             codec = _codecs[path] = Codec(words, PerfectHash(*parts))
         for batch in batches:
-            rows = list(digests(codec, *arrays.utf8(batch.column(1))))
-            n, ids, text = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            keys = batch.column(0).cast(pa.int64())
+            for i, j, part, cuts in arrays.each(*arrays.utf8(batch.column(1)), _GROUP):
+                n, ids, text = zip(*digests(codec, part, cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [keys[i:j], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(id_column, text_column).mapInArrow(run, SCHEMA)

@@ -34,6 +34,8 @@ from tallybridge.workspace import Workspace
 # Labelled rows that training may use.
 SAMPLE = 1500
 CELLS = 1 << 15
+# Bytes whose trigrams are in memory at a time.
+_SLICE = 1 << 19
 LEAST_COUNT = 5
 # Trigrams of a text are no independent witnesses: their mean counts so many times at most.
 WITNESSES = 60.0
@@ -53,7 +55,7 @@ class TextModel:
         """Tempered log-likelihood of every text in every language."""
         n = len(offsets) - 1
         out = np.zeros((n, len(self.langs)))
-        for i, j, part, cuts in arrays.each(data, offsets):
+        for i, j, part, cuts in arrays.each(data, offsets, _SLICE):
             cells, owner = _trigrams(part, cuts)
             if len(cells):
                 counts = np.bincount(owner, minlength=j - i)
