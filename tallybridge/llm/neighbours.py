@@ -1,27 +1,30 @@
 """Near-duplicate vectors by NN-descent over a distributed neighbour graph.
 
-1. The graph starts from blocks: in each of ``TREES`` rounds vectors that agree on the
-   signs of a few random projections meet, at most ``BLOCK`` at a time, and keep their
-   nearest few.
-2. Neighbours-of-neighbours joins refine it: all that are on a vector's list, in either
-   direction, are compared with each other, and every vector keeps the ``LIST`` nearest.
-3. Pairs near the threshold are computed in double precision and give components.
-4. A list that is full of links is saturated: it may hide more. Lists are enlarged to the
-   whole component, whose members are compared in blocks, so links are counted exactly
-   and never kept as pairs.
-5. ``AUDIT`` vectors are compared with all others; if less than ``TARGET`` of their links
-   were found, more blocks and joins follow.
+1. Equal vectors are one node with a weight, found by a 128-bit digest; the rest works on
+   nodes, so copies never fill each other's lists.
+2. The graph starts from blocks: in each of several trees nodes that agree on the signs of a
+   few random projections meet, all of them. A block returns the nearest few of every member
+   and, in double precision, a spanning forest of all links among its members: nothing that
+   the block connects is lost to a list's length. There are as many trees as leave a pair
+   at the threshold apart in all of them with a chance of ``MISS``, whatever the data.
+3. Neighbours-of-neighbours joins refine the lists ``ROUNDS`` times.
+4. Links give components. Links are counted exactly by comparing a component's nodes in
+   blocks, and are never kept as pairs.
+5. ``AUDIT`` nodes are compared with all others; if less than ``TARGET`` of their links
+   were found, more trees and joins follow.
 
 Cases: vectors that are NULL, empty, zero, or hold NULL or non-finite components link with
 nothing; vectors of different lengths never link; rows that repeat an id are one node and
-do not link with themselves; NULL ids link with nothing and have a NULL component; an empty
-table gives no rows; only the two named columns are read.
+do not link with themselves, and the links of an id's different vectors add up; NULL ids
+link with nothing and have a NULL component; ``audit_recall`` is NULL where no audited node
+has a link; an empty table gives no rows; only the two named columns are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from math import ceil, log2
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,8 @@ from tallybridge.llm.components import connected_components
 from tallybridge.workspace import Workspace
 
 THRESHOLD = 0.95
-TREES, BLOCK = 16, 256
+BLOCK = 1024
+MISS = 1e-5
 LIST, FEW = 8, 4
 ROUNDS = 2
 AUDIT, TARGET, ATTEMPTS = 256, 0.99, 3
@@ -40,12 +44,13 @@ AUDIT, TARGET, ATTEMPTS = 256, 0.99, 3
 _MARGIN = 1e-4
 
 _CANDIDATES = "a long, b long, sim float"
+_FOUND = "a long, b long, sim float, sure boolean"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors of all rows that have a direction."""
     for batch in batches:
-        ids, units, sizes = [], [], []
+        ids, units, sizes, keys = [], [], [], []
         for key, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if key is None or not values or None in values:
                 continue
@@ -57,10 +62,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         x = x / np.abs(x).max()
                         length = np.sqrt(x @ x)
                     ids.append(key)
-                    units.append((x / length).tobytes())
+                    units.append((x / length + 0.0).tobytes())  # no negative zeros
                     sizes.append(len(x))
+                    keys.append(hashlib.blake2b(units[-1], digest_size=16).digest())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "dim", "unit"]
+            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(units, pa.binary())],
+            ["vec_id", "dim", "key", "unit"],
         )
 
 
@@ -70,37 +77,61 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind=np.float64) -> np.ndarray:
 
 
 def _codes(trees: range, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per vector and tree: the block it falls in, and the vector in single precision."""
+    """A row per node and tree: the code it falls in."""
     for batch in batches:
         dims = batch.column(1).to_numpy()
         for dim in np.unique(dims):
             own = batch.filter(pa.array(dims == dim))
-            x = _matrix(own.column(2)).astype(np.float32)
-            single = pa.array([r.tobytes() for r in x], pa.binary())
+            x = _matrix(own.column(2))
             for tree in trees:
-                planes = np.random.RandomState(1000 + tree).standard_normal((int(dim), max(bits, 1))).astype(np.float32)
+                planes = np.random.RandomState(1000 + tree).standard_normal((int(dim), max(bits, 1)))
                 code = ((x @ planes > 0) @ (1 << np.arange(max(bits, 1)))) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(x), tree, np.int32)), pa.array(np.full(len(x), dim, np.int32)),
-                        pa.array(code.astype(np.int64)), own.column(0), single,
+                        pa.array(code.astype(np.int64)), own.column(0),
                     ],
-                    ["tree", "dim", "code", "vec_id", "unit"],
+                    ["tree", "dim", "code", "node"],
                 )
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each member's few nearest others."""
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with their vectors in single precision."""
+    for batch in batches:
+        single = [np.frombuffer(u).astype(np.float32).tobytes() for u in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(single, pa.binary())], ["u", "unit"])
+
+
+def _nearest(ids: np.ndarray, sims: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each member's few nearest others, from all similarities; -2 stands for no pair."""
     n = len(ids)
     if n < 2:
-        return ids[:0], ids[:0], x[:0, 0]
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2)
+        return ids[:0], ids[:0], sims[:0, 0]
     few = min(few, n - 1)
     best = np.argpartition(-sims, few - 1, axis=1)[:, :few]
     rows = np.repeat(np.arange(n), few)
     cols = best.ravel()
-    return ids[rows], ids[cols], sims[rows, cols]
+    real = sims[rows, cols] > -2
+    return ids[rows[real]], ids[cols[real]], sims[rows[real], cols[real]]
+
+
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all that the symmetric matrix of links connects."""
+    left = hit.any(1)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in np.flatnonzero(left):
+        if not left[start]:
+            continue
+        left[start] = False
+        stack = [start]
+        while stack:
+            u = stack.pop()
+            new = np.flatnonzero(hit[u] & left)
+            left[new] = False
+            a.append(np.full(len(new), u))
+            b.append(new)
+            stack.extend(new)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
@@ -110,7 +141,19 @@ def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
 
 
 def _block(group: pa.Table) -> pa.Table:
-    return _pairs([_nearest(group["vec_id"].to_numpy(), _matrix(group["unit"], np.float32), FEW)])
+    """The nearest few of every member of a pair of a code's blocks, and its links' forest."""
+    ids, part = group["node"].to_numpy(), group["part"].to_numpy()
+    x = _matrix(group["unit"])
+    sims = x @ x.T
+    if group["x"][0].as_py() == group["y"][0].as_py():
+        np.fill_diagonal(sims, -2)
+    else:
+        sims[part[:, None] == part[None, :]] = -2
+    near = _pairs([_nearest(ids, sims, FEW)])
+    a, b = _forest(sims >= THRESHOLD)
+    sure = _pairs([(ids[a], ids[b], sims[a, b])])
+    near, sure = (t.append_column("sure", pa.array(np.full(t.num_rows, k))) for t, k in ((near, False), (sure, True)))
+    return pa.concat_tables([near, sure])
 
 
 def _local_join(group: pa.Table) -> pa.Table:
@@ -123,7 +166,9 @@ def _local_join(group: pa.Table) -> pa.Table:
     for a, b in zip(cuts, np.append(cuts[1:], len(v))):
         if b - a > 1:
             x = np.frombuffer(b"".join(units[a:b]), np.float32).reshape(b - a, -1)
-            parts.append(_nearest(ids[a:b], x, 2))
+            sims = x @ x.T
+            np.fill_diagonal(sims, -2)
+            parts.append(_nearest(ids[a:b], sims, 2))
     return _pairs(parts)
 
 
@@ -138,21 +183,22 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_links(group: pa.Table) -> pa.Table:
-    """Links of every member inside a pair of a component's blocks."""
+    """Links of every node inside a pair of a component's blocks, weighted."""
     same = group["x"][0].as_py() == group["y"][0].as_py()
-    ids, block = group["vec_id"].to_numpy(), group["block"].to_numpy()
+    node, ids, block = (group[c].to_numpy() for c in ("node", "vec_id", "block"))
+    weight = group["weight"].to_numpy().astype(float)
     x = _matrix(group["unit"])
     if same:
         hit = x @ x.T >= THRESHOLD
         hit &= ids[:, None] != ids[None, :]
-        return pa.table({"vec_id": pa.array(ids), "n": pa.array(hit.sum(1), pa.int64())})
+        return pa.table({"node": pa.array(node), "n": pa.array((hit @ weight + weight - 1).astype(np.int64))})
     left = block == group["x"][0].as_py()
     hit = x[left] @ x[~left].T >= THRESHOLD
     hit &= ids[left][:, None] != ids[~left][None, :]
     return pa.table(
         {
-            "vec_id": pa.array(np.concatenate([ids[left], ids[~left]])),
-            "n": pa.array(np.concatenate([hit.sum(1), hit.sum(0)]), pa.int64()),
+            "node": pa.array(np.concatenate([node[left], node[~left]])),
+            "n": pa.array(np.concatenate([hit @ weight[~left], weight[left] @ hit]).astype(np.int64)),
         }
     )
 
@@ -166,53 +212,90 @@ def _shorten(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _components(vectors: DataFrame, graph: DataFrame, workspace: Workspace) -> DataFrame:
-    """``vec_id, component, n_links`` of every linked vector."""
-    spark = vectors.sparkSession
+def _collapse(units: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``node, vec_id, dim, unit, weight`` of every distinct vector, and whose it is.
+
+    An id with several vectors has nodes of its own, so that it never links with itself.
+    """
+    owned = units.select("vec_id", "key").distinct()
+    several = owned.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id", F.col("vec_id").alias("own"))
+    owned = workspace.store(owned.join(several, "vec_id", "left"), "owned")
+    heads = owned.groupBy("key", "own").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    rows = units.groupBy("vec_id", "key").agg(F.first("dim").alias("dim"), F.first("unit").alias("unit"))
+    nodes = rows.join(heads, ["vec_id", "key"]).select(F.monotonically_increasing_id().alias("node"), "vec_id", "key", "own", "weight", "dim", "unit")
+    nodes = workspace.store(nodes, "nodes")
+    heads = nodes.select("key", F.col("own").alias("_own"), "node", F.col("vec_id").alias("head"))
+    members = owned.join(heads, (owned["key"] == heads["key"]) & F.col("own").eqNullSafe(F.col("_own"))).select("vec_id", "head", "node")
+    return nodes, workspace.store(members, "members")
+
+
+def _components(nodes: DataFrame, members: DataFrame, sure: DataFrame, graph: DataFrame, workspace: Workspace) -> DataFrame:
+    """``vec_id, component`` of every linked id."""
     near = graph.where(F.col("sim") >= THRESHOLD - _MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = (
-        near.join(vectors.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua")), "a")
-        .join(vectors.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub")), "b")
+    exact = (
+        near.join(nodes.select(F.col("node").alias("a"), F.col("unit").alias("ua")), "a")
+        .join(nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub")), "b")
         .select("a", "b", "ua", "ub")
         .mapInArrow(_exact, "a long, b long")
     )
+    name = nodes.select("node", "vec_id")
+    links = (
+        sure.unionByName(exact).distinct()
+        .join(name.toDF("a", "ia"), "a").join(name.toDF("b", "ib"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+        .unionByName(members.where("vec_id <> head").select(F.col("vec_id").alias("a"), F.col("head").alias("b")))
+    )
     found = connected_components(workspace.store(links, "links"), workspace).toDF("vec_id", "component")
-    found = workspace.store(found, "components")
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return workspace.store(found, "components")
+
+
+def _counted(nodes: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """``vec_id, component, n_links`` of every linked id."""
+    placed = found.join(nodes.select("vec_id", "node", "dim", "weight", "unit"), "vec_id")
+    sizes = found.join(nodes.select("vec_id"), "vec_id").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     spots = (
-        found.join(sizes, "component").join(vectors, "vec_id")
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        placed.join(sizes, "component")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "vec_id", "unit")
+        .select("component", "dim", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "vec_id", "weight", "unit")
     )
-    counts = spots.groupBy("component", "dim", "x", "y").applyInArrow(_count_links, "vec_id long, n long")
-    counts = counts.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    return workspace.store(found.join(counts, "vec_id"), "counted")
+    counts = spots.groupBy("component", "dim", "x", "y").applyInArrow(_count_links, "node long, n long")
+    counts = counts.groupBy("node").agg(F.sum("n").alias("n"))
+    counts = members.join(counts, "node").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    return found.join(counts, "vec_id")
 
 
-def _recall(vectors: DataFrame, found: DataFrame) -> float:
-    """Share of the links of ``AUDIT`` vectors, compared with all, that lie in a component."""
-    asked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).select("vec_id", "dim", "unit").collect()
-    queries = [(r["vec_id"], r["dim"], bytes(r["unit"])) for r in asked]
+def _recall(nodes: DataFrame, found: DataFrame, n: int) -> float | None:
+    """Share of an audited node's links that lie in its component, by nodes; None without links."""
+    size = AUDIT
+    placed = nodes.select("node", "vec_id", "dim", "unit").join(found, "vec_id", "left").select(
+        "node", "dim", F.coalesce("component", "vec_id").alias("component"), "unit"
+    )
+    asked = placed.orderBy(F.xxhash64("node"), "node").limit(size).collect()
+    queries = {}
+    for dim in {r["dim"] for r in asked}:
+        own = [r for r in asked if r["dim"] == dim]
+        queries[dim] = (
+            np.array([r["node"] for r in own]), np.array([r["component"] for r in own]), np.stack([np.frombuffer(r["unit"]) for r in own])
+        )
+    shared = nodes.sparkSession.sparkContext.broadcast(queries)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array([q[0] for q in queries])
         for batch in batches:
-            for dim in np.unique(batch.column(1).to_numpy()):
-                own = batch.filter(pa.array(batch.column(1).to_numpy() == dim))
-                at = [k for k, q in enumerate(queries) if q[1] == dim]
-                if at:
-                    hits = np.argwhere(np.stack([np.frombuffer(queries[k][2]) for k in at]) @ _matrix(own.column(2)).T >= THRESHOLD)
-                    a, b = ids[np.array(at)[hits[:, 0]]], own.column(0).to_numpy()[hits[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
-
-    true = vectors.select("vec_id", "dim", "unit").mapInArrow(compare, "a long, b long")
-    place = found.select("vec_id", "component")
-    seen = (
-        true.join(place.toDF("a", "ca"), "a", "left").join(place.toDF("b", "cb"), "b", "left")
-        .agg(F.count("*").alias("n"), F.count_if(F.expr("ca = cb")).alias("hit")).head()
-    )
-    return seen["hit"] / seen["n"] if seen["n"] else 1.0
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims):
+                if dim in shared.value:
+                    ids, places, x = shared.value[dim]
+                    own = batch.filter(pa.array(dims == dim))
+                    hits = x @ _matrix(own.column(3)).T >= THRESHOLD
+                    hits &= ids[:, None] != own.column(0).to_numpy()[None, :]
+                    right = hits & (places[:, None] == own.column(2).to_numpy()[None, :])
+                    at = np.flatnonzero(hits.any(1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[at]), pa.array(hits.sum(1)[at]), pa.array(right.sum(1)[at])], ["node", "n", "hit"]
+                    )
+
+    seen = placed.mapInArrow(compare, "node long, n long, hit long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
+    return seen.agg(F.sum("hit") / F.sum("n")).head()[0]
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -221,33 +304,52 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
     arrays.ship(spark)
     workspace = Workspace(spark)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("embedding"))
-    units = workspace.store(rows.mapInArrow(_units, "vec_id long, dim int, unit binary"), "units")
-    n = units.count()
+    units = workspace.store(rows.mapInArrow(_units, "vec_id long, dim int, key binary, unit binary"), "units")
+    nodes, members = _collapse(units, workspace)
+    n = nodes.count()
     bits = max(0, ceil(log2(max(n, 1) / BLOCK)))
-    graph, found, recall = None, None, 1.0
+    # The chance that a pair at the threshold agrees on all signs of a tree.
+    together = (1 - acos(THRESHOLD) / pi) ** bits
+    trees_each = 1 if together >= 1 else ceil(log(MISS) / log(1 - together))
+    singles = nodes.select("node", "dim", "unit")
+    graph, sure = None, None
     for attempt in range(ATTEMPTS):
-        trees = range(attempt * TREES, (attempt + 1) * TREES)
-        placed = units.mapInArrow(lambda b, t=trees: _codes(t, bits, b), "tree int, dim int, code long, vec_id long, unit binary")
-        crowds = workspace.store(placed, "blocks")
-        sizes = crowds.groupBy("tree", "dim", "code").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("parts"))
-        dealt = crowds.join(sizes, ["tree", "dim", "code"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "tree"), "parts"))
-        pairs = dealt.groupBy("tree", "dim", "code", "part").applyInArrow(_block, _CANDIDATES)
+        trees = range(attempt * trees_each, (attempt + 1) * trees_each)
+        placed = singles.mapInArrow(lambda b, t=trees: _codes(t, bits, b), "tree int, dim int, code long, node long")
+        crowds = workspace.store(placed, "codes")
+        key = ["tree", "dim", "code"]
+        sizes = crowds.groupBy(*key).agg(F.count("*").alias("n")).select(
+            *key, F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("parts")
+        )
+        dealt = (
+            crowds.join(sizes, key)
+            .withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select(*key, F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "node")
+            .join(singles.select("node", "unit"), "node")
+        )
+        found = workspace.store(dealt.groupBy(*key, "x", "y").applyInArrow(_block, _FOUND), "found")
+        more = found.where("sure").select("a", "b").distinct()
+        sure = more if sure is None else sure.unionByName(more)
+        pairs = found.where("NOT sure").drop("sure")
         graph = workspace.store(_shorten(pairs if graph is None else graph.unionByName(pairs)), "graph")
-        singles = crowds.where(F.col("tree") == trees[0]).select("vec_id", "unit")
+        narrow = singles.mapInArrow(_singles, "u long, unit binary")
         groups = arrays.spread(singles, 8 << 20) * 4
         for _ in range(ROUNDS):
             back = _shorten(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
             lists = graph.select(F.col("a").alias("v"), F.col("b").alias("u")).union(back.select("a", "b")).distinct()
-            members = lists.join(singles.withColumnRenamed("vec_id", "u"), "u")
-            joined = members.withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups))).groupBy("g").applyInArrow(_local_join, _CANDIDATES)
+            joined = (
+                lists.join(narrow, "u").withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)))
+                .groupBy("g").applyInArrow(_local_join, _CANDIDATES)
+            )
             graph = workspace.store(_shorten(graph.unionByName(joined)), "graph")
-        found = _components(units, graph, workspace)
-        recall = _recall(units, found)
-        if recall >= TARGET:
+        place = _components(nodes, members, sure, graph, workspace)
+        recall = _recall(nodes, place, n)
+        if recall is None or recall >= TARGET:
             break
-    return rows.select("vec_id").join(found, "vec_id", "left").select(
+    return rows.select("vec_id").join(_counted(nodes, members, place), "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
-        F.lit(float(recall)).alias("audit_recall"),
+        F.lit(recall).cast("double").alias("audit_recall"),
     )

@@ -261,6 +261,32 @@ def test_vectors_against_brute_force(spark):
     assert neighbours.near_duplicate_vectors(empty).count() == 0
 
 
+def _linked_vectors(spark, x):
+    """Links, components and audited recall, against brute force."""
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in neighbours.near_duplicate_vectors(rows).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert [found[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+    assert found[0].audit_recall == 1
+    return [found[i].component_id for i in range(len(x))]
+
+
+def test_copy_groups_are_bridged(spark):
+    a, b = np.zeros(16), np.zeros(16)
+    a[0], b[0], b[1] = 1, 0.96, np.sqrt(1 - 0.96**2)
+    assert set(_linked_vectors(spark, np.stack([a] * 1000 + [b] * 1000))) == {0}
+
+
+def test_dense_clusters_are_bridged(spark):
+    rng = np.random.RandomState(4)
+    a, b = np.zeros(16), np.zeros(16)
+    a[0], b[0], b[1] = 1, 0.945, np.sqrt(1 - 0.945**2)
+    x = np.stack([a] * 1200 + [b] * 1200) + 0.004 * rng.standard_normal((2400, 16))
+    assert set(_linked_vectors(spark, x)) == {0}
+
+
 def test_quotes_link_to_originals(spark):
     rows = [
         (1, 0, "u", "Hello there my dear friend.\nSecond line of the message."),
