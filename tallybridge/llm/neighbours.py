@@ -7,11 +7,14 @@
    and, in double precision, a spanning forest of all links among its members: nothing that
    the block connects is lost to a list's length. There are as many trees as leave a pair
    at the threshold apart in all of them with a chance of ``MISS``, whatever the data.
-3. Neighbours-of-neighbours joins refine the lists ``ROUNDS`` times.
+3. Neighbours-of-neighbours joins refine the lists until a round adds less than ``SETTLED``
+   of the links known.
 4. Links give components. Links are counted exactly by comparing a component's nodes in
    blocks, and are never kept as pairs.
-5. ``AUDIT`` nodes are compared with all others; if less than ``TARGET`` of their links
-   were found, more trees and joins follow.
+5. A sample that grows with the table (``AUDIT_ROOTS`` times the root of its nodes, ``AUDIT``
+   at least) is compared with all nodes. The recall is the mean over audited nodes with
+   links, or over those with at most ``FEW_LINKS`` if that is less; as long as it is below
+   ``TARGET``, more trees and joins follow.
 
 Cases: vectors that are NULL, empty, zero, or hold NULL or non-finite components link with
 nothing; vectors of different lengths never link; rows that repeat an id are one node and
@@ -24,7 +27,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from itertools import count
+from math import acos, ceil, isqrt, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,8 @@ THRESHOLD = 0.95
 BLOCK = 1024
 MISS = 1e-5
 LIST, FEW = 8, 4
-ROUNDS = 2
-AUDIT, TARGET, ATTEMPTS = 256, 0.99, 3
+SETTLED = 0.001
+AUDIT, AUDIT_ROOTS, FEW_LINKS, TARGET = 256, 4, 4, 0.99
 # Rounding of single-precision candidates.
 _MARGIN = 1e-4
 
@@ -266,7 +270,7 @@ def _counted(nodes: DataFrame, members: DataFrame, found: DataFrame) -> DataFram
 
 def _recall(nodes: DataFrame, found: DataFrame, n: int) -> float | None:
     """Share of an audited node's links that lie in its component, by nodes; None without links."""
-    size = AUDIT
+    size = max(AUDIT, AUDIT_ROOTS * isqrt(n))
     placed = nodes.select("node", "vec_id", "dim", "unit").join(found, "vec_id", "left").select(
         "node", "dim", F.coalesce("component", "vec_id").alias("component"), "unit"
     )
@@ -295,7 +299,8 @@ def _recall(nodes: DataFrame, found: DataFrame, n: int) -> float | None:
                     )
 
     seen = placed.mapInArrow(compare, "node long, n long, hit long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
-    return seen.agg(F.sum("hit") / F.sum("n")).head()[0]
+    means = seen.agg(F.avg(F.expr("hit / n")), F.avg(F.expr(f"CASE WHEN n <= {FEW_LINKS} THEN hit / n END"))).head()
+    return min((m for m in means if m is not None), default=None)
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -313,7 +318,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
     trees_each = 1 if together >= 1 else ceil(log(MISS) / log(1 - together))
     singles = nodes.select("node", "dim", "unit")
     graph, sure = None, None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         trees = range(attempt * trees_each, (attempt + 1) * trees_each)
         placed = singles.mapInArrow(lambda b, t=trees: _codes(t, bits, b), "tree int, dim int, code long, node long")
         crowds = workspace.store(placed, "codes")
@@ -335,14 +340,17 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
         graph = workspace.store(_shorten(pairs if graph is None else graph.unionByName(pairs)), "graph")
         narrow = singles.mapInArrow(_singles, "u long, unit binary")
         groups = arrays.spread(singles, 8 << 20) * 4
-        for _ in range(ROUNDS):
+        while True:
             back = _shorten(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
             lists = graph.select(F.col("a").alias("v"), F.col("b").alias("u")).union(back.select("a", "b")).distinct()
             joined = (
                 lists.join(narrow, "u").withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)))
                 .groupBy("g").applyInArrow(_local_join, _CANDIDATES)
             )
-            graph = workspace.store(_shorten(graph.unionByName(joined)), "graph")
+            last, graph = graph, workspace.store(_shorten(graph.unionByName(joined)), "graph")
+            linked = [g.where(F.col("sim") >= THRESHOLD - _MARGIN).select("a", "b") for g in (last, graph)]
+            if linked[1].join(linked[0], ["a", "b"], "left_anti").count() <= SETTLED * linked[1].count():
+                break
         place = _components(nodes, members, sure, graph, workspace)
         recall = _recall(nodes, place, n)
         if recall is None or recall >= TARGET:

@@ -287,6 +287,19 @@ def test_dense_clusters_are_bridged(spark):
     assert set(_linked_vectors(spark, x)) == {0}
 
 
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.RandomState(6)
+    x = rng.standard_normal((240, 32))
+    x[:200] = x[0] + 0.001 * rng.standard_normal((200, 32))
+    x[220:] = x[200:220]
+    x[220:, 0] += 0.001
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, i, 32, r.tobytes()) for i, r in enumerate(unit)], "node long, vec_id long, dim int, unit binary")
+    large = spark.createDataFrame([(i, 0) for i in range(200)], "vec_id long, component long")
+    assert neighbours._recall(nodes, large, 240) == 0
+    assert neighbours._recall(nodes.where("node BETWEEN 200 AND 219"), large.where("false"), 20) is None
+
+
 def test_quotes_link_to_originals(spark):
     rows = [
         (1, 0, "u", "Hello there my dear friend.\nSecond line of the message."),
