@@ -2,12 +2,13 @@
 
 References are learnt from all documents by grouped aggregation: for every language the
 share of each character class, and of each common word (those that make up at least
-``COMMON_SHARE`` of its words; so there are at most ``1 / COMMON_SHARE`` of them, and only
-languages with ``LANGUAGE_SHARE`` of all words have a reference). A text fails if it is far
-from every language in either histogram and long enough for that histogram to say so.
+``COMMON_SHARE`` of its words; so there are at most ``1 / COMMON_SHARE`` of them). Every
+language of ``LANGUAGE_WORDS`` words has one, whatever else is in the corpus. A text fails
+if it is far from every language in either histogram and long enough for that histogram to
+say so; texts in a language without a reference are left to the base rule.
 
 Cases: a NULL text has no words and fails the base rule; documents without a language
-count for no reference; with no reference at all (an empty table, no language) only the
+count for no reference and are measured against all; with no reference at all (an empty table, no language) only the
 base rule decides; rows that repeat an id give a row each.
 """
 
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallybridge.llm import arrays
 
 COMMON_SHARE = 0.001
-LANGUAGE_SHARE = 0.001
+# Words from which shares of COMMON_SHARE can be told.
+LANGUAGE_WORDS = round(1 / COMMON_SHARE)
 # Shortest text for each histogram, and the largest distance that passes.
 MIN_CHARS, MAX_CHAR_DISTANCE = 200, 0.25
 MIN_WORDS, MAX_WORD_DISTANCE = 100, 0.5
@@ -112,18 +114,21 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
     arrays.ship(docs.sparkSession)
     counted = docs.select(text_column, F.col(lang_column).cast("string").alias("lang")).mapInArrow(_count, COUNTS)
     sums = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    totals = sums.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = sums.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LANGUAGE_WORDS)
     rows = (
         sums.join(totals, "lang")
         .where((F.col("kind") == 0) | (F.col("n") >= COMMON_SHARE * F.col("total")))
         .collect()
     )
     total = {r["lang"]: r["total"] for r in rows}
-    langs = sorted(lang for lang, n in total.items() if n >= LANGUAGE_SHARE * sum(total.values()))
+    langs = sorted(total)
+    by_lang: dict[str, list] = {lang: [] for lang in langs}
+    for r in rows:
+        by_lang[r["lang"]].append(r)
     chars = np.zeros((len(langs), CLASSES))
     words: list[tuple[np.ndarray, np.ndarray]] = []
     for k, lang in enumerate(langs):
-        own = [r for r in rows if r["lang"] == lang]
+        own = by_lang[lang]
         for r in own:
             if r["kind"] == 0:
                 chars[k, r["item"]] = r["n"]
@@ -211,9 +216,10 @@ def _repeated_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, e
     return np.bincount(owner[covered], minlength=n)
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, references: References | None) -> dict[str, np.ndarray]:
+def measure(data: np.ndarray, offsets: np.ndarray, references: References | None, spared: np.ndarray) -> dict[str, np.ndarray]:
+    """All figures of every text; those ``spared`` are decided by the base rule only."""
     out: dict[str, list] = {}
-    for _, _, part, cuts in arrays.each(data, offsets):
+    for i, j, part, cuts in arrays.each(data, offsets):
         starts, ends, first = arrays.words(part, cuts)
         n_words = np.diff(first)
         inside = ~arrays._BLANK[part]
@@ -227,6 +233,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, references: References | None
             far_w = word_distances(*_word_hashes(part, cuts), references)
         good = (counts.sum(1) < MIN_CHARS) | (far_c <= MAX_CHAR_DISTANCE)
         good &= (n_words < MIN_WORDS) | (far_w <= MAX_WORD_DISTANCE)
+        good |= spared[i:j]
         for name, value in (
             ("n_words", n_words),
             ("word_chars", _per_text(inside & heads, cuts)),
@@ -251,11 +258,13 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = measure(*arrays.utf8(batch.column(1)), References(*shared.value))
+                known = {None, *shared.value[0]}
+                spared = np.array([lang not in known for lang in batch.column(2).to_pylist()])
+                columns = measure(*arrays.utf8(batch.column(1)), References(*shared.value), spared)
                 kinds = {"base_failed": pa.bool_(), "kept": pa.bool_(), "char_distance": pa.float64(), "word_distance": pa.float64()}
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(pa.int64()), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items())],
                     ["doc_id", *columns],
                 )
 
-    return docs.select(F.col(id_column).cast("long"), text_column).mapInArrow(run, RESULT)
+    return docs.select(F.col(id_column).cast("long"), text_column, F.col(lang_column).cast("string")).mapInArrow(run, RESULT)

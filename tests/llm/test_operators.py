@@ -175,6 +175,17 @@ def test_quality_rejects_strange_text(spark):
     assert all(found[i].char_distance < divergence.MAX_CHAR_DISTANCE for i in range(40))
 
 
+def test_quality_spares_small_languages(spark):
+    rng = np.random.RandomState(7)
+    vocabulary = {k: [f"{k}{i}" for i in range(60)] for k in ("en", "xx", "yy")}
+    texts = [("en", 200_000)] * 6 + [("en", 120)] * 5 + [("xx", 120)] * 9 + [("yy", 120)]
+    rows = [(i, " ".join(rng.choice(vocabulary[k], n)), k) for i, (k, n) in enumerate(texts)]
+    rows.append((99, rows[-1][1], None))
+    found = {r.doc_id: r for r in divergence.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(found[i].kept for i in range(6, 21)) and not found[99].kept
+    assert max(found[i].word_distance for i in range(11, 20)) < divergence.MAX_WORD_DISTANCE < found[20].word_distance
+
+
 def test_toxicity_learns_and_spares(spark):
     rng = np.random.RandomState(2)
     vocabulary = [f"{a}{b}" for a in ("lan", "mor", "tel", "vis", "gro") for b in ("an", "ide", "ous", "ent", "ily", "og")]
