@@ -5,8 +5,8 @@ For every document the posterior of a language is proportional to
     text likelihood ** temper * P(declared | language) * P(suffix | language) * host prior
 
 * text: byte trigrams (lower case, hashed to ``CELLS`` cells) under a multinomial model
-  trained on a bounded sample of labelled rows (``SAMPLE`` rows, the first by a hash of
-  the id), over the whole text;
+  trained on a bounded sample of labelled rows (``SAMPLE`` rows of every language, by a
+  hash), over the whole text; ``SMOOTHING`` of every language is what all have in common;
 * declared language and address suffix: how often a language is declared, or seen, among
   documents whose text speaks for it, by grouped aggregation over all documents;
 * host prior: the host's soft counts, smoothed by its domain's, smoothed by all documents'.
@@ -26,17 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallybridge.llm import arrays
 from tallybridge.workspace import Workspace
 
-# Labelled rows that training may use.
-SAMPLE = 1500
+# Labelled rows of a language that training may use.
+SAMPLE = 300
+# Share of the common background in every language, the same for all so that languages
+# with little text neither attract nor repel what no language has seen.
+SMOOTHING, UNIFORM = 0.2, 0.1
 CELLS = 1 << 15
 # Bytes whose trigrams are in memory at a time.
 _SLICE = 1 << 19
-LEAST_COUNT = 5
 # Trigrams of a text are no independent witnesses: their mean counts so many times at most.
 WITNESSES = 60.0
 LEAST_POSTERIOR = 0.5
@@ -81,27 +83,27 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def fit(texts: list[bytes], langs: list[str]) -> TextModel:
     names = sorted(set(langs))
     counts = np.zeros((len(names), CELLS))
-    seen = np.zeros(len(names), np.int64)
     index = {lang: k for k, lang in enumerate(names)}
     for text, lang in zip(texts, langs):
         cells, _ = _trigrams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         counts[index[lang]] += np.bincount(cells, minlength=CELLS)
-        seen[index[lang]] += 1
-    enough = seen >= min(LEAST_COUNT, seen.max(initial=1))
-    counts = counts[enough] + 0.1
-    return TextModel([n for n, ok in zip(names, enough) if ok], np.log(counts / counts.sum(1, keepdims=True)))
+    own = (counts + 0.1 / CELLS) / (counts.sum(1, keepdims=True) + 0.1)
+    common = (1 - UNIFORM) * own.sum(0) / max(len(names), 1) + UNIFORM / CELLS
+    return TextModel(names, np.log((1 - SMOOTHING) * own + SMOOTHING * common))
 
 
 def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> TextModel:
-    """A text model from at most ``SAMPLE`` labelled rows, ordered by a hash of their ids."""
-    known = labelled.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    chosen = known.select(F.col(id_column).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    rows = (
-        known.select(F.col(id_column).alias("_id"), F.col(text_column).alias("t"), F.col(lang_column).alias("l"))
-        .join(F.broadcast(chosen), "_id")
-        .select("t", "l")
-        .collect()
-    )
+    """A text model from at most ``SAMPLE`` distinct labelled rows of every language, by a hash of id and text."""
+    known = labelled.select(
+        F.col(lang_column).cast("string").alias("l"), F.xxhash64(id_column, text_column).alias("h"), F.col(text_column).alias("t")
+    ).where("l IS NOT NULL AND t IS NOT NULL")
+    keys = known.select("l", "h").distinct()
+    # Twice as many by their hash alone, so that no language is sorted whole.
+    share = keys.groupBy("l").agg(F.least(F.lit(1.0), 2 * SAMPLE / F.count("*")).alias("share"))
+    place = F.xxhash64("h", F.lit(1))
+    some = keys.join(F.broadcast(share), "l").where(F.pmod(place, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    chosen = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(place, "h"))).where(F.col("k") <= SAMPLE)
+    rows = known.join(F.broadcast(chosen.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t")).collect()
     return fit([r["t"].encode() for r in rows], [r["l"] for r in rows])
 
 

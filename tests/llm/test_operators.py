@@ -231,6 +231,22 @@ def test_languages(spark, docs, none):
     assert langid.identify_documents(none, model).count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    rng = np.random.RandomState(8)
+    vocabulary = {
+        "en": ["the", "river", "which", "stones", "walking", "through", "house"],
+        "fi": ["yksi", "kaksi", "ja", "olemme", "talossa", "joki", "kivet"],
+        "hu": ["egy", "vagyunk", "nagyon", "szép", "folyó", "kövek", "házban"],
+    }
+    langs = ["en"] * 3000 + ["fi"] * 4 + ["hu"]
+    rows = [(i, " ".join(rng.choice(vocabulary[k], 60)), k, "host") for i, k in enumerate(langs)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.train(labelled)
+    assert model.langs == ["en", "fi", "hu"]
+    found = {r.doc_id: r for r in langid.identify_documents(labelled, model).collect()}
+    assert all(r.lang_id == r.lang and r.accepted for r in found.values()) and len(found) == 3005
+
+
 def test_mixing_equals_its_sql(spark, sf_dir, duckdb_tables):
     result = queries.op6_hierarchical_budgets(spark, sf_dir)
     assert differences(result, duckdb_tables, mixing.ORACLE) == ""
