@@ -22,16 +22,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; documents without an id cannot be told apart and stay."""
+    """Rows whose own text is not predicted toxic, whatever their id."""
     model = compression.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = compression.score_documents(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    # The prediction depends on the text only, whose hash stands for the id.
+    texts = docs.select(F.xxhash64("text").alias("_text"), "text")
+    toxic = compression.score_documents(texts, model, "_text").where("predicted = 1").select(F.col("doc_id").alias("_text")).distinct()
+    return docs.join(toxic, F.xxhash64("text") == F.col("_text"), "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group that shares 0.8 of its five-word shingles."""
-    gone = minhash.near_duplicates(docs, SHINGLE_WORDS).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group that shares 0.8 of its five-word shingles: the one of its smallest id.
+
+    Rows are grouped by their texts, with or without an id. Blank texts are in no group.
+    """
+    workspace = Workspace(spark)
+    names = docs.columns
+    narrow = docs.select(
+        F.xxhash64("text").alias("_text"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_id")
+    )
+    narrow = workspace.store(narrow.groupBy("_text", "_row").agg(F.min("_id").alias("_id"), F.count("*").alias("_n")), "rows")
+    # A text of its own takes part as it is; of others one copy does.
+    often = narrow.groupBy("_text").agg(F.sum("_n").alias("n")).where("n > 1").select("_text")
+    texts = docs.select(F.xxhash64("text").alias("_text"), "text")
+    once = texts.join(often, "_text", "left_anti").unionByName(
+        texts.join(often, "_text", "left_semi").groupBy("_text").agg(F.first("text").alias("text"))
+    )
+    groups = minhash.near_duplicates(once, SHINGLE_WORDS, "_text").where("n_shingles > 0")
+    groups = workspace.store(groups.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_group")), "groups")
+    # NULL ids come last.
+    first = narrow.join(groups, "_text").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "_row")).alias("f"))
+    kept = workspace.store(first.select("f._text", "f._row").join(narrow.select("_text", "_row", "_n"), ["_text", "_row"]), "kept")
+    marked = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.xxhash64(*[F.col(f"`{c}`") for c in names])})
+    single = marked.join(kept.where("_n = 1"), ["_text", "_row"], "left_semi")
+    copied = marked.join(kept.where("_n > 1"), ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"])
+    blank = marked.join(groups.select("_text"), "_text", "left_anti")
+    return single.unionByName(copied).unionByName(blank).select(*names)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -345,6 +345,28 @@ def test_quotes_link_to_originals(spark):
     assert quotes.link_quotes(df.where("false")).count() == 0
 
 
+def test_near_duplicate_stage_goes_by_rows(spark):
+    rng = np.random.RandomState(9)
+    a, b, c = (" ".join(rng.choice([f"word{i}" for i in range(300)], 200)) for _ in range(3))
+    rows = [(None, a, "en"), (3, a, "en"), (3, a, "en"), (3, b, "en"), (2, a + " end", "en"), (None, c, "en"), (None, c, "en"),
+            (None, None, "en"), (3, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    expected = Counter([(2, a + " end", "en"), (3, b, "en"), (None, c, "en"), (None, None, "en"), (3, "", "en")])
+    assert Counter(map(tuple, found.collect())) == expected and found.columns == docs.columns
+
+
+def test_toxicity_stage_goes_by_rows(spark, tmp_path):
+    rng = np.random.RandomState(2)
+    vocabulary = [a + b for a in ("lanan", "moride", "telous", "visent", "groily") for b in ("an", "ide", "ous", "ent", "ily", "og")]
+    rows = [(i, " ".join(rng.choice(vocabulary, 60)) + (" blitherhead nastywart" if i % 4 == 0 else "")) for i in range(600)]
+    odd = [(None, "blitherhead nastywart " * 20), (1, "blitherhead nastywart " * 20), (1, "lananan morideog " * 20), (None, None)]
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    found = Counter(map(tuple, corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()))
+    assert [found[r] for r in odd] == [0, 0, 1, 1] and found[rows[1]] == 1
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, space = docs.columns, Workspace(spark)
