@@ -2,11 +2,12 @@
 
 A line's quote level is the number of ``>`` marks it begins with, blanks between them
 allowed. Neighbouring lines of one level form a passage, and so do, inside it, its
-paragraphs and its lines; normalised (case, marks and white space folded away) and hashed,
-those of at least ``LEAST_WORDS`` words are what a quote and an original can share.
+paragraphs and its lines; normalised (case, marks and white space folded away, unless
+nothing else is there) and hashed, they are what a quote and an original can share.
 
 A quoted passage points at the earliest message that wrote it itself: one of its own
-conversation before it, or else the earliest of all. The largest unit that finds an
+conversation before it, or else the earliest of all other conversations if it has
+``LEAST_CHARS`` characters. The largest unit that finds an
 original counts. A message answers the latest message of its conversation that it quotes
 at the lowest level; without such a quote it answers the turn before it. Depths come
 from pointer doubling, so long threads take few rounds, and ``(conv_id, depth, turn)`` is
@@ -31,7 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallybridge.llm import arrays
 from tallybridge.workspace import Workspace
 
-LEAST_WORDS = 3
+# Shortest text, normalised, that another conversation's message is the original of.
+LEAST_CHARS = 12
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]*)+)")
 _FOLD = re.compile(r"[\W_]+")
@@ -40,7 +42,8 @@ _ATTRIBUTION = re.compile(r"\S.*:\s*$")
 
 PARSED = (
     "row long, conv_id long, turn long, role string, body string, "
-    "own array<long>, quoted array<struct<level:int,rank:int,passage:int,hash:long>>"
+    "own array<struct<hash:long,far:boolean>>, quoted array<struct<level:int,rank:int,passage:int,hash:long,far:boolean>>, "
+    "n_quotes long"
 )
 
 
@@ -72,44 +75,50 @@ def body_of(runs: list[tuple[int, str]]) -> str:
     return "\n".join(t for t in out if t.strip())
 
 
-def fingerprint(text: str) -> int | None:
-    words = _FOLD.sub(" ", text.lower()).split()
-    if len(words) < LEAST_WORDS:
+def fingerprint(text: str) -> tuple[int, bool] | None:
+    """Hash of a text that is not blank, and whether it is long enough for other conversations."""
+    folded = " ".join((_FOLD.sub(" ", text.lower()) if text.strip() else "").split()) or "".join(text.split())
+    if not folded:
         return None
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(folded) - (1 << 63), len(folded) >= LEAST_CHARS
 
 
-def units(text: str) -> list[tuple[int, int]]:
-    """Rank (0 whole, 1 paragraph, 2 line) and hash of every unit of a passage."""
-    out: dict[int, int] = {}
+def units(text: str) -> list[tuple[int, int, bool]]:
+    """Rank (0 whole, 1 paragraph, 2 line), hash and reach of every unit of a passage."""
+    out: dict[tuple[int, bool], int] = {}
     for rank, parts in enumerate(([text], _PARAGRAPH.split(text), text.split("\n"))):
         for part in parts:
             h = fingerprint(part)
             if h is not None:
                 out.setdefault(h, rank)
-    return [(rank, h) for h, rank in out.items()]
+    return [(rank, *h) for h, rank in out.items()]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bodies, own, quoted = [], [], []
+        bodies, own, quoted, n_quotes = [], [], [], []
         for text in batch.column(4).to_pylist():
             runs = levels(text or "")
             body = body_of(runs)
             bodies.append(body)
-            own.append([h for _, h in units(body)])
+            own.append([{"hash": h, "far": far} for _, h, far in units(body)])
+            n_quotes.append(sum(1 for level, passage in runs if level and passage.strip()))
             quoted.append(
                 [
-                    {"level": level, "rank": rank, "passage": k, "hash": h}
+                    {"level": level, "rank": rank, "passage": k, "hash": h, "far": far}
                     for k, (level, passage) in enumerate(runs)
                     if level
-                    for rank, h in units(passage)
+                    for rank, h, far in units(passage)
                 ]
             )
-        quote = pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("passage", pa.int32()), ("hash", pa.int64())])
+        quote = pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("passage", pa.int32()), ("hash", pa.int64()), ("far", pa.bool_())])
+        unit = pa.struct([("hash", pa.int64()), ("far", pa.bool_())])
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.array(bodies, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array(quoted, pa.list_(quote))],
-            ["row", "conv_id", "turn", "role", "body", "own", "quoted"],
+            [
+                *batch.columns[:4], pa.array(bodies, pa.string()), pa.array(own, pa.list_(unit)), pa.array(quoted, pa.list_(quote)),
+                pa.array(n_quotes, pa.int64()),
+            ],
+            ["row", "conv_id", "turn", "role", "body", "own", "quoted", "n_quotes"],
         )
 
 
@@ -141,20 +150,22 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     )
     parsed = workspace.store(source.mapInArrow(_parse, PARSED), "parsed")
     placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    written = placed.select("conv_id", "turn", F.explode("own").alias("hash"))
+    written = placed.select("conv_id", "turn", F.explode("own").alias("o")).select("conv_id", "turn", "o.*")
     # One row per passage, however many messages share it.
     inside = written.groupBy("conv_id", "hash").agg(F.min("turn").alias("inside"))
-    anywhere = written.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    openings = written.where("far").groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
+    anywhere = openings.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # The earliest of any other conversation, for quotes in the first's own one.
+    others = openings.join(anywhere, "hash").where("conv_id <> first.conv_id")
+    others = others.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    anywhere = anywhere.join(others, "hash", "left")
     asked = placed.select("row", "conv_id", "turn", F.explode("quoted").alias("q")).select("row", "conv_id", "turn", "q.*")
     answered = (
         asked.join(inside, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
         .select(
             "row", "conv_id", "turn", "level", "rank", "passage",
             F.when(F.col("inside") < F.col("turn"), F.col("inside")).alias("near"),
-            F.when(
-                F.col("first").isNotNull() & ~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))),
-                F.col("first"),
-            ).alias("first"),
+            F.when(F.col("first.conv_id") == F.col("conv_id"), F.col("second")).otherwise(F.col("first")).alias("first"),
         )
     )
     # Per passage the largest unit with an original, in the conversation if there is one.
@@ -175,7 +186,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             "row", "conv_id", "turn", "role", "body",
             F.coalesce(-F.col("reply.back"), F.col("before")).alias("parent"),
             F.col("reply").isNotNull().alias("by_quote"),
-            F.size(F.array_distinct(F.col("quoted.passage"))).cast("long").alias("n_quotes"),
+            "n_quotes",
             F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
             F.col("outside.conv_id").alias("outside_conv"), F.col("outside.turn").alias("outside_turn"),
         )

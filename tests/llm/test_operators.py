@@ -288,6 +288,23 @@ def test_vectors_against_brute_force(spark):
     assert neighbours.near_duplicate_vectors(empty).count() == 0
 
 
+def test_short_and_unspaced_quotes_link(spark):
+    rows = [
+        (1, 0, "u", "Really?"), (1, 1, "a", "a turn between"), (1, 2, "u", "> Really?\nyes, really"), (1, 3, "a", "> no such\n>> !?\nwhat"),
+        (1, 4, "u", "???"), (1, 5, "a", "one more turn"), (1, 6, "u", "> ???\nindeed"),
+        (2, 0, "u", "我昨天在图书馆读完了那本很长的小说。"), (2, 1, "u", "> Really?\nshort quotes stay inside"),
+        (3, 0, "u", "> 我昨天在图书馆读完了那本很长的小说。\n是吗"),
+        (4, 0, "u", "> the same words here\nthe quote comes first"), (4, 1, "u", "the same words here"), (5, 0, "u", "the same words here"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r.conv_id, r.turn): r for r in quotes.link_quotes(df).collect()}
+    assert (found[1, 2].answers, found[1, 2].by_quote, found[1, 2].n_quotes, found[1, 2].n_linked) == (0, True, 1, 1)
+    assert (found[1, 3].n_quotes, found[1, 3].n_linked) == (2, 0) and found[1, 6].answers == 4
+    assert (found[2, 1].n_quotes, found[2, 1].n_linked) == (1, 0)
+    assert (found[3, 0].outside_conv, found[3, 0].outside_turn) == (2, 0)
+    assert (found[4, 0].outside_conv, found[4, 0].outside_turn) == (5, 0)
+
+
 def _linked_vectors(spark, x):
     """Links, components and audited recall, against brute force."""
     rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
