@@ -9,13 +9,16 @@ from tallybridge.llm import (
     bpe,
     compression,
     divergence,
+    divergent_sources,
     interpolation,
+    kmeans_tree,
     langid,
     minhash,
     mixing,
     neighbours,
     quotes,
     repair,
+    rtree,
 )
 
 
@@ -69,6 +72,19 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_str_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergent_sources.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,7 +98,14 @@ QUERIES = {
         op8_repair_shards,
         op9_evidence_fusion,
         op10_circulant_minhash,
+        op11_kmeans_tree,
+        op12_str_rtree,
+        op13_source_divergence,
     )
 }
 
-ORACLES: dict[str, str] = {"op6_hierarchical_budgets": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_hierarchical_budgets": mixing.ORACLE,
+    "op12_str_rtree": rtree.ORACLE,
+    "op13_source_divergence": divergent_sources.ORACLE,
+}
