@@ -142,5 +142,5 @@ def test_quote_levels():
     assert [level for level, _ in runs] == [0, 2, 1, 0]
     assert quotes.body_of(runs) == "own"
     assert quotes.fingerprint("Hello,  THERE my friend!") == quotes.fingerprint("hello there my friend")
-    assert quotes.fingerprint("two words") is None
+    assert quotes.fingerprint("two words") == quotes.fingerprint("Two  WORDS!") != quotes.fingerprint("two word")
 
