@@ -17,7 +17,10 @@ from checks.pairs import (
     TYPES,
     UNEQUAL,
     VECTORS,
+    WHOLE_EVENTS,
     WHOLE_LINES,
+    WIDE,
+    WIDE_COLUMNS,
     Pair,
     plain,
 )
@@ -58,8 +61,10 @@ WHOLE_LINE_RULES = {
     "l_linestatus": same,
     "l_shipdate": same,
 }
+WIDE_RULES = {f"c{i}": near for i in range(WIDE_COLUMNS)}
+WHOLE_EVENT_RULES = {"event_id": same, "ts": same, "user_id": same, "value": near, "props": same}
 REPEATED_TEXT_RULES = {"text": same, "source": same, "n_chars": same, "doc_id": same}
-NUMERIC = {"wide", "whole", "l_linenumber", "l_discount", "l_tax", "doc_id"} | {"cust_id", "total", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "n_chars"}
+NUMERIC = {f"c{i}" for i in range(WIDE_COLUMNS)} | {"value"} | {"wide", "whole", "l_linenumber", "l_discount", "l_tax", "doc_id"} | {"cust_id", "total", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "n_chars"}
 
 
 def joined(pair: Pair, select: str, how: str = "FULL", where: str = "") -> str:
@@ -257,6 +262,29 @@ def report_overview() -> str:
     )
 
 
+def report_differences() -> str:
+    columns = f"""SELECT count(*) FILTER (unequal > 0) AS n_some, count(*) FILTER (unequal = 0) AS n_all,
+        CAST(sum(unequal) AS BIGINT) AS n_values FROM ({ORDER_STATS}) AS y"""
+    lines = [
+        (4, 0, "'4. FILAS INTERSECTADAS'"),
+        (4, 1, "concat('Total de filas intersectadas: ', matched)"),
+        (4, 2, "'Muestra de filas intersectadas (primeras 10):'"),
+        (5, 0, "'5. DETALLES DE DISCREPANCIAS'"),
+        (5, 1, "'matched on: order_id'"),
+        (5, 2, "concat('matched rows with every value equal: ', all_equal)"),
+        (5, 3, "concat('matched rows with some value unequal: ', some_unequal)"),
+        (5, 4, "'duplicate keys: False'"),
+        (5, 5, "'tolerance: absolute 0.0001, relative 0.0'"),
+        (5, 500, "concat('columns with some values unequal: ', n_some)"),
+        (5, 501, "concat('columns with all values equal: ', n_all)"),
+        (5, 502, "concat('values unequal in total: ', n_values)"),
+    ]
+    rows = " UNION ALL ".join(
+        f"SELECT {section} AS section, {i} AS line_no, {text} AS text FROM x, z" for section, i, text in lines
+    )
+    return f"WITH x AS (SELECT * FROM ({ORDER_SUMMARY}) AS o), z AS ({columns}) {rows}"
+
+
 LATEST = f"""WITH log AS ({plain(JOB_LOG)}), ranked AS (
 SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC, seq DESC) AS r FROM log),
 latest AS (SELECT job_id, status, progress, result_path, error, updated_at, seq
@@ -372,4 +400,14 @@ ORACLES: dict[str, str] = {
     "q37_hot_copies_pairing": paired(COPIES, COPY_ORDER, wide(COPIES, COPY_RULES), "INNER"),
     "q38_extract_and_compare": ORDER_SUMMARY,
     "q39_published_dataset": "SELECT * FROM lineitem",
+    "q39_published_once": "SELECT * FROM documents",
+    "q14_key_counts_lines": paired(LINES, LINE_ORDER, COUNTS),
+    "q14_key_counts_null_keys": paired(NULL_KEYS, ["name", "bal"], COUNTS),
+    "q14_key_counts_hot_copies": paired(COPIES, COPY_ORDER, COUNTS),
+    "q25_wide_column_stats": stats(WIDE, WIDE_RULES, joined(WIDE, "*", "INNER")),
+    "q25_wide_stats_while_storing": stats(WIDE, WIDE_RULES, joined(WIDE, "*", "INNER")),
+    "q36_whole_events_pairing": paired(
+        WHOLE_EVENTS, list(WHOLE_EVENT_RULES), wide(WHOLE_EVENTS, WHOLE_EVENT_RULES), "INNER"
+    ),
+    "q32_report_differences": report_differences(),
 }

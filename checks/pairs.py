@@ -146,6 +146,32 @@ SELECT event_type, ts, event_id, user_id,
 FROM {events} WHERE event_id % 89 <> 0""",
 )
 
+# Every column of the events, the JSON texts too, under the same few keys.
+WHOLE_EVENTS = Pair(
+    keys=("event_type",),
+    source="SELECT event_type, event_id, ts, user_id, value, props FROM {events}",
+    target="""
+SELECT event_type, event_id, ts, user_id, value,
+       CASE WHEN event_id % 13 = 0 THEN concat(props, ' ') ELSE props END AS props
+FROM {events} WHERE event_id % 97 <> 0""",
+)
+
+# More columns than one row of an aggregate measures.
+WIDE_COLUMNS = 100
+WIDE = Pair(
+    keys=("o_orderkey",),
+    source="SELECT o_orderkey, "
+    + ", ".join(f"o_totalprice + {i} AS c{i}" for i in range(WIDE_COLUMNS))
+    + " FROM {orders}",
+    target="SELECT o_orderkey, "
+    + ", ".join(
+        f"CASE WHEN o_orderkey % {i + 7} = 0 THEN NULL WHEN o_orderkey % {i + 2} = 0 THEN o_totalprice "
+        f"ELSE o_totalprice + {i} END AS c{i}"
+        for i in range(WIDE_COLUMNS)
+    )
+    + " FROM {orders} WHERE o_orderkey % 101 <> 0",
+)
+
 # A third of the rows are exact copies of each other under one NULL key.
 COPIES = Pair(
     keys=("id",),

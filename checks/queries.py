@@ -18,7 +18,9 @@ from checks.pairs import (
     REPEATED_TEXTS,
     SAME,
     UNEQUAL,
+    WHOLE_EVENTS,
     WHOLE_LINES,
+    WIDE,
     TEXTS,
     TYPES,
     VECTORS,
@@ -29,7 +31,7 @@ from checks.pairs import (
 from tallybridge.operators.keys import duplicate_keys, key_ordinals
 from tallybridge.operators.schema import column_presence
 from tallybridge.plans.jobs import extract_pair
-from tallybridge.plans.reconcile import Reconciliation, reconcile
+from tallybridge.plans.reconcile import Reconciliation, count_rows, reconcile
 from tallybridge.plans.report import report, summary
 from tallybridge.sinks.ledger import (
     FINISHED,
@@ -41,7 +43,7 @@ from tallybridge.sinks.ledger import (
     run_record,
     status_of,
 )
-from tallybridge.sinks.tables import publish, save_csv, save_parquet
+from tallybridge.sinks.tables import publish, publish_rows, read_published, save_csv, save_parquet
 from tallybridge.sources.files import inventory, read_parquet, read_text, undoubled
 from tallybridge.sources.spec import QUERY, SourceSpec, read_spec
 from tallybridge.workspace import Workspace
@@ -133,6 +135,11 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, publish(spark, landed, f"{root}/box", "extract-1"))
 
 
+def published_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = f"{Workspace(spark).root}/box/extract-2/documents.parquet"
+    return read_published(spark, publish_rows(table(spark, sf_dir, "documents"), uri))
+
+
 def extract_and_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides through specs, landed, then compared on the spec's own key."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("landed_orders")
@@ -173,6 +180,23 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir, ORDERS).row_summary().drop("all_equal", "some_unequal")
 
 
+def key_counts(pair: Pair) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return count_rows(*pair.load(spark, sf_dir), pair.keys)
+
+    return query
+
+
+def stored_stats(pair: Pair) -> Query:
+    """Measured while the classified rows are written."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stats = compared(spark, sf_dir, pair).stored().column_stats()
+        return stats.drop("source_type", "target_type")
+
+    return query
+
+
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(load(spark, sf_dir, LINES.source), LINES.keys)
 
@@ -254,6 +278,12 @@ def report_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(compared(spark, sf_dir, ORDERS)).where(F.col("section").between(1, 3))
 
 
+def report_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of section 4 and the head of section 5."""
+    lines = report(compared(spark, sf_dir, ORDERS).stored()).where("section >= 4 AND line_no < 1000 AND NOT text LIKE '{%'")
+    return lines.select("section", "line_no", "text")
+
+
 # -- ledger ------------------------------------------------------------------
 
 JOB_LOG = """
@@ -350,4 +380,12 @@ QUERIES: dict[str, Query] = {
     "q37_hot_copies_pairing": hot_pairing(COPIES),
     "q38_extract_and_compare": extract_and_compare,
     "q39_published_dataset": published,
+    "q39_published_once": published_once,
+    "q14_key_counts_lines": key_counts(LINES),
+    "q14_key_counts_null_keys": key_counts(NULL_KEYS),
+    "q14_key_counts_hot_copies": key_counts(COPIES),
+    "q25_wide_column_stats": column_stats(WIDE),
+    "q25_wide_stats_while_storing": stored_stats(WIDE),
+    "q36_whole_events_pairing": hot_pairing(WHOLE_EVENTS),
+    "q32_report_differences": report_differences,
 }

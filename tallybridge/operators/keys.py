@@ -30,6 +30,8 @@ HOT_KEY_ROWS = 250_000
 # There are at most (rows / HOT_KEY_ROWS) hot keys. Up to so many their hashes are
 # broadcast (512 KB); a longer list is left to Spark's own choice of join.
 BROADCAST_KEYS = 65_536
+# Starting numbers of ranges, by their number and the mean width of the sort keys.
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows per range of a hot key. The range sort samples 100 sort keys per range,
 # up to three times over, on the driver: MAX_SAMPLE_BYTES bounds that sample by
 # the measured width of the sort keys. Fewer ranges are larger, never unsorted.
@@ -237,7 +239,7 @@ def number_hot(
     key_types: Sequence[T.DataType],
     order: Ordering,
     workspace: Workspace,
-    expected_rows: int,
+    profile: KeyProfile,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``_ord`` without ever bringing one key together.
@@ -245,6 +247,11 @@ def number_hot(
     ``_tie`` lets exact copies of a row fall into different ranges. It is not
     reproducible, so it is written out before anything depends on it, and so are
     the ranges, whose boundaries come from a sample.
+
+    A range holds consecutive rows of the sort, so there is a (key, side) more than there
+    are ranges for every further key and side at most. That bounds the table of starting
+    numbers, which is broadcast as long as its bound is small: the rows themselves are
+    shuffled for the sort alone.
     """
     tied = workspace.store(
         query("SELECT *, monotonically_increasing_id() AS _tie FROM {rows}", rows=rows), "hot"
@@ -252,29 +259,34 @@ def number_hot(
     by_key = ordering([[(k, t)] for k, t in zip(keys, key_types)])
     full = by_key + Ordering(("_side",)) + order + Ordering(("_tie",))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = range_count(expected_rows, rows_per_range, sort_width(tied, full), tasks)
+    width = sort_width(tied, full)
+    ranges = range_count(profile.hot_rows, rows_per_range, width, tasks)
     ranged = tied.repartitionByRange(ranges, *[expr(c) for c in full.columns])
     in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(full.columns)}", ranged=ranged)
     placed = workspace.store(
         query(
-            "SELECT * EXCEPT (_tie), monotonically_increasing_id() AS _pos FROM {rows}",
+            """
+            SELECT * EXCEPT (_tie), spark_partition_id() AS _range,
+                   monotonically_increasing_id() AS _pos FROM {rows}
+            """,
             rows=in_order,
         ),
         "hot-sorted",
     )
     group = listed([*keys, "_side"])
+    starts = ranges + 2 * len(profile.hot_hashes)
+    hint = "/*+ BROADCAST(o) */" if starts * width <= BROADCAST_BYTES else ""
     return query(
         f"""
-        SELECT p.* EXCEPT (_pos), o._before + p._pos - o._first + 1 AS _ord
+        SELECT {hint} p.* EXCEPT (_pos, _range), o._before + p._pos - o._first + 1 AS _ord
         FROM {{placed}} AS p
         JOIN (SELECT *, coalesce(sum(_n) OVER (
                          PARTITION BY {group} ORDER BY _range
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before
-              FROM (SELECT {group}, shiftright(_pos, 33) AS _range,
-                           min(_pos) AS _first, count(*) AS _n
-                    FROM {{placed}} GROUP BY {group}, shiftright(_pos, 33))) AS o
+              FROM (SELECT {group}, _range, min(_pos) AS _first, count(*) AS _n
+                    FROM {{placed}} GROUP BY {group}, _range)) AS o
         ON {both(f"p.{k} <=> o.{k}" for k in keys)}
-           AND p._side = o._side AND shiftright(p._pos, 33) = o._range
+           AND p._side = o._side AND p._range = o._range
         """,
         placed=placed,
     )
@@ -324,7 +336,7 @@ def key_ordinals(
         key_types = [types[name] for name in names]
         numbered = numbered.unionByName(
             number_hot(
-                hot, matched_on, key_types, order, workspace, profile.hot_rows, rows_per_range
+                hot, matched_on, key_types, order, workspace, profile, rows_per_range
             )
         )
     shown = listed(f"{inner[name]} AS {ident(name)}" for name in types)

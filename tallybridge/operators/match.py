@@ -70,6 +70,31 @@ def profile(
     return profile_keys(keys, key_names(layout), hot_key_rows)
 
 
+def row_counts(source: DataFrame, target: DataFrame, layout: Layout) -> DataFrame:
+    """Rows per side, one-sided and matched, from how often each side holds each key.
+
+    Copies pair one to one, so a key's pairs are the lesser count and the surplus is what
+    the other side lacks, whichever copies those are. Counts combine on the map side: no
+    key needs a profile, a sort or a window, however often it repeats.
+    """
+    keys = listed(key_names(layout))
+    return query(
+        f"""
+        SELECT coalesce(sum(_n0), 0L) AS source_rows, coalesce(sum(_n1), 0L) AS target_rows,
+               coalesce(sum(greatest(_n0 - _n1, 0L)), 0L) AS source_only,
+               coalesce(sum(greatest(_n1 - _n0, 0L)), 0L) AS target_only,
+               coalesce(sum(least(_n0, _n1)), 0L) AS matched
+        FROM (SELECT count_if(_side = {SOURCE}) AS _n0, count_if(_side = {TARGET}) AS _n1
+              FROM (SELECT {SOURCE} AS _side, {listed(_keys_of(layout, SOURCE))} FROM {{source}}
+                    UNION ALL
+                    SELECT {TARGET} AS _side, {listed(_keys_of(layout, TARGET))} FROM {{target}})
+              GROUP BY {keys})
+        """,
+        source=source,
+        target=target,
+    )
+
+
 def classify_unique(source: DataFrame, target: DataFrame, layout: Layout) -> DataFrame:
     """No key repeats on either side: one null-safe full outer join.
 
@@ -127,7 +152,7 @@ def classify_duplicates(
     classified = _fold(number_ordinary(ordinary, keys, order), layout)
     if hot is not None:
         numbered = number_hot(
-            hot, keys, layout.key_types, order, workspace, key_profile.hot_rows, rows_per_range
+            hot, keys, layout.key_types, order, workspace, key_profile, rows_per_range
         )
         classified = classified.unionByName(_fold(numbered, layout))
     return classified

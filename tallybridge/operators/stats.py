@@ -1,7 +1,9 @@
 """Counts, per-column statistics and the verdict, each from one pass.
 
 All measures are plain aggregates over the classified relation, so partial
-aggregation reduces every task's share to one row before anything is shuffled.
+aggregation reduces every task's share to a row, or a row per column, before
+anything is shuffled. Where the relation is written anyway they are observed
+on the way.
 """
 
 from __future__ import annotations
@@ -47,6 +49,15 @@ STAT_FIELDS = (
 )
 
 
+# Columns that are measured by one row of an aggregate.
+COLUMNS_A_ROW = 32
+# What ``measured_columns`` knows of each column.
+STAT_TYPES = (
+    "position int, `column` string, source_type string, target_type string, "
+    "matches long, null_diff long, max_diff double"
+)
+
+
 def comparisons(layout: Layout, tolerance: Tolerance) -> dict[str, Comparison]:
     """The rule for every compared column, over classified rows."""
     names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
@@ -96,40 +107,83 @@ def column_measures(
     return measures
 
 
-def stat_rows(
-    layout: Layout,
-    rules: dict[str, Comparison],
-    columns: Sequence[str],
-    with_keys: bool,
-) -> str:
-    """The select list that turns one row of measures into one row per column."""
-    positions = {name: i for i, name in enumerate(columns)}
+def measured_columns(
+    layout: Layout, rules: dict[str, Comparison], measures: dict[str, object]
+) -> list[tuple]:
+    """Rows of ``STAT_TYPES`` from one row of measures."""
+    positions = {name: i for i, name in enumerate(layout.compared)}
+    rows = []
+    for position, name in enumerate(layout.shared):
+        types = layout.source[name].simpleString(), layout.target[name].simpleString()
+        i = positions.get(name)
+        matches = measures["matched"] if i is None else measures[f"m{i}"]
+        gaps = 0 if i is None else measures[f"n{i}"]
+        subtracted = i is not None and rules[name].difference is not None
+        rows.append((position, name, *types, matches, gaps, measures[f"d{i}"] if subtracted else 0.0))
+    return rows
+
+
+def grouped_columns(layout: Layout, rules: dict[str, Comparison]) -> str:
+    """The select list that deals a matched row's shared columns to rows of ``COLUMNS_A_ROW``.
+
+    Aggregated by ``g`` this is one pass however many columns there are, in generated code
+    of a size that does not depend on them.
+    """
+    names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
+    fields = []
+    for name in layout.shared:
+        match, gap, largest = "true", "false", "0.0D"
+        if name in rules:
+            rule = rules[name]
+            a = nan_to_null(names_s[name], layout.source[name])
+            b = nan_to_null(names_t[name], layout.target[name])
+            match, gap = rule.match, f"({a} IS NULL) != ({b} IS NULL)"
+            if rule.difference is not None:
+                # A missing value already makes the difference NULL; inf - inf does not.
+                largest = f"nanvl({rule.difference}, {MISSING})"
+        fields.append((match, gap, largest))
+    width = min(COLUMNS_A_ROW, len(fields))
+    fields += [("false", "false", "CAST(NULL AS DOUBLE)")] * (-len(fields) % width)
+    rows = []
+    for begin in range(0, len(fields), width):
+        values = [f"'g', {begin // width}"]
+        for i, field in enumerate(fields[begin : begin + width]):
+            values += [f"'{kind}{i}', {value}" for kind, value in zip("mnd", field)]
+        rows.append(f"named_struct({listed(values)})")
+    return f"inline(array({listed(rows)}))"
+
+
+def grouped_measures(layout: Layout) -> list[str]:
+    """Measures of one such row, as a list for every measure."""
+    width = range(min(COLUMNS_A_ROW, len(layout.shared)))
+    return [
+        "count(*) AS total",
+        f"array({listed(f'count_if(m{i})' for i in width)}) AS matches",
+        f"array({listed(f'count_if(n{i})' for i in width)}) AS gaps",
+        f"array({listed(f'max(d{i})' for i in width)}) AS largest",
+    ]
+
+
+def column_list(layout: Layout, rules: dict[str, Comparison]) -> str:
+    """The select list of the shared columns: types, the row and slot of their measures.
+
+    ``none`` is the largest difference of no rows.
+    """
     rows = []
+    width = min(COLUMNS_A_ROW, len(layout.shared))
     for position, name in enumerate(layout.shared):
-        if name in layout.keys:
-            if not with_keys:
-                continue
-            matches, largest, gaps = "matched", "0.0D", "0L"
-        elif name in positions:
-            i = positions[name]
-            matches, gaps = f"m{i}", f"n{i}"
-            largest = "0.0D" if rules[name].difference is None else f"d{i}"
-        else:
-            continue
+        subtracted = name in rules and rules[name].difference is not None
         values = (
             str(position),
             text(name),
             text(layout.source[name].simpleString()),
             text(layout.target[name].simpleString()),
-            matches,
-            f"matched - {matches}",
-            "matched",
-            percent(matches, "matched"),
-            largest,
-            gaps,
+            "CAST(NULL AS DOUBLE)" if subtracted else "0.0D",
+            str(position // width),
+            str(position % width),
         )
-        fields = listed(f"'{f}', {v}" for f, v in zip(STAT_FIELDS, values))
-        rows.append(f"named_struct({fields})")
+        names = (*STAT_FIELDS[:4], "none", "g", "slot")
+        rows.append("named_struct(" + listed(f"'{f}', {v}" for f, v in zip(names, values)) + ")")
     return f"inline(array({listed(rows)}))"
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 from tallybridge.errors import SpecError
 from tallybridge.plans.reconcile import Reconciliation, reconcile
 from tallybridge.plans.report import report, summary_json
 from tallybridge.sinks.ledger import FINISHED, Ledger, new_id, result_document, run_record
-from tallybridge.sinks.tables import publish, save_csv, save_lines, save_parquet
+from tallybridge.sinks.tables import publish_rows, save_csv, save_lines, save_parquet
 from tallybridge.sources.files import read_parquet
 from tallybridge.sources.jdbc import Connection
 from tallybridge.sources.spec import SourceSpec, read_spec
@@ -28,6 +31,31 @@ EXTRACT_FAILED = "extraction failed"
 COMPARE_FAILED = "comparison failed"
 
 
+def together(spark: SparkSession, tasks: Mapping[str, Callable[[], str]]) -> dict[str, str]:
+    """Run ``tasks`` at the same time; the first to fail cancels the others' Spark jobs."""
+    context = spark.sparkContext
+    tags = {name: new_id(f"tallybridge-{name}") for name in tasks}
+
+    def tagged(name: str) -> str:
+        context.addJobTag(tags[name])
+        try:
+            return tasks[name]()
+        finally:
+            context.removeJobTag(tags[name])
+
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        running = {pool.submit(inheritable_thread_target(spark)(tagged), name): name for name in tasks}
+        done, waiting = wait(running, return_when=FIRST_EXCEPTION)
+        failed = [f for f in done if f.exception()]
+        if failed:
+            for future in waiting:
+                # A job that starts after this is not cancelled, and ends on its own.
+                context.cancelJobsWithTag(tags[running[future]])
+            wait(waiting)
+            raise failed[0].exception()
+    return {name: future.result() for future, name in running.items()}
+
+
 @dataclass(frozen=True)
 class LandedPair:
     job_id: str
@@ -46,7 +74,10 @@ def extract_pair(
     connections: Mapping[str, Connection] | None = None,
     container: str | None = None,
 ) -> LandedPair:
-    """Land both sides as Parquet. One side failing fails the job."""
+    """Land both sides as Parquet, at the same time. One side failing fails the job.
+
+    With a ``container`` they are written there at once, and published.
+    """
     job_id = new_id("extract")
     if ledger:
         ledger.started(job_id)
@@ -57,11 +88,16 @@ def extract_pair(
         }
         if names["source"] == names["target"]:
             raise SpecError(f"both sides would land as {names['source']}")
-        places = {}
-        for side, spec in (("source", source), ("target", target)):
+
+        def land(side: str, spec: SourceSpec) -> str:
+            rows = read_spec(spark, spec, connections)
+            if container:
+                return publish_rows(rows, f"{container.rstrip('/')}/{job_id}/{names[side]}.parquet")
             path = f"{out.rstrip('/')}/{names[side]}.parquet"
-            save_parquet(read_spec(spark, spec, connections), path)
-            places[side] = publish(spark, path, container, job_id) if container else path
+            save_parquet(rows, path)
+            return path
+
+        places = together(spark, {"source": partial(land, "source", source), "target": partial(land, "target", target)})
     except Exception:
         if ledger:
             ledger.failed(job_id, EXTRACT_FAILED)
@@ -108,8 +144,9 @@ def compare_datasets(
             read_parquet(spark, target_path, roots),
             keys,
             **options,
-        ).stored()
+        )
         try:
+            rec = rec.stored()
             outputs = _write_outputs(rec, out.rstrip("/"), job_id)
             if ledger:
                 body = result_document(rec.column_stats())

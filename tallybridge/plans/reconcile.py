@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, Observation, types as T
 
 from tallybridge.errors import SchemaError
 from tallybridge.functions.comparators import Comparison, Tolerance
 from tallybridge.functions.nested import sql_type
-from tallybridge.functions.sqltext import ident, listed, query
+from tallybridge.functions.sqltext import expr, ident, listed, query
 from tallybridge.operators import match, samples, stats
 from tallybridge.operators.keys import (
     HOT_KEY_ROWS,
@@ -24,9 +23,6 @@ from tallybridge.operators.keys import (
 from tallybridge.operators.schema import Layout, describe, normalise_names
 from tallybridge.workspace import Workspace
 
-# One aggregate over more columns than this outgrows generated code.
-COLUMNS_PER_PASS = 80
-
 
 def reconcile(
     source: DataFrame,
@@ -71,6 +67,15 @@ def reconcile(
     )
 
 
+def count_rows(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: rows per side, one-sided and matched, from the key columns alone.
+
+    The same numbers as ``reconcile(...).row_summary()`` has, without a key profile.
+    """
+    source, target = _typed(normalise_names(source)), _typed(normalise_names(target))
+    return match.row_counts(source, target, describe(source, target, keys))
+
+
 def _typed(df: DataFrame) -> DataFrame:
     """An untyped NULL column has no storage type; make it text."""
     if not any(isinstance(f.dataType, T.NullType) for f in df.schema):
@@ -104,35 +109,44 @@ class Reconciliation:
         """Write the classified rows once, so that several outputs can share them.
 
         The table is partitioned by status: one-sided outputs do not read the
-        matched rows, and the other way round.
+        matched rows, and the other way round. Row and column measures are observed
+        while the rows are written, so they need no scan of their own.
         """
         if self._stored:
             return self
-        labelled = query(f"SELECT *, {stats.STATUS} AS _status FROM {{rows}}", rows=self.classified)
-        table = self.workspace.store(labelled, "classified", "_status")
-        return replace(self, classified=table, _stored=True)._measured()
-
-    def _measured(self) -> Reconciliation:
-        """Keep the row and column measures too; a handful of rows, from one pass."""
-        columns, rules = self.layout.compared, self.rules()
-        if len(columns) > COLUMNS_PER_PASS:
-            return replace(
-                self,
-                _row_summary=self.workspace.store(self.row_summary(), "row-summary"),
-                _column_stats=self.workspace.store(self.column_stats(), "column-stats"),
-            )
+        rules = self.rules()
         wanted = [
             *stats.row_measures(rules),
-            *stats.column_measures(self.layout, rules, columns, stats.MATCHED),
+            *stats.column_measures(self.layout, rules, self.layout.compared, stats.MATCHED),
         ]
-        measures = self.workspace.store(
-            query(f"SELECT {listed(wanted)} FROM {{rows}}", rows=self.classified), "measures"
-        )
-        rows = stats.stat_rows(self.layout, rules, columns, with_keys=True)
+        seen = Observation()
+        labelled = query(f"SELECT *, {stats.STATUS} AS _status FROM {{rows}}", rows=self.classified)
+        watched = labelled.observe(seen, *map(expr, wanted))
+        table = self.workspace.store(watched, "classified", "_status")
+        return replace(self, classified=table, _stored=True)._measured(seen.get)
+
+    def _measured(self, measures: dict[str, object]) -> Reconciliation:
+        """Keep the measures that were observed while the rows were written: one row."""
+        spark = self.classified.sparkSession
+        counts = ", ".join(f"{name} long" for name in stats.ROW_FIELDS)
+        rows = stats.measured_columns(self.layout, self.rules(), measures)
+        columns = spark.createDataFrame(rows, stats.STAT_TYPES)
         return replace(
             self,
-            _row_summary=measures.select(*stats.ROW_FIELDS),
-            _column_stats=query(f"SELECT {rows} FROM {{measures}}", measures=measures),
+            _row_summary=spark.createDataFrame([tuple(measures[n] for n in stats.ROW_FIELDS)], counts),
+            _column_stats=self._stat_fields(columns, f"{measures['matched']}L"),
+        )
+
+    @staticmethod
+    def _stat_fields(columns: DataFrame, total: str) -> DataFrame:
+        return query(
+            f"""
+            SELECT position, `column`, source_type, target_type, matches,
+                   total - matches AS unequal, total, {stats.percent("matches", "total")} AS percent,
+                   max_diff, null_diff
+            FROM (SELECT *, {total} AS total FROM {{columns}})
+            """,
+            columns=columns,
         )
 
     def close(self) -> None:
@@ -215,36 +229,32 @@ class Reconciliation:
     def column_stats(self) -> DataFrame:
         """One row per shared column: matches, unequal, percent, differences.
 
-        Only matched rows are read, so the join narrows to an inner join.
-        Tables too wide for one aggregate are stored first and read in groups
-        of columns.
+        Only matched rows are read, once, so the join narrows to an inner join. The
+        aggregate has a row for every ``stats.COLUMNS_A_ROW`` columns.
         """
         if self._column_stats is not None:
             return self._column_stats
-        columns = self.layout.compared
-        if len(columns) <= COLUMNS_PER_PASS:
-            return self._stats_over(columns, with_keys=True)
-        if not self._stored:
-            return self.stored().column_stats()
-        groups = [
-            columns[i : i + COLUMNS_PER_PASS] for i in range(0, len(columns), COLUMNS_PER_PASS)
-        ]
-        parts = [
-            self._stats_over(group, with_keys=position == 0)
-            for position, group in enumerate(groups)
-        ]
-        return reduce(DataFrame.unionByName, parts)
-
-    def _stats_over(self, columns: Sequence[str], with_keys: bool) -> DataFrame:
         rules = self.rules()
-        wanted = ["count(*) AS matched", *stats.column_measures(self.layout, rules, columns)]
-        return query(
+        spark = self.classified.sparkSession
+        found = query(
             f"""
-            SELECT {stats.stat_rows(self.layout, rules, columns, with_keys)}
-            FROM (SELECT {listed(wanted)} FROM {{rows}} WHERE {self._status_is("matched")})
+            SELECT /*+ BROADCAST(f) */ c.position, c.`column`, c.source_type, c.target_type,
+                   coalesce(f.matches[c.slot], 0L) AS matches,
+                   coalesce(f.gaps[c.slot], 0L) AS null_diff,
+                   IF(f.total IS NULL, c.none, f.largest[c.slot]) AS max_diff,
+                   coalesce(f.total, 0L) AS _total
+            FROM (SELECT {stats.column_list(self.layout, rules)} FROM {{one}}) AS c
+            LEFT JOIN (
+                SELECT g, {listed(stats.grouped_measures(self.layout))}
+                FROM (SELECT {stats.grouped_columns(self.layout, rules)}
+                      FROM {{rows}} WHERE {self._status_is("matched")})
+                GROUP BY g) AS f
+            ON c.g = f.g
             """,
+            one=spark.range(1),
             rows=self.classified,
         )
+        return self._stat_fields(found, "_total")
 
     def row_summary(self) -> DataFrame:
         """Row counts per side and status, and matched rows that agree or differ."""

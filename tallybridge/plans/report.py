@@ -94,6 +94,7 @@ def report(rec: Reconciliation) -> DataFrame:
         _lines(counts, _overview(rec)),
         _sample_lines(rec.matched_sample(), 4, 100),
         _lines(counts, _difference_head(rec), f"WHERE NOT {stats.verdict(rec.layout)}"),
+        _difference_summary(rec),
         _difference_columns(rec),
         _mismatch_lines(rec),
         _sample_lines(rec.source_only_sample(), 5, 300_000, "source only: "),
@@ -173,10 +174,11 @@ def _sample_lines(sample: DataFrame, section: int, start: int, prefix: str = "")
 
 
 def _difference_head(rec: Reconciliation) -> dict[int, list[str]]:
-    tolerance = rec.tolerance
+    layout, tolerance = rec.layout, rec.tolerance
     return {
         5: [
             text(SECTION_DIFFERENCES),
+            text(f"matched on: {', '.join(layout.keys)}"),
             _filled_in("matched rows with every value equal: %d", "all_equal"),
             _filled_in("matched rows with some value unequal: %d", "some_unequal"),
             text(f"duplicate keys: {not rec.key_profile.unique}"),
@@ -185,6 +187,32 @@ def _difference_head(rec: Reconciliation) -> dict[int, list[str]]:
     }
 
 
+def _difference_summary(rec: Reconciliation) -> DataFrame:
+    """How many columns and values differ; two relations of one row each, folded into one."""
+    patterns = (
+        ("columns with some values unequal: %d", "columns_some_unequal"),
+        ("columns with all values equal: %d", "columns_all_equal"),
+        ("values unequal in total: %d", "unequal_values"),
+    )
+    lines = [
+        f"named_struct('section', 5, 'line_no', {500 + i}, 'text', {_filled_in(p, n)})"
+        for i, (p, n) in enumerate(patterns)
+    ]
+    names = [name for _, name in patterns]
+    return query(
+        f"""
+        SELECT inline(array({listed(lines)}))
+        FROM (SELECT {listed(f"max({n}) AS {n}" for n in names)}, bool_and(same) AS same
+              FROM (SELECT {listed(names)}, CAST(NULL AS BOOLEAN) AS same FROM {{summary}}
+                    UNION ALL
+                    SELECT {listed("NULL" for _ in names)}, {stats.verdict(rec.layout)} FROM {{counts}}))
+        WHERE NOT same
+        """,
+        summary=rec.column_summary(),
+        counts=rec.row_summary(),
+    )
+
+
 def _difference_columns(rec: Reconciliation) -> DataFrame:
     """Columns with unequal values or with different types."""
     pattern = "%s (%s, %s): %d of %d unequal, largest difference %s, one-sided nulls %d"

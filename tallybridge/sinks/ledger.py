@@ -8,20 +8,20 @@ costs no more than any other.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Mapping
 from datetime import datetime, timezone
 from uuid import uuid4
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallybridge.functions.sqltext import query, text
 from tallybridge.sources.files import exists, is_folder
 
 # Record fields and states that readers of the ledger expect.
-RUN_SCHEMA = (
-    "run_id string, result_json string, "
-    "state string, ts timestamp"
-)
+RUN_SCHEMA = "run_id string, result_json string, state string, ts timestamp"
 EVENT_SCHEMA = (
     "job_id string, status string, progress double, result_path string, "
     "error string, updated_at timestamp, seq long"
@@ -30,7 +30,11 @@ STAT_SCHEMA = "columna string, matches long, total long, percent double"
 RESULT_SCHEMA = f"lines array<string>, column_stats array<struct<{STAT_SCHEMA}>>, error string"
 IN_PROGRESS, FINISHED, FAILED = "in_progress", "finished", "failed"
 RUN_ERROR = "error"
-NOT_FOUND = "not_found"
+NOT_FOUND, LOOKUP_FAILED = "not_found", "error"
+
+LOG = logging.getLogger(__name__)
+# What a ledger or a result that can't be read raises.
+UNREADABLE = (PySparkException, Py4JError, ValueError, OSError)
 
 RESULT_KINDS = ("parquet", "json", "error", "empty")
 
@@ -187,20 +191,35 @@ class Ledger:
         return row.asDict() if row else None
 
     def status(self, job_id: str) -> dict:
-        job = self._latest(job_id)
+        """State and progress; ``error`` if the ledger itself can't be read."""
+        try:
+            job = self._latest(job_id)
+        except UNREADABLE:
+            LOG.exception("status of job %s", job_id)
+            return {"job_id": job_id, "status": LOOKUP_FAILED, "progress": 0.0}
         if job is None:
             return {"job_id": job_id, "status": NOT_FOUND, "progress": 0.0}
         return {"job_id": job_id, "status": job["status"], "progress": job["progress"]}
 
     def result(self, job_id: str) -> dict:
-        """A pointer to a dataset, a JSON body, the error, or nothing."""
+        """A pointer to a dataset, a JSON body, the error, or nothing.
+
+        Nothing too if the ledger or the result can't be read.
+        """
+        try:
+            return {"job_id": job_id, "result": self._result(job_id)}
+        except UNREADABLE:
+            LOG.exception("result of job %s", job_id)
+            return {"job_id": job_id, "result": {}}
+
+    def _result(self, job_id: str) -> dict:
         job = self._latest(job_id)
         path = job["result_path"] if job else None
         if path and exists(self._spark, path):
             if not is_folder(self._spark, path) or path.endswith(".json"):
                 body = self._spark.read.text(path, wholetext=True).first()
-                return {"job_id": job_id, "result": json.loads(body["value"]) if body else {}}
-            return {"job_id": job_id, "result": {"parquet_dir": path}}
+                return json.loads(body["value"]) if body else {}
+            return {"parquet_dir": path}
         if job and job["error"]:
-            return {"job_id": job_id, "result": {"error": job["error"]}}
-        return {"job_id": job_id, "result": {}}
+            return {"error": job["error"]}
+        return {}

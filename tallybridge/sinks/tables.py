@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from posixpath import basename
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from tallybridge.functions.nested import as_text, is_nested
 from tallybridge.functions.sqltext import ident, listed, query
+from tallybridge.sources.files import delete, exists, files_in, read_whole, write_whole
+
+MANIFEST = "_manifest.json"
 
 
 def save_parquet(df: DataFrame, path: str) -> None:
@@ -27,12 +31,40 @@ def publish(
     job_id: str | None = None,
     name: str | None = None,
 ) -> str:
-    """Copy a landed dataset, every part of it, into ``container``; return its URI."""
+    """Copy a landed dataset, every part of it, into ``container``; return its URI.
+
+    Rows that aren't landed yet need no copy: ``publish_rows``.
+    """
     uri = f"{container.rstrip('/')}/{name or published_name(path, job_id)}"
-    save_parquet(spark.read.parquet(path), uri)
+    return publish_rows(spark.read.parquet(path), uri)
+
+
+def publish_rows(df: DataFrame, uri: str) -> str:
+    """Write ``df`` to its published place, once; return the place.
+
+    The manifest that names the data files comes last. Until it is there nothing is
+    published, and what an attempt before it left is never read as part of the dataset.
+    """
+    spark = df.sparkSession
+    delete(spark, f"{uri}/{MANIFEST}")
+    save_parquet(df, uri)
+    files = {path: size for path, size in files_in(spark, uri).items() if not path.startswith(("_", "."))}
+    write_whole(spark, f"{uri}/{MANIFEST}", json.dumps({"files": files}, indent=1))
     return uri
 
 
+def read_published(spark: SparkSession, uri: str) -> DataFrame:
+    """The files of a published dataset's manifest, all of them and no others."""
+    if not exists(spark, f"{uri}/{MANIFEST}"):
+        raise FileNotFoundError(f"{uri} is not published")
+    listed_files = json.loads(read_whole(spark, f"{uri}/{MANIFEST}"))["files"]
+    found = files_in(spark, uri)
+    broken = [path for path, size in listed_files.items() if found.get(path) != size]
+    if broken:
+        raise FileNotFoundError(f"{uri} lacks {len(broken)} of its published files: {broken[0]}")
+    return spark.read.parquet(*[f"{uri}/{path}" for path in sorted(listed_files)])
+
+
 def save_csv(df: DataFrame, path: str) -> bool:
     """Quoted CSV with a header in every part; nothing is written for no rows.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from posixpath import basename
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,6 +52,45 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return system.exists(target) and system.getFileStatus(target).isDirectory()
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def files_in(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Name and length of every file directly in ``folder``."""
+    system, target = _file_system(spark, folder)
+    return {s.getPath().getName(): s.getLen() for s in system.listStatus(target) if s.isFile()}
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def write_whole(spark: SparkSession, path: str, body: str) -> None:
+    """A small file that is there as a whole or not at all."""
+    system, target = _file_system(spark, path)
+    _, beside = _file_system(spark, f"{path}.{uuid4().hex}.tmp")
+    stream = system.create(beside)
+    try:
+        stream.write(bytearray(body.encode()))
+    finally:
+        stream.close()
+    if not system.rename(beside, target):
+        raise FileExistsError(f"{path} is already there")
+
+
+def read_whole(spark: SparkSession, path: str) -> str:
+    """A small file's text, also where Spark's readers hide it for its name."""
+    system, target = _file_system(spark, path)
+    stream = system.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def locate(spark: SparkSession, path: str, roots: Sequence[str] = ()) -> str:
     """The first place the dataset exists; it is read there, not copied."""
     name = basename(path.rstrip("/"))

@@ -6,16 +6,19 @@ import csv
 import glob
 import json
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.pairs import LINES, ORDERS
 from tallybridge import SpecError, reconcile
-from tallybridge.plans.jobs import COMPARE_FAILED, EXTRACT_FAILED, compare_datasets, extract_pair
+from tallybridge.plans.jobs import COMPARE_FAILED, EXTRACT_FAILED, compare_datasets, extract_pair, together
 from tallybridge.plans.report import report, summary_json
 from tallybridge.sinks.ledger import (
     FAILED,
     FINISHED,
+    LOOKUP_FAILED,
     NOT_FOUND,
     Ledger,
     latest_state,
@@ -23,7 +26,7 @@ from tallybridge.sinks.ledger import (
     result_kinds,
     status_of,
 )
-from tallybridge.sinks.tables import publish, published_name, save_csv, save_parquet
+from tallybridge.sinks.tables import publish, publish_rows, published_name, read_published, save_csv, save_parquet
 from tallybridge.sources.spec import QUERY, SourceSpec
 
 EVENTS = "job_id string, status string, progress double, result_path string, error string, updated_at timestamp, seq long"
@@ -52,6 +55,72 @@ def test_publish_keeps_every_part(spark, tmp_path):
     assert publish(spark, path, str(tmp_path), name="own").endswith("/own")
 
 
+def test_only_whole_publications_are_read(spark, tmp_path):
+    uri = str(tmp_path / "box" / "t.parquet")
+    publish_rows(spark.range(100).repartition(4), uri)
+    assert read_published(spark, uri).count() == 100
+    # A stray file of another attempt is not part of it; a lost one is noticed.
+    spark.range(7).write.mode("append").parquet(uri)
+    assert read_published(spark, uri).count() == 100
+    publish_rows(spark.range(5), uri)
+    assert read_published(spark, uri).count() == 5
+    os.remove(sorted(glob.glob(f"{uri}/part-*"))[0])
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, uri)
+    # Data without a manifest is an unfinished publication.
+    unfinished = str(tmp_path / "u.parquet")
+    save_parquet(spark.range(5), unfinished)
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, unfinished)
+
+
+def test_the_first_failure_cancels_the_other_side(spark):
+    def slow():
+        wait = F.udf(lambda i: time.sleep(0.05) or i, "long")
+        spark.range(0, 100_000, numPartitions=4).select(wait("id").alias("i")).agg(F.sum("i")).collect()
+
+    def broken():
+        time.sleep(1)
+        raise ValueError("no such side")
+
+    begin = time.time()
+    with pytest.raises(ValueError, match="no such side"):
+        together(spark, {"a": slow, "b": broken})
+    assert time.time() - begin < 120
+    assert together(spark, {"a": lambda: "x", "b": lambda: "y"}) == {"a": "x", "b": "y"}
+
+
+def test_lookups_in_a_broken_ledger_answer_with_a_state(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path))
+    ledger.finished("j", str(tmp_path / "body.json"))
+    (tmp_path / "body.json").write_text("{not json")
+    assert ledger.status("j")["status"] == FINISHED
+    assert ledger.result("j") == {"job_id": "j", "result": {}}
+    for part in glob.glob(f"{tmp_path}/job_events/part-*"):
+        with open(part, "wb") as handle:
+            handle.write(b"broken")
+    for crc in glob.glob(f"{tmp_path}/job_events/.*.crc"):
+        os.remove(crc)
+    assert ledger.status("j") == {"job_id": "j", "status": LOOKUP_FAILED, "progress": 0.0}
+    assert ledger.result("j") == {"job_id": "j", "result": {}}
+
+
+def test_empty_sides_are_measured_too(spark):
+    none = spark.createDataFrame([], "id long, v double, t string")
+    some = spark.createDataFrame([(1, 2.0, "a")], "id long, v double, t string")
+    for source, target, counts in ((none, none, (0, 0)), (some, none, (1, 0)), (none, some, (0, 1))):
+        rec = reconcile(source, target, ["id"])
+        kept = rec.stored()
+        lazy = rec.column_stats().orderBy("position").collect()
+        assert kept.column_stats().orderBy("position").collect() == lazy
+        assert [(r["matches"], r["total"], r["percent"], r["max_diff"]) for r in lazy] == [
+            (0, 0, None, 0.0), (0, 0, None, None), (0, 0, None, 0.0),
+        ]
+        assert tuple(kept.row_summary().first())[:2] == counts
+        assert kept.row_summary().collect() == rec.row_summary().collect()
+        kept.close()
+
+
 def test_csv_is_quoted_and_skipped_when_empty(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     df = spark.createDataFrame(

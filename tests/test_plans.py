@@ -6,9 +6,9 @@ import re
 
 import pytest
 
-from checks.pairs import HOT_KEYS, LINES, NULL_KEYS, ORDERS
-from tallybridge import reconcile
-from tallybridge.operators.keys import duplicate_keys
+from checks.pairs import HOT_KEYS, LINES, NULL_KEYS, ORDERS, WIDE
+from tallybridge import count_rows, reconcile
+from tallybridge.operators.keys import duplicate_keys, key_ordinals
 from tallybridge.sinks.ledger import latest_state
 from checks.pairs import load
 from checks.queries import JOB_LOG
@@ -107,8 +107,32 @@ def test_hot_keys_are_paired_on_key_and_ordinal(spark, sf_dir, plan):
     rec = build(spark, sf_dir, HOT_KEYS, hot_key_rows=50, rows_per_range=100)
     text = plan(rec.row_summary())
     assert re.search(r"Exchange hashpartitioning\(_k0#\d+, _ord#\d+L", text)
-    # The only forced broadcast is the list of hashes.
-    assert text.count("BroadcastExchange") == 2
+    # Forced broadcasts: the list of hashes, for either side, and the ranges' starting numbers.
+    assert text.count("BroadcastExchange") == 3
+    ordinals = plan(key_ordinals(load(spark, sf_dir, HOT_KEYS.source), HOT_KEYS.keys, 50, 100))
+    assert ordinals.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in ordinals
+
+
+def test_wide_tables_are_measured_in_one_scan(spark, sf_dir, plan):
+    rec = build(spark, sf_dir, WIDE)
+    text = plan(rec.column_stats())
+    assert text.count("FileScan") == 2 and len(wide_exchanges(text)) == 3
+    assert "FullOuter" not in text
+
+
+def test_stored_measures_need_no_scan(spark, sf_dir, plan):
+    rec = build(spark, sf_dir, LINES).stored()
+    for df in (rec.row_summary(), rec.column_stats(), rec.verdict()):
+        assert "FileScan" not in plan(df) and "Exchange hash" not in plan(df)
+    rec.close()
+
+
+def test_key_counts_have_no_window_and_no_sort(spark, sf_dir, plan):
+    for pair in (ORDERS, LINES, NULL_KEYS, HOT_KEYS):
+        text = plan(count_rows(*pair.load(spark, sf_dir), pair.keys))
+        assert len(wide_exchanges(text)) == 1 and "partial_count" in text
+        for bad in ("Window", "Sort", "Join"):
+            assert bad not in text, text
 
 
 def test_grouping_combines_before_the_shuffle(spark, sf_dir, plan):
