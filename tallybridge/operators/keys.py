@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, Observation, types as T
 
 from tallybridge.functions.comparators import is_instant, is_number, is_text, nan_to_null
 from tallybridge.functions.nested import as_text, is_nested
@@ -82,7 +82,8 @@ def profile_keys(
     Keys are represented by 96 bits of hash, so the shuffle moves a few bytes
     per key however wide the key is. A collision can only make unique keys look
     duplicated, or a small key look hot; both lead to a slower plan with the
-    same result.
+    same result. One job tells the totals and the hot keys, of which there are
+    at most a row for every ``hot_key_rows``.
     """
     counts = query(
         f"""
@@ -95,19 +96,13 @@ def profile_keys(
     (totals,) = query(
         """
         SELECT coalesce(sum(_n0), 0) AS sum0, coalesce(sum(_n1), 0) AS sum1,
-               coalesce(max(_n0), 0) AS max0, coalesce(max(_n1), 0) AS max1 FROM {counts}
-        """,
+               coalesce(max(_n0), 0) AS max0, coalesce(max(_n1), 0) AS max1,
+               collect_list(IF(greatest(_n0, _n1) > {hot}, struct(_h, _n0 + _n1 AS _n), NULL)) AS hot
+        FROM {counts}
+        """.replace("{hot}", str(int(hot_key_rows))),
         counts=counts,
     ).collect()
-    hot: list = []
-    if max(totals["max0"], totals["max1"]) > hot_key_rows:
-        hot = query(
-            f"""
-            SELECT _h, _n0 + _n1 AS _n FROM {{counts}}
-            WHERE greatest(_n0, _n1) > {int(hot_key_rows)}
-            """,
-            counts=counts,
-        ).collect()
+    hot = totals["hot"]
     return KeyProfile(
         source_rows=totals["sum0"],
         target_rows=totals["sum1"],
@@ -226,11 +221,10 @@ def range_count(rows: int, rows_per_range: int, width: int, fewest: int = 2) ->
     return max(2, min(max(ceil(rows / rows_per_range), fewest), affordable))
 
 
-def sort_width(rows: DataFrame, order: Ordering) -> int:
-    """Mean bytes of a sort key, measured."""
+def text_width(order: Ordering) -> Column:
+    """Mean bytes of a sort key's texts."""
     sizes = [f"coalesce(octet_length({t}), 0)" for t in order.texts] or ["0"]
-    (row,) = query(f"SELECT avg({' + '.join(sizes)}) AS w FROM {{rows}}", rows=rows).collect()
-    return int(row["w"] or 0) + 16 * len(order.columns)
+    return expr(f"avg({' + '.join(sizes)})").alias("width")
 
 
 def number_hot(
@@ -253,13 +247,13 @@ def number_hot(
     numbers, which is broadcast as long as its bound is small: the rows themselves are
     shuffled for the sort alone.
     """
-    tied = workspace.store(
-        query("SELECT *, monotonically_increasing_id() AS _tie FROM {rows}", rows=rows), "hot"
-    )
     by_key = ordering([[(k, t)] for k, t in zip(keys, key_types)])
     full = by_key + Ordering(("_side",)) + order + Ordering(("_tie",))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = sort_width(tied, full)
+    seen = Observation()
+    tied = query("SELECT *, monotonically_increasing_id() AS _tie FROM {rows}", rows=rows)
+    tied = workspace.store(tied.observe(seen, text_width(full)), "hot")
+    width = int(seen.get["width"] or 0) + 16 * len(full.columns)
     ranges = range_count(profile.hot_rows, rows_per_range, width, tasks)
     ranged = tied.repartitionByRange(ranges, *[expr(c) for c in full.columns])
     in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(full.columns)}", ranged=ranged)

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tallybridge.operators import stats as stats_module
 from tallybridge import reconcile
 from tallybridge.operators.keys import (
     HOT_KEY_ROWS,
@@ -232,10 +233,9 @@ def test_range_sample_is_bounded(width):
     assert range_count(HOT_KEY_ROWS, 1_000_000, width) == 2
 
 
-def test_wide_tables_are_measured_in_groups(spark, monkeypatch):
-    from tallybridge.plans import reconcile as module
-
-    monkeypatch.setattr(module, "COLUMNS_PER_PASS", 3)
+@pytest.mark.parametrize("per_row", [1, 3, 9, 32])
+def test_wide_tables_are_measured_in_groups(spark, monkeypatch, per_row):
+    monkeypatch.setattr(stats_module, "COLUMNS_A_ROW", per_row)
     ddl = "k int, " + ", ".join(f"c{i} int" for i in range(8))
     a = spark.createDataFrame([(k, *range(8)) for k in range(4)], ddl)
     b = spark.createDataFrame([(k, *[i + (i == k) for i in range(8)]) for k in range(4)], ddl)
@@ -244,6 +244,22 @@ def test_wide_tables_are_measured_in_groups(spark, monkeypatch):
     assert [r["unequal"] for r in stats] == [0, 1, 1, 1, 1, 0, 0, 0, 0]
 
 
+def test_three_hundred_columns(spark):
+    names = [f"c{i}" for i in range(300)]
+    ddl = "k int, " + ", ".join(f"{n} {('int', 'string', 'double')[i % 3]}" for i, n in enumerate(names))
+    kinds = (int, str, float)
+
+    def side(change):
+        return spark.createDataFrame([(k, *[kinds[i % 3](i + (change and k == i)) for i in range(300)]) for k in range(20)], ddl)
+
+    rec = reconcile(side(False), side(True), ["k"])
+    lazy = rec.column_stats().orderBy("position").collect()
+    assert {r["column"]: r["unequal"] for r in lazy if r["unequal"]} == {f"c{i}": 1 for i in range(20)}
+    kept = rec.stored()
+    assert kept.column_stats().orderBy("position").collect() == lazy
+    kept.close()
+
+
 def test_long_equal_beginnings_do_not_mispair(spark):
     """Copies whose texts differ only far in, under repeating keys, on both paths."""
     head = "x" * 70
