@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tallybridge.llm import arrays
+from tallybridge.llm.columns import opened, sealed
 from tallybridge.llm.minhash import shingle_sets
 
 # Labelled rows of each label that training may use.
@@ -229,6 +230,31 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit(sides[1], sides[0])
 
 
+def _scores(scorer: Scorer, column: pa.Array) -> np.ndarray:
+    data, offsets = arrays.utf8(column)
+    score = [np.zeros(0)]
+    for _, _, part, cuts in arrays.each(data, offsets):
+        blob = part.tobytes()
+        score.append(scorer.scores([blob[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+    return np.concatenate(score)
+
+
+def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text is not predicted toxic, with all their columns."""
+    spark = docs.sparkSession
+    arrays.ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(scorer, batch.column(at)) < THRESHOLD))
+
+    rows, names = sealed(docs)
+    return opened(rows.mapInArrow(run, rows.schema), names)
+
+
 def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     spark = docs.sparkSession
@@ -238,12 +264,7 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            data, offsets = arrays.utf8(batch.column(2))
-            score = []
-            for i, j, part, cuts in arrays.each(data, offsets):
-                blob = part.tobytes()
-                score.append(scorer.scores([blob[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
-            score = np.concatenate(score) if score else np.zeros(0)
+            score = _scores(scorer, batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()), batch.column(1),

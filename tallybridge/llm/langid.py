@@ -112,12 +112,49 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     return fit([r["t"].encode() for r in rows], [r["l"] for r in rows])
 
 
-def _soft(columns: list[str]) -> list[Column]:
-    """Posteriors of the text alone, from its log-likelihoods."""
-    top = F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])
-    parts = [F.exp(F.col(c) - top) for c in columns]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _soft(logs: np.ndarray) -> np.ndarray:
+    """Shares of every row's languages, from log-likelihoods."""
+    shares = np.exp(logs - logs.max(1, keepdims=True))
+    return shares / shares.sum(1, keepdims=True)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """A row of the matrix a list."""
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(values.ravel()))
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    """Lists of ``k`` numbers; zeros where there is none."""
+    out = np.zeros((len(column), k))
+    filled = np.asarray(column.is_valid())
+    if filled.any():
+        out[filled] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return out
+
+
+def _fuse(logs: np.ndarray, soft: np.ndarray, voted: np.ndarray, prior: np.ndarray, found: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Posteriors; ``found`` has each evidence's soft counts and which rows have a value.
+
+    A row's own vote is taken out of every count it is in.
+    """
+    def less_own(key: str) -> tuple[np.ndarray, np.ndarray]:
+        if key not in found:
+            return np.zeros_like(soft), np.zeros(len(soft), bool)
+        counts, filled = found[key]
+        return np.maximum(counts - np.where((voted & filled)[:, None], soft, 0.0), 0.0), filled
+
+    def smoothed(counts: np.ndarray, above: np.ndarray, trust: float) -> np.ndarray:
+        return (counts + trust * above) / (counts.sum(1, keepdims=True) + trust)
+
+    at_domain = smoothed(less_own("_domain")[0], prior[None, :], DOMAIN_TRUST)
+    out = logs + np.log(smoothed(less_own("_host")[0], at_domain, HOST_TRUST))
+    for key in ("_declared", "_suffix"):
+        counts, filled = less_own(key)
+        # P(value | language) over P(value): its share among the language's documents.
+        share = smoothed(counts, prior[None, :], VALUE_TRUST)
+        out += np.where(filled[:, None], np.log(share / prior[None, :]), 0.0)
+    return _soft(out)
 
 
 def identify(
@@ -145,80 +182,60 @@ def identify(
     names = [f"_v{i}" for i in range(len(keep))]
     given = {"_declared": declared, "_suffix": suffix, "_host": host, "_domain": domain}
     given = {key: column for key, column in given.items() if column is not None}
-    prefixes = {"_declared": "_c", "_suffix": "_x", "_host": "_h", "_domain": "_d"}
     source = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)],
         *[c.cast("string").alias(key) for key, c in given.items()], text.alias("_text"),
     )
     kept = source.drop("_text").schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", _log array<double>, _letters boolean"
+    k = len(model.langs)
+
+    def ddl(fields: list) -> str:
+        return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TextModel(*shared.value)
-        k = len(own.langs)
         for batch in batches:
             data, offsets = arrays.utf8(batch.column(batch.num_columns - 1))
             logs, letters = own.likelihoods(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, logs.size + 1, k), pa.int32()), pa.array(logs.ravel()))
-            columns = [*batch.columns[:-1], lists, pa.array(letters)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "_log", "_letters"])
+            columns = [*batch.columns[:-1], _lists(logs), _lists(_soft(logs)), pa.array(letters)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "_log", "_soft", "_letters"])
 
     workspace = Workspace(spark)
-    scored = workspace.store(source.mapInArrow(run, schema), "evidence")
-    logs = [f"_l{i}" for i in range(len(model.langs))]
-    scored = scored.select("*", *[F.col("_log")[i].alias(c) for i, c in enumerate(logs)]).drop("_log")
-    soft = [f"_s{i}" for i in range(len(model.langs))]
-    scored = scored.select("*", *[e.alias(s) for e, s in zip(_soft(logs), soft)])
+    scored = workspace.store(
+        source.mapInArrow(score, f"{ddl(kept.fields)}_log array<double>, _soft array<double>, _letters boolean"), "evidence"
+    )
     voters = scored.where("_letters")
-
-    def counts(key: str, prefix: str) -> DataFrame:
-        return voters.where(F.col(key).isNotNull()).groupBy(key).agg(
-            *[F.sum(s).alias(f"{prefix}{i}") for i, s in enumerate(soft)]
-        )
-
-    every = voters.agg(*[F.coalesce(F.sum(s), F.lit(0.0)).alias(s) for s in soft]).head()
-    totals = np.array([every[s] for s in soft])
-    prior = (totals + 0.5) / (totals.sum() + 0.5 * len(soft))
+    # The plan grows with the number of languages, not with its square.
+    votes = F.array(*[F.sum(F.col("_soft")[i]) for i in range(k)])
+    totals = np.array(voters.agg(votes.alias("n")).head()["n"], float)
+    totals = np.where(np.isnan(totals), 0.0, totals)
+    prior = (totals + 0.5) / (totals.sum() + 0.5 * k)
     out = scored
     for key in given:
-        out = out.join(counts(key, prefixes[key]), key, "left")
-    evidence = []
-    for i in range(len(soft)):
-
-        def less_own(prefix: str, key: str, which: int = i) -> Column:
-            if key not in given:
-                return F.lit(0.0)
-            mine = F.when(F.col("_letters"), F.col(soft[which])).otherwise(0.0)
-            return F.greatest(F.coalesce(F.col(f"{prefix}{which}"), F.lit(0.0)) - F.when(F.col(key).isNotNull(), mine).otherwise(0.0), F.lit(0.0))
-
-        def size(prefix: str, key: str) -> Column:
-            parts = [less_own(prefix, key, k) for k in range(len(soft))]
-            return sum(parts[1:], parts[0])
-
-        at_domain = (less_own("_d", "_domain") + DOMAIN_TRUST * float(prior[i])) / (size("_d", "_domain") + DOMAIN_TRUST)
-        at_host = (less_own("_h", "_host") + HOST_TRUST * at_domain) / (size("_h", "_host") + HOST_TRUST)
-        log = F.col(logs[i]) + F.log(at_host)
-        for key in ("_declared", "_suffix"):
-            if key not in given:
-                continue
-            prefix = prefixes[key]
-            # P(value | language) over P(value): its share among the language's documents.
-            share = (less_own(prefix, key) + VALUE_TRUST * float(prior[i])) / (size(prefix, key) + VALUE_TRUST)
-            log = log + F.when(F.col(key).isNotNull(), F.log(share / float(prior[i]))).otherwise(0.0)
-        evidence.append(log)
-    fused = [f"_f{i}" for i in range(len(soft))]
-    out = out.select(*names, "_letters", *soft, *[e.alias(f) for e, f in zip(evidence, fused)])
-    out = out.select(*names, "_letters", *soft, *[e.alias(f) for e, f in zip(_soft(fused), fused)])
-    best = F.greatest(*fused) if len(fused) > 1 else F.col(fused[0])
-    lang = F.coalesce(*[F.when(F.col(f) == best, F.lit(n)) for f, n in zip(fused, model.langs)])
-    sure = F.col("_letters") & (best >= LEAST_POSTERIOR)
-    return out.select(
-        *[F.col(n).alias(c) for c, n in zip(keep, names)],
-        F.when(sure, lang).otherwise("und").alias("lang_id"),
-        F.when(F.col("_letters"), best).otherwise(0.0).alias("posterior"),
-        F.when(F.col("_letters"), F.greatest(*soft) if len(soft) > 1 else F.col(soft[0])).otherwise(0.0).alias("text_posterior"),
-        sure.alias("accepted"),
-    )
+        out = out.join(voters.where(F.col(key).isNotNull()).groupBy(key).agg(votes.alias(f"_n{key}")), key, "left")
+    out = out.select(*names, "_letters", "_log", "_soft", *given, *[f"_n{key}" for key in given])
+    result, used = [kept[n] for n in names], list(given)
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = np.array([*shared.value[0], "und"], object)
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns))
+            letters = np.asarray(column["_letters"].fill_null(False))
+            logs, soft = _matrix(column["_log"], k), _matrix(column["_soft"], k)
+            found = {key: (_matrix(column[f"_n{key}"], k), np.asarray(column[key].is_valid())) for key in used}
+            fused = _fuse(logs, soft, letters, prior, found)
+            best = fused.max(1, initial=0.0)
+            sure = letters & (best >= LEAST_POSTERIOR)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[column[n] for n in names], pa.array(langs[np.where(sure, fused.argmax(1), k)].tolist(), pa.string()),
+                    pa.array(np.where(letters, best, 0.0)), pa.array(np.where(letters, soft.max(1, initial=0.0), 0.0)), pa.array(sure),
+                ],
+                [*names, "lang_id", "posterior", "text_posterior", "accepted"],
+            )
+
+    done = out.mapInArrow(fuse, f"{ddl(result)}lang_id string, posterior double, text_posterior double, accepted boolean")
+    return done.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_id", "posterior", "text_posterior", "accepted")
 
 
 # --- pages ---------------------------------------------------------------------------
@@ -284,4 +301,7 @@ def identify_documents(docs: DataFrame, model: TextModel) -> DataFrame:
 def accepted_documents(docs: DataFrame, model: TextModel) -> DataFrame:
     """The rows of ``docs`` whose language is known, with their own columns only."""
     known = _verdicts(docs, model).where("accepted").select("_langid_doc", "_langid_text", "_langid_lang", "_langid_source")
-    return docs.join(known, F.expr(_SAME), "left_semi")
+    # Columns under names of their own, so that none of the input's can clash.
+    read = ["doc_id", "text", "lang", "source"]
+    inner = {c: c if c in read else f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*inner.values()).join(known, F.expr(_SAME), "left_semi").toDF(*inner)

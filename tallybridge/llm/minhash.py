@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallybridge.llm import arrays
+from tallybridge.llm.columns import opened, sealed
 from tallybridge.llm.components import connected_components
 from tallybridge.workspace import Workspace
 
@@ -293,3 +294,31 @@ def near_duplicates(docs: DataFrame, width: int = 2, id_column: str = "doc_id",
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, width: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of every group of near-duplicates, that of the smallest id, with all its columns.
+
+    Rows are grouped by their texts, with or without an id; NULL ids come last. Texts
+    without words are in no group and stay; of equal rows one stays.
+    """
+    workspace = Workspace(docs.sparkSession)
+    rows, names = sealed(docs)
+    key, text = names[id_column], names[text_column]
+    marked = rows.withColumns({"_text": F.xxhash64(text), "_row": F.xxhash64(*names.values())})
+    narrow = marked.groupBy("_text", "_row").agg(F.min(key).alias("_id"), F.count("*").alias("_n"))
+    narrow = workspace.store(narrow, "rows")
+    # A text of its own takes part as it is; of others one copy does.
+    often = narrow.groupBy("_text").agg(F.sum("_n").alias("n")).where("n > 1").select("_text")
+    texts = marked.select("_text", F.col(text).alias("text"))
+    once = texts.join(often, "_text", "left_anti").unionByName(
+        texts.join(often, "_text", "left_semi").groupBy("_text").agg(F.first("text").alias("text"))
+    )
+    groups = near_duplicates(once, width, "_text", "text").where("n_shingles > 0")
+    groups = workspace.store(groups.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_group")), "groups")
+    first = narrow.join(groups, "_text").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "_row")).alias("f"))
+    kept = workspace.store(first.select("f._text", "f._row").join(narrow.select("_text", "_row", "_n"), ["_text", "_row"]), "kept")
+    single = marked.join(kept.where("_n = 1"), ["_text", "_row"], "left_semi")
+    copied = marked.join(kept.where("_n > 1"), ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"])
+    blank = marked.join(groups.select("_text"), "_text", "left_anti")
+    return opened(single.unionByName(copied).unionByName(blank), names)

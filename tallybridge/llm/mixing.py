@@ -217,8 +217,12 @@ def mix(docs: DataFrame, domain: str = DOMAIN) -> DataFrame:
     leaves = workspace.store(plan(rows, workspace), "plan").select(
         *[F.col(c).alias(f"_mix_{c}") for c in ("domain", "lang", "source", "budget", "epochs", "cut")]
     )
-    here = docs.withColumns(
-        {"_at_domain": F.expr(_named(domain)), "_at_lang": F.expr(_named("lang")), "_at_source": F.expr(_named("source"))}
+    # Columns under names of their own, so that none of the input's can clash.
+    read = ["doc_id", "lang", "source"]
+    inner = {c: c if c in read else f"_in{i}" for i, c in enumerate(docs.columns)}
+    here = docs.select(
+        *[F.col("`" + c.replace("`", "``") + "`").alias(name) for c, name in inner.items()],
+        *[F.expr(_named(e)).alias(f"_at_{n}") for n, e in (("domain", domain), ("lang", "lang"), ("source", "source"))],
     )
     joined = here.join(leaves, F.expr("_at_domain = _mix_domain AND _at_lang = _mix_lang AND _at_source = _mix_source"))
     often = f"CASE WHEN _mix_budget = 0 THEN 0 ELSE _mix_epochs + CASE WHEN {place('_mix_epochs + 1')} <= _mix_cut THEN 1 ELSE 0 END END"
@@ -226,7 +230,7 @@ def mix(docs: DataFrame, domain: str = DOMAIN) -> DataFrame:
         joined.withColumn("_often", F.expr(f"CAST({often} AS INT)"))
         .where("_often > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_often"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*inner.values()).toDF(*inner)
     )
 
 
