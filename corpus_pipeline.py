@@ -8,7 +8,7 @@ reads them back for the next.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallybridge.llm import bpe, compression, langid, minhash, mixing
 from tallybridge.workspace import Workspace
@@ -17,55 +17,48 @@ SHINGLE_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known."""
+    """Documents whose language is known.
+
+    NULL and empty texts are rejected; rows that repeat an id are judged one by one; an
+    empty table stays empty; columns of any other name pass through.
+    """
     return langid.accepted_documents(docs, langid.train(docs))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own text is not predicted toxic, whatever their id."""
+    """Rows whose own text is not predicted toxic, whatever their id.
+
+    NULL and empty texts are scored like any other; copies of a text share its fate; an
+    empty table stays empty; columns of any other name pass through.
+    """
     model = compression.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # The prediction depends on the text only, whose hash stands for the id.
-    texts = docs.select(F.xxhash64("text").alias("_text"), "text")
-    toxic = compression.score_documents(texts, model, "_text").where("predicted = 1").select(F.col("doc_id").alias("_text")).distinct()
-    return docs.join(toxic, F.xxhash64("text") == F.col("_text"), "left_anti").select(*docs.columns)
+    return compression.without_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group that shares 0.8 of its five-word shingles: the one of its smallest id.
 
-    Rows are grouped by their texts, with or without an id. Blank texts are in no group.
+    Rows are grouped by their texts, with or without an id; NULL ids come last. Blank and
+    NULL texts are in no group and all stay; of equal rows one stays; an empty table stays
+    empty; columns of any other name pass through.
     """
-    workspace = Workspace(spark)
-    names = docs.columns
-    narrow = docs.select(
-        F.xxhash64("text").alias("_text"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").alias("_id")
-    )
-    narrow = workspace.store(narrow.groupBy("_text", "_row").agg(F.min("_id").alias("_id"), F.count("*").alias("_n")), "rows")
-    # A text of its own takes part as it is; of others one copy does.
-    often = narrow.groupBy("_text").agg(F.sum("_n").alias("n")).where("n > 1").select("_text")
-    texts = docs.select(F.xxhash64("text").alias("_text"), "text")
-    once = texts.join(often, "_text", "left_anti").unionByName(
-        texts.join(often, "_text", "left_semi").groupBy("_text").agg(F.first("text").alias("text"))
-    )
-    groups = minhash.near_duplicates(once, SHINGLE_WORDS, "_text").where("n_shingles > 0")
-    groups = workspace.store(groups.select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_group")), "groups")
-    # NULL ids come last.
-    first = narrow.join(groups, "_text").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text", "_row")).alias("f"))
-    kept = workspace.store(first.select("f._text", "f._row").join(narrow.select("_text", "_row", "_n"), ["_text", "_row"]), "kept")
-    marked = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.xxhash64(*[F.col(f"`{c}`") for c in names])})
-    single = marked.join(kept.where("_n = 1"), ["_text", "_row"], "left_semi")
-    copied = marked.join(kept.where("_n > 1"), ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"])
-    blank = marked.join(groups.select("_text"), "_text", "left_anti")
-    return single.unionByName(copied).unionByName(blank).select(*names)
+    return minhash.without_near_duplicates(docs, SHINGLE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the target weights ask for it."""
+    """Every document as often as the target weights ask for it.
+
+    NULL and empty texts have no tokens and stay out; rows that repeat an id are documents
+    of their own; an empty table stays empty; columns of any other name pass through.
+    """
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of what they decode to."""
+    """Digests of every document's ids and of what they decode to.
+
+    NULL texts are encoded as empty ones; an empty table gives no rows.
+    """
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
