@@ -394,3 +394,67 @@ def test_pipeline_stages(spark, sf_dir):
             assert out.select("doc_id").subtract(docs.select("doc_id")).isEmpty()
         docs = out
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 0
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use themselves, and names with dots."""
+    extra = {"_text": "t", "_row": "r", "_often": "o", "_copy": "c", "_at_lang": "l", "_mix_budget": "b", "_langid_doc": "d", "a.b": "e", "_id": "i"}
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    prose = "the quick brown fox jumps over the lazy dog and then it runs away from all of the hunters "
+    rows = [(i, f"{prose * 3} number {i} {'x' * (i % 7)} " + " ".join(f"own{i}w{k}" for k in range(40)), "en", f"s{i % 3}", 1) for i in range(30)]
+    ddl = ", ".join([*("doc_id long, text string, lang string, source string, n_chars long".split(", ")), *[f"`{c}` string" for c in extra]])
+    docs = spark.createDataFrame([(*r, *extra.values()) for r in rows], ddl)
+    spark.createDataFrame([(i, 0, int(i % 2)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == [*columns, *extra], name
+        found = out.collect()
+        assert found or name == "toxicity"
+        for row in found:
+            assert tuple(row)[5:] == tuple(extra.values()), name
+            assert tuple(row)[:5] == rows[row.doc_id], name
+
+
+def test_many_languages_are_planned_fast(spark):
+    import time
+
+    rng = np.random.RandomState(8)
+    letters = [chr(0x100 + k) for k in range(400)]
+    rows = []
+    for lang in range(120):
+        own = rng.choice(letters, 6, replace=False)
+        rows += [(lang * 4 + i, " ".join("".join(rng.choice(own, 5)) for _ in range(60)), f"l{lang:03}", f"s{lang % 9}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.train(docs)
+    assert len(model.langs) == 120
+    begin = time.time()
+    out = langid.identify_documents(docs, model)
+    out._jdf.queryExecution().executedPlan()
+    assert time.time() - begin < 60
+    found = {r.doc_id: r.lang_id for r in out.collect()}
+    assert np.mean([found[key] == lang for key, _, lang, _ in rows]) > 0.95
+
+
+def test_posteriors_are_bayes_rule():
+    """Against the rule spelled out for one row."""
+    rng = np.random.RandomState(9)
+    k, n = 3, 6
+    logs, prior = rng.standard_normal((n, k)), np.array([0.5, 0.3, 0.2])
+    soft = np.exp(logs) / np.exp(logs).sum(1, keepdims=True)
+    voted = np.array([True, True, True, False, True, True])
+    found = {key: (rng.rand(n, k) * 5 + soft, np.array([True, True, False, True, True, False])) for key in ("_declared", "_host", "_domain")}
+    for counts, filled in found.values():
+        counts[~filled] = 0
+    out = langid._fuse(logs, soft, voted, prior, found)
+    for r in range(n):
+        less = {key: counts[r] - (soft[r] if voted[r] and filled[r] else 0) for key, (counts, filled) in found.items()}
+        domain = [(max(c, 0) + langid.DOMAIN_TRUST * p) / (sum(max(v, 0) for v in less["_domain"]) + langid.DOMAIN_TRUST) for c, p in zip(less["_domain"], prior)]
+        host = [(max(c, 0) + langid.HOST_TRUST * d) / (sum(max(v, 0) for v in less["_host"]) + langid.HOST_TRUST) for c, d in zip(less["_host"], domain)]
+        weight = []
+        for i in range(k):
+            w = math.exp(logs[r, i]) * host[i]
+            if found["_declared"][1][r]:
+                total = sum(max(v, 0) for v in less["_declared"])
+                w *= (max(less["_declared"][i], 0) + langid.VALUE_TRUST * prior[i]) / (total + langid.VALUE_TRUST) / prior[i]
+            weight.append(w)
+        assert np.allclose(out[r], np.array(weight) / sum(weight))
