@@ -2,7 +2,7 @@
 
 Documents are put in ascending id order by a range sort, encoded, and cut into shards.
 Each shard is compressed by Re-Pair: the most frequent pairs of neighbouring symbols are
-replaced by new symbols (nonterminals), again and again, on what the last round left.
+replaced by new symbols (nonterminals), again and again, until no pair repays its rule.
 
 File format: a Parquet dataset with a row per shard.
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,8 @@ from tallybridge.workspace import Workspace
 
 END_ID = 0
 SHARD_TOKENS = 2_000_000
-# A round replaces all pairs that are seen this often, most frequent first.
-ROUNDS = 4
-LEAST_COUNT = 64
-RULES_PER_ROUND = 4096
+# A rule takes three numbers; from here on its pair's places save more.
+LEAST_COUNT = 4
 
 SHARDS = (
     "part long, shard long, docs binary, nulls binary, lengths binary, rules binary, "
@@ -67,19 +66,18 @@ class Grammar:
         return np.where(rule < 0, 1, self.spans[np.maximum(rule, 0)].astype(np.int64))
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that the symbols stand for; expansion lengths say where each one goes."""
         symbols = symbols.astype(np.int64)
+        sizes = self.sizes(symbols)
+        at = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint32)
         while len(symbols):
-            inner = symbols >= self.vocabulary
-            if not inner.any():
-                break
-            width = 1 + inner.astype(np.int64)
-            at = np.cumsum(width) - width
-            out = np.empty(int(width.sum()), np.int64)
-            out[at[~inner]] = symbols[~inner]
-            pairs = self.rules[symbols[inner] - self.vocabulary]
-            out[at[inner]], out[at[inner] + 1] = pairs[:, 0], pairs[:, 1]
-            symbols = out
-        return symbols.astype(np.uint32)
+            plain = symbols < self.vocabulary
+            out[at[plain]] = symbols[plain]
+            symbols, at = symbols[~plain], at[~plain]
+            pairs = self.rules[symbols - self.vocabulary].astype(np.int64)
+            symbols, at = pairs.T.ravel(), np.concatenate([at, at + self.sizes(pairs[:, 0])])
+        return out
 
     def ids_between(self, begin: int, end: int) -> np.ndarray:
         """Ids ``begin`` to ``end`` of the shard, expanding only the symbols that hold them."""
@@ -91,64 +89,85 @@ class Grammar:
 
 
 def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
-    """Re-Pair in rounds; a pair that overlaps a more frequent one waits for the next."""
+    """Re-Pair: in every round all pairs that repay a rule, the more frequent before those they overlap.
+
+    A pair that loses its places to more frequent ones is counted again in the next round,
+    until no pair occurs ``LEAST_COUNT`` times. Only places whose pair can still be frequent
+    are looked at again: the count of a pair can't grow, and new pairs hold a new symbol.
+    """
     symbols = ids.astype(np.int64)
+    live = np.ones(len(symbols), bool)
+    live[-1:] = False
     rules: list[np.ndarray] = []
-    spans = np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
+    known = np.ones(vocabulary, np.int64)
+    while True:
+        at = np.flatnonzero(live)
+        if len(at) < LEAST_COUNT:
             break
-        codes = symbols[:-1] << 32 | symbols[1:]
+        codes = symbols[at] << 32 | symbols[at + 1]
+        # In a run of one symbol every other pair overlaps the one before it.
+        follows = np.zeros(len(at), bool)
+        follows[1:] = (codes[1:] == codes[:-1]) & (at[1:] == at[:-1] + 1)
+        if follows.any():
+            place = np.arange(len(at))
+            alone = (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
+            at, codes = at[alone], codes[alone]
         number, distinct = pd.factorize(codes)
         counts = np.bincount(number)
-        frequent = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(frequent):
+        frequent = counts >= LEAST_COUNT
+        stays = frequent[number]
+        live[at[~stays]] = False
+        at, number = at[stays], number[stays]
+        if not len(at):
             break
-        chosen = frequent[np.lexsort((distinct[frequent], -counts[frequent]))][:RULES_PER_ROUND]
-        priority = np.full(len(distinct), len(chosen), np.int64)
-        priority[chosen] = np.arange(len(chosen))
-        here = priority[number]
-        # A place is taken if it beats its neighbours; a run of one symbol alternates.
-        beats = here < len(chosen)
-        same = np.zeros(len(here), bool)
-        same[1:] = codes[1:] == codes[:-1]
-        run = np.arange(len(here)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(here))))
-        odd = run % 2 == 1
-        beats &= ~odd
-        rank = np.where(odd, len(chosen) + 1, here)
-        beats[1:] &= rank[1:] <= rank[:-1]
-        beats[:-1] &= rank[:-1] < rank[1:]
-        at = np.flatnonzero(beats)
-        if len(at) > 1:  # equal neighbours that are not one run
-            clash = np.flatnonzero(np.diff(at) == 1)
-            if len(clash):
-                at = np.delete(at, clash + 1)
-        used, new = np.unique(here[at], return_inverse=True)
-        base = vocabulary + sum(map(len, rules))
+        chosen = np.flatnonzero(frequent)
+        chosen = chosen[np.lexsort((distinct[chosen], -counts[chosen]))]
+        rank = np.empty(len(distinct), np.int64)
+        rank[chosen] = np.arange(len(chosen))
+        rank = rank[number]
+        # A place is taken if its pair is more frequent than those that overlap it.
+        wins = np.ones(len(at), bool)
+        near = at[1:] == at[:-1] + 1
+        wins[1:] &= ~near | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~near | (rank[:-1] < rank[1:])
+        taken = np.bincount(rank[wins], minlength=len(chosen))
+        wins &= taken[rank] >= LEAST_COUNT  # the most frequent pair takes all its places
+        at, rank = at[wins], rank[wins]
+        used, new = np.unique(rank, return_inverse=True)
         pairs = distinct[chosen[used]]
         pairs = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)
-        known = np.concatenate([np.ones(vocabulary, np.int64), spans])
-        spans = np.concatenate([spans, known[pairs[:, 0]] + known[pairs[:, 1]]])
+        symbols[at] = len(known) + new
+        known = np.concatenate([known, known[pairs[:, 0]] + known[pairs[:, 1]]])
         rules.append(pairs)
-        symbols[at] = base + new
-        symbols = np.delete(symbols, at + 1)
+        live[at] = True
+        live[at[at > 0] - 1] = True
+        kept = np.ones(len(symbols), bool)
+        kept[at + 1] = False
+        symbols, live = symbols[kept], live[kept]
+        live[-1:] = False
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return Grammar(symbols.astype(np.uint32), table.astype(np.uint32), spans.astype(np.uint32), vocabulary)
+    return Grammar(symbols.astype(np.uint32), table.astype(np.uint32), known[vocabulary:].astype(np.uint32), vocabulary)
+
+
+def read_tokenizer(path: str) -> bytes:
+    """The tokenizer's file, as workers get it: they need not see the driver's folders."""
+    with open(path, "rb") as handle:
+        return handle.read()
 
 
 @lru_cache(2)
-def _tokenizer(path: str):
+def _tokenizer(file: bytes):
     import os
 
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_buffer(file)
 
 
 @lru_cache(2)
-def _special(path: str) -> tuple[bytes, ...]:
-    added = _tokenizer(path).get_added_tokens_decoder().values()
+def _special(file: bytes) -> tuple[bytes, ...]:
+    added = _tokenizer(file).get_added_tokens_decoder().values()
     return tuple(token.content.encode() for token in added)
 
 
@@ -157,13 +176,13 @@ _memo: dict[bytes, np.ndarray] = {}
 MEMO_ENTRIES = 300_000
 
 
-def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encode(file: bytes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, an end id after each, and how many each text has.
 
     The library encodes every distinct pre-token of the batch once: its model never
     merges across pre-tokens. Texts that spell a special token go to it whole.
     """
-    tokenizer = _tokenizer(path)
+    tokenizer = _tokenizer(file)
     blob = data.tobytes()
     n = len(offsets) - 1
     hashes, places, sizes, counts = [], [], [], np.zeros(n, np.int64)
@@ -188,10 +207,10 @@ def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
             some = unknown[begin : begin + 20_000]
             for k, e in zip(some, tokenizer.encode_batch_fast([pieces[k].decode() for k in some], add_special_tokens=False)):
                 ids[k] = own = e.ids
-                if len(_memo) < MEMO_ENTRIES and len(pieces[k]) <= 12:
+                if len(_memo) < MEMO_ENTRIES and len(pieces[k]) <= 24:
                     _memo[pieces[k]] = own
         width = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((v for own in ids for v in own), np.uint32, int(width.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(width.sum()))
         begins = np.cumsum(width) - width
     else:
         codes, width, flat, begins = (np.zeros(0, np.int64),) * 4
@@ -206,7 +225,7 @@ def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     flat = np.append(flat, END_ID).astype(np.uint32)
     out = flat[np.repeat(source - at, long) + np.arange(int(long.sum()))]
     lengths = np.diff(np.append(0, at[ends] + 1)) if n else np.zeros(0, np.int64)
-    whole = [k for k in range(n) if any(s in blob[offsets[k] : offsets[k + 1]] for s in _special(path))] if any(s in blob for s in _special(path)) else []
+    whole = [k for k in range(n) if any(s in blob[offsets[k] : offsets[k + 1]] for s in _special(file))] if any(s in blob for s in _special(file)) else []
     if whole:
         texts = np.split(out, np.cumsum(lengths)[:-1])
         for k in whole:
@@ -216,10 +235,10 @@ def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return out, lengths
 
 
-def _shards(path: str, vocabulary: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(file: bytes, vocabulary: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, shard = TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids, lengths = _encode(path, *arrays.utf8(batch.column(1)))
+        ids, lengths = _encode(file, *arrays.utf8(batch.column(1)))
         column = batch.column(0).cast(pa.int64())
         nulls = np.asarray(column.is_null()).astype(np.uint8)
         docs = column.fill_null(0).to_numpy()
@@ -247,10 +266,12 @@ def _shards(path: str, vocabulary: int, batches: Iterator[pa.RecordBatch]) -> It
 def write_shards(docs: DataFrame, path: str, folder: str, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encode with the library's tokenizer at ``path`` and write the shards to ``folder``."""
     arrays.ship(docs.sparkSession)
-    vocabulary = _tokenizer(path).get_vocab_size()
+    file = read_tokenizer(path)
+    vocabulary = _tokenizer(file).get_vocab_size()
+    shared = docs.sparkSession.sparkContext.broadcast(file)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     ordered = rows.repartitionByRange(arrays.spread(rows), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda batches: _shards(path, vocabulary, batches), SHARDS).write.option(
+    ordered.mapInArrow(lambda batches: _shards(shared.value, vocabulary, batches), SHARDS).write.option(
         "compression", "zstd"
     ).parquet(folder)
 
@@ -288,7 +309,7 @@ def read_documents(shards: DataFrame, path: str) -> DataFrame:
     sees more than a partition's shards or one number per partition.
     """
     arrays.ship(shards.sparkSession)
-    vocabulary = _tokenizer(path).get_vocab_size()
+    vocabulary = _tokenizer(read_tokenizer(path)).get_vocab_size()
     sizes = shards.select("part", "shard", "n_tokens")
     totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     starts = sizes.join(
