@@ -94,6 +94,19 @@ def test_grammar_round_trip_and_random_access():
 
 
 def test_repeats_are_replaced():
+    rng = np.random.RandomState(1)
+    # A few copies of a passage become rules down to a single symbol each.
+    passage = rng.randint(0, 50_000, 400)
+    for copies in (4, 40):
+        ids = np.concatenate([np.append(passage, rng.randint(0, 50_000, 50)) for _ in range(copies)])
+        grammar = repair.compress(ids, 50_000)
+        assert len(grammar.symbols) == copies * 51 and grammar.spans.max() == 400
+        assert (grammar.expand(grammar.symbols) == ids).all()
+    # No pair that occurs four times is left.
+    ids = rng.randint(0, 40, 5000)
+    grammar = repair.compress(ids, 40)
+    left = list(zip(grammar.symbols[:-1].tolist(), grammar.symbols[1:].tolist()))
+    assert max(left.count(pair) for pair in set(left) if pair[0] != pair[1]) < repair.LEAST_COUNT
     grammar = repair.compress(np.tile([1, 2, 3, 4], 500).astype(np.uint32), 10)
     assert len(grammar.rules) and len(grammar.symbols) < 600
 
@@ -102,7 +115,7 @@ def test_library_ids_piece_by_piece():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
     values = [*texts(3, 300, 100), "a<|endoftext|>b", "<|endoftext|>"]
-    ids, lengths = repair._encode(path, *arrays.utf8(pa.array(values, pa.string())))
+    ids, lengths = repair._encode(repair.read_tokenizer(path), *arrays.utf8(pa.array(values, pa.string())))
     expected = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in values]
     assert lengths.tolist() == [len(e) for e in expected]
     assert ids.tolist() == [i for e in expected for i in e]
