@@ -61,6 +61,10 @@ class SourceSpec:
     delimiter: str = ","
     header: bool = True
     text_schema: str = ""
+    quote: str = '"'
+    escape: str = '"'
+    # Without line breaks in fields Spark can split one large file among tasks.
+    multi_line: bool = True
     partitions: PartitionPlan | None = None
 
     def __post_init__(self) -> None:
@@ -149,7 +153,8 @@ def read_spec(
     """
     if spec.kind == TEXT:
         relation = read_text(
-            spark, spec.location, spec.delimiter, spec.header, spec.text_schema or None
+            spark, spec.location, spec.delimiter, spec.header, spec.text_schema or None,
+            spec.quote, spec.escape, spec.multi_line,
         )
         # A list of aliases that doesn't fit the columns leaves a text file's own names.
         if spec.columns and len(spec.alias) in (0, len(spec.columns)):

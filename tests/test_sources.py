@@ -175,3 +175,22 @@ def test_inventory(spark, tmp_path, plan):
     assert {r["name"]: r["bytes"] for r in listing.collect()} == {"one.bin": 5, "two.bin": 1}
     assert "content" not in plan(listing)
     assert os.path.basename(listing.where("bytes = 5").first()["path"]) == "one.bin"
+
+
+def test_text_specs_choose_quotes_and_splitting(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("id,v\n" + "".join(f"{i},'it\\'s {i}, here'\n" for i in range(20_000)))
+    given = {"type": "TXT", "input_path": str(path)}
+    options = {"quote": "'", "escape": "\\", "text_schema": "id long, v string"}
+    split = read_spec(spark, SourceSpec.from_dict(given, multi_line=False, **options))
+    whole = read_spec(spark, SourceSpec.from_dict(given, **options))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert split.rdd.getNumPartitions() > 2 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 20_000
+        assert split.where("v = concat('it', chr(39), 's ', id, ', here')").count() == 20_000
+        assert split.exceptAll(whole).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
