@@ -9,15 +9,20 @@ A quoted passage points at the earliest message that wrote it itself: one of its
 conversation before it, or else the earliest of all other conversations if it has
 ``LEAST_CHARS`` characters. The largest unit that finds an
 original counts. A message answers the latest message of its conversation that it quotes
-at the lowest level; without such a quote it answers the turn before it. Depths come
-from pointer doubling, so long threads take few rounds, and ``(conv_id, depth, turn)`` is
-an order in which every message stands after the one it answers.
+at the lowest level; without such a quote it answers the latest turn before it, however
+many turns are missing between them. So the first turn is the one root of a conversation.
+
+A message's position is its place in the walk from the root that goes through every answer
+with all below it, answers to one message by turn. The walk enters and leaves every
+message; positions and depths are running sums along it, found by pointer doubling, so a
+thread of n messages takes about log2(2n) rounds and no task holds a conversation.
+``assembled`` puts the messages' own texts together in that order.
 
 Cases: NULL and empty texts have no passages and empty bodies; messages with a NULL
-conversation or turn are kept, linked with nothing, at depth 0; rows that repeat
-``(conv_id, turn)`` are one node, and each row resolves its own quotes; an attribution line
-(it ends in a colon and stands right before a quote) goes with the quote; an empty table
-gives no rows; only the named columns are read.
+conversation or turn are kept, linked with nothing, at depth and position 0; rows that
+repeat ``(conv_id, turn)`` are one node, and each row resolves its own quotes; an
+attribution line (it ends in a colon and stands right before a quote) goes with the quote;
+an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallybridge.llm import arrays
 from tallybridge.workspace import Workspace
 
 # Shortest text, normalised, that another conversation's message is the original of.
 LEAST_CHARS = 12
+# Positions of a conversation that an assembled row holds.
+PART = 1000
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]*)+)")
 _FOLD = re.compile(r"[\W_]+")
@@ -122,21 +129,62 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _depths(nodes: DataFrame, workspace: Workspace) -> DataFrame:
-    """``conv_id, turn, depth`` from every node's parent turn, by pointer doubling."""
-    state = workspace.store(
-        nodes.select("conv_id", "turn", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")),
-        "depths",
+def _preceding(nodes: DataFrame, group: list[str], name: str, workspace: Workspace) -> DataFrame:
+    """``nodes`` with the latest earlier turn of their group as ``name``.
+
+    Groups are cut where ranges of rows end, so that one of any size is shared by many tasks.
+    """
+    ranges = nodes.repartitionByRange(*group, "turn").withColumn("range", F.spark_partition_id())
+    ranges = workspace.store(ranges, "ranges")
+    inside = Window.partitionBy(*group, "range").orderBy("turn")
+    # A row per group and range it reaches into.
+    ends = ranges.groupBy(*group, "range").agg(F.max("turn").alias("end"))
+    carried = ends.withColumn("carried", F.lag("end").over(Window.partitionBy(*group).orderBy("range"))).drop("end")
+    return (
+        ranges.withColumn(name, F.lag("turn").over(inside))
+        .join(carried, [*group, "range"], "left")
+        .withColumn(name, F.coalesce(name, "carried"))
+        .drop("range", "carried")
+    )
+
+
+def _places(nodes: DataFrame, workspace: Workspace) -> DataFrame:
+    """``conv_id, turn, depth, position`` from every node's parent turn.
+
+    The walk has two stops a node, entering (``leaves`` false) and leaving it. Each stop
+    points at the one before it; a round doubles how far back it points, adding up the
+    entries (+1) and the levels (+1 entering, -1 leaving) on the way.
+    """
+    answers = nodes.where("parent IS NOT NULL")
+    elder = _preceding(answers, ["conv_id", "parent"], "elder", workspace).unionByName(
+        nodes.where("parent IS NULL").withColumn("elder", F.lit(None).cast("long"))
+    )
+    youngest = answers.groupBy("conv_id", F.col("parent").alias("turn")).agg(F.max("turn").alias("youngest"))
+    walk = elder.join(youngest, ["conv_id", "turn"], "left")
+    entering = walk.select(
+        "conv_id", "turn", F.lit(False).alias("leaves"),
+        F.coalesce("elder", "parent").alias("back"), F.col("elder").isNotNull().alias("back_leaves"),
+        F.lit(1).cast("long").alias("entries"), F.lit(1).cast("long").alias("level"),
+    )
+    leaving = walk.select(
+        "conv_id", "turn", F.lit(True).alias("leaves"),
+        F.coalesce("youngest", "turn").alias("back"), F.col("youngest").isNotNull().alias("back_leaves"),
+        F.lit(0).cast("long").alias("entries"), F.lit(-1).cast("long").alias("level"),
     )
-    while not state.where("up IS NOT NULL").isEmpty():
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = state.where("up IS NOT NULL").join(above, ["conv_id", "up"], "left")
-        state = workspace.store(
-            moved.select("conv_id", "turn", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-            .unionByName(state.where("up IS NULL")),
-            "depths",
+    state = workspace.store(entering.unionByName(leaving), "walk")
+    while not state.where("back IS NOT NULL").isEmpty():
+        before = state.select(
+            "conv_id", F.col("turn").alias("back"), F.col("leaves").alias("back_leaves"), F.col("back").alias("next"),
+            F.col("back_leaves").alias("next_leaves"), F.col("entries").alias("more"), F.col("level").alias("higher"),
         )
-    return state.select("conv_id", "turn", "depth")
+        moved = state.where("back IS NOT NULL").join(before, ["conv_id", "back", "back_leaves"]).select(
+            "conv_id", "turn", "leaves", F.col("next").alias("back"), F.col("next_leaves").alias("back_leaves"),
+            (F.col("entries") + F.col("more")).alias("entries"), (F.col("level") + F.col("higher")).alias("level"),
+        )
+        state = workspace.store(moved.unionByName(state.where("back IS NULL")), "walk")
+    return state.where("NOT leaves").select(
+        "conv_id", "turn", (F.col("level") - 1).alias("depth"), (F.col("entries") - 1).alias("position")
+    )
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
@@ -179,22 +227,41 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.min(F.when(F.col("n").isNull() & F.col("f").isNotNull(), F.col("f.first"))).alias("outside"),
     )
     known = placed.select("conv_id", "turn").distinct()
-    previous = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
-    resolved = (
-        parsed.join(quotes, "row", "left").join(previous, ["conv_id", "turn"], "left")
-        .select(
-            "row", "conv_id", "turn", "role", "body",
-            F.coalesce(-F.col("reply.back"), F.col("before")).alias("parent"),
-            F.col("reply").isNotNull().alias("by_quote"),
-            "n_quotes",
-            F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-            F.col("outside.conv_id").alias("outside_conv"), F.col("outside.turn").alias("outside_turn"),
-        )
+    previous = _preceding(known, ["conv_id"], "before", workspace)
+    found = parsed.join(quotes, "row", "left").select(
+        "row", "conv_id", "turn", "role", "body", (-F.col("reply.back")).alias("quoted"), F.col("reply").isNotNull().alias("by_quote"),
+        "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        F.col("outside.conv_id").alias("outside_conv"), F.col("outside.turn").alias("outside_turn"),
     )
-    resolved = workspace.store(resolved, "resolved")
-    nodes = resolved.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("parent").alias("parent"))
-    depths = _depths(nodes, workspace)
-    return resolved.join(depths, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", F.col("parent").alias("answers"), "by_quote", "n_quotes", "n_linked",
-        "outside_conv", "outside_turn", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "body",
+    found = workspace.store(found, "found")
+    in_place = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    resolved = found.where(in_place).join(previous, ["conv_id", "turn"]).withColumn("answers", F.coalesce("quoted", "before"))
+    resolved = workspace.store(resolved.drop("quoted", "before"), "resolved")
+    nodes = resolved.groupBy("conv_id", "turn").agg(F.min("answers").alias("parent"))
+    places = _places(workspace.store(nodes, "nodes"), workspace)
+    names = [
+        "conv_id", "turn", "role", "answers", "by_quote", "n_quotes", "n_linked",
+        "outside_conv", "outside_turn", "depth", "position", "body",
+    ]
+    # Rows without a place stay out of the joins by it.
+    placeless = found.where(~in_place).withColumns(
+        {"answers": F.lit(None).cast("long"), "depth": F.lit(0).cast("long"), "position": F.lit(0).cast("long")}
+    )
+    return resolved.join(places, ["conv_id", "turn"]).select(*names).unionByName(placeless.select(*names))
+
+
+def assembled(linked: DataFrame, size: int = PART) -> DataFrame:
+    """``conv_id, part, messages``: conversations in reply order, in the messages' own words.
+
+    ``linked`` is what ``link_quotes`` returns. Part k holds positions from ``k * size`` on,
+    so that parts of a conversation, by number, are the whole of it and none grows with it.
+    Equal rows of a node are one message with their number as ``copies``; others of a node
+    follow each other by role and body. Messages without a place are left out.
+    """
+    part = F.floor(F.col("position") / size)
+    placed = linked.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    messages = placed.groupBy("conv_id", "position", "turn", "depth", "role", "body").agg(F.count("*").alias("copies"))
+    return (
+        messages.groupBy("conv_id", part.alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", "role", "body", "turn", "depth", "copies"))).alias("messages"))
     )

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import differences
@@ -362,6 +363,60 @@ def test_quotes_link_to_originals(spark):
     assert quotes.link_quotes(df.where("false")).count() == 0
 
 
+def _reply_order(rows):
+    """Parents, depths and positions of messages without quotes inside, by recursion."""
+    walk = {}
+    for conv in {r[0] for r in rows}:
+        parent = {t: p for c, t, p in rows if c == conv}
+        below = {t: sorted(x for x in parent if parent[x] == t) for t in parent}
+        stack = [(min(parent), 0)]
+        place = 0
+        while stack:
+            turn, depth = stack.pop()
+            walk[conv, turn] = (parent[turn], depth, place)
+            place += 1
+            stack += [(x, depth + 1) for x in reversed(below[turn])]
+    return walk
+
+
+def test_conversations_stand_in_reply_order(spark):
+    rng = np.random.RandomState(12)
+    messages, expected = [], []
+    for conv, n in enumerate([1, 2, 40, 40, 300]):
+        turns = np.sort(rng.choice(10 * n, n, replace=False)).tolist()
+        for k, turn in enumerate(turns):
+            answers = turns[k - 1] if k else None
+            text = f"message number {conv} {turn}"
+            if k and rng.rand() < 0.6:
+                # The last conversation has one message that most others answer.
+                answers = turns[0] if conv == 4 and rng.rand() < 0.8 else turns[rng.randint(k)]
+                text = f"> message number {conv} {answers}\n{text}"
+            messages.append((conv, turn, "u", text))
+            expected.append((conv, turn, answers))
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    linked = quotes.link_quotes(df.withColumns({"range": F.lit("x"), "parent": F.lit(1)}))
+    found = {(r.conv_id, r.turn): (r.answers, r.depth, r.position) for r in linked.collect()}
+    walk = _reply_order(expected)
+    assert found == walk
+    parts = quotes.assembled(linked, 7).orderBy("conv_id", "part").collect()
+    order = [(r.conv_id, m.turn) for r in parts for m in r.messages]
+    assert order == sorted(walk, key=lambda node: (node[0], walk[node][2]))
+    assert all(len(r.messages) <= 7 for r in parts)
+    assert not any(m.body.startswith(">") for r in parts for m in r.messages)
+
+
+def test_turns_with_gaps_and_repeated_rows_are_one_thread(spark):
+    rows = [(1, 0, "u", "a"), (1, 2, "u", "b"), (1, 5, "u", "c"), (1, 5, "u", "c"), (1, 5, "u", "d"), (None, 3, "u", "x"), (2, None, "u", None)]
+    linked = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = Counter((r.conv_id, r.turn, r.answers, r.depth, r.position) for r in linked.collect())
+    assert found == Counter({(1, 0, None, 0, 0): 1, (1, 2, 0, 1, 1): 1, (1, 5, 2, 2, 2): 3, (None, 3, None, 0, 0): 1, (2, None, None, 0, 0): 1})
+    whole = quotes.assembled(linked).collect()
+    assert [(r.conv_id, r.part) for r in whole] == [(1, 0)]
+    assert [(m.body, m.copies) for m in whole[0].messages] == [("a", 1), ("b", 1), ("c", 2), ("d", 1)]
+    assert quotes.assembled(linked.where("false")).count() == 0
+
+
+
 def test_near_duplicate_stage_goes_by_rows(spark):
     rng = np.random.RandomState(9)
     a, b, c = (" ".join(rng.choice([f"word{i}" for i in range(300)], 200)) for _ in range(3))
