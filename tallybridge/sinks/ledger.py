@@ -2,7 +2,8 @@
 
 Nothing is updated in place. The state of a job is its latest event, found by
 an aggregate that combines on the map side, so a job with a very long history
-costs no more than any other.
+costs no more than any other. Both tables are bucketed logs (``sinks.log``): a lookup
+opens the one bucket of its job, and small files are folded together as they gather.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallybridge.functions.sqltext import query, text
+from tallybridge.sinks.log import Log
 from tallybridge.sources.files import exists, is_folder
 
 # Record fields and states that readers of the ledger expect.
@@ -137,26 +139,28 @@ def result_kinds(events: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Run and job records in two append-only Parquet tables under ``root``."""
+    """Run and job records in two append-only tables under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self._spark = spark
-        self._runs = f"{root.rstrip('/')}/runs"
-        self._events = f"{root.rstrip('/')}/job_events"
+        base = root.rstrip("/")
+        # Runs are read as a whole.
+        self._runs = Log(spark, f"{base}/runs", RUN_SCHEMA, "run_id", buckets=1)
+        self._events = Log(spark, f"{base}/job_events", EVENT_SCHEMA, "job_id")
 
     def runs(self) -> DataFrame:
-        return self._read(self._runs, RUN_SCHEMA)
+        return self._runs.read()
 
-    def events(self) -> DataFrame:
-        return self._read(self._events, EVENT_SCHEMA)
+    def events(self, job_id: str | None = None) -> DataFrame:
+        """All events, or those of one job."""
+        return self._events.read(job_id)
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        if not exists(self._spark, path):
-            return self._spark.createDataFrame([], schema)
-        return self._spark.read.schema(schema).parquet(path)
+    def compact(self) -> int:
+        """Fold the small files of both tables together; how many buckets had any."""
+        return self._runs.compact() + self._events.compact()
 
     def append_run(self, record: DataFrame) -> None:
-        record.coalesce(1).write.mode("append").parquet(self._runs)
+        self._runs.append(record, "")
 
     def append_error(self, message: str) -> None:
         body = F.to_json(F.struct(F.lit(message).alias("error")))
@@ -184,10 +188,10 @@ class Ledger:
         seq = int(now.timestamp() * 1_000_000)
         row = (job_id, status, progress, result_path, error, now, seq)
         event = self._spark.createDataFrame([row], EVENT_SCHEMA)
-        event.coalesce(1).write.mode("append").parquet(self._events)
+        self._events.append(event, job_id)
 
     def _latest(self, job_id: str) -> Mapping | None:
-        row = latest_state(self.events().where(F.col("job_id") == job_id)).first()
+        row = latest_state(self.events(job_id)).first()
         return row.asDict() if row else None
 
     def status(self, job_id: str) -> dict:

@@ -68,17 +68,30 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file its new place, whose folder is made if need be. Nothing is replaced."""
+    system, target = _file_system(spark, to)
+    _, present = _file_system(spark, path)
+    system.mkdirs(target.getParent())
+    # Local file systems would replace the file.
+    if system.exists(target) or not system.rename(present, target):
+        raise FileExistsError(f"{to} is already there")
+
+
 def write_whole(spark: SparkSession, path: str, body: str) -> None:
     """A small file that is there as a whole or not at all."""
-    system, target = _file_system(spark, path)
-    _, beside = _file_system(spark, f"{path}.{uuid4().hex}.tmp")
-    stream = system.create(beside)
+    beside = f"{path}.{uuid4().hex}.tmp"
+    system, place = _file_system(spark, beside)
+    stream = system.create(place)
     try:
         stream.write(bytearray(body.encode()))
     finally:
         stream.close()
-    if not system.rename(beside, target):
-        raise FileExistsError(f"{path} is already there")
+    try:
+        move(spark, beside, path)
+    except FileExistsError:
+        delete(spark, beside)
+        raise
 
 
 def read_whole(spark: SparkSession, path: str) -> str:

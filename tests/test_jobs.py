@@ -96,10 +96,10 @@ def test_lookups_in_a_broken_ledger_answer_with_a_state(spark, tmp_path):
     (tmp_path / "body.json").write_text("{not json")
     assert ledger.status("j")["status"] == FINISHED
     assert ledger.result("j") == {"job_id": "j", "result": {}}
-    for part in glob.glob(f"{tmp_path}/job_events/part-*"):
+    for part in glob.glob(f"{tmp_path}/job_events/*/part-*"):
         with open(part, "wb") as handle:
             handle.write(b"broken")
-    for crc in glob.glob(f"{tmp_path}/job_events/.*.crc"):
+    for crc in glob.glob(f"{tmp_path}/job_events/*/.*.crc"):
         os.remove(crc)
     assert ledger.status("j") == {"job_id": "j", "status": LOOKUP_FAILED, "progress": 0.0}
     assert ledger.result("j") == {"job_id": "j", "result": {}}
