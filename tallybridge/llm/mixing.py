@@ -8,8 +8,11 @@ Shares are whole tokens by largest remainder, so budgets add up exactly.
 
 A leaf's budget buys whole epochs and then a prefix of one more: its documents in the
 order of ``md5(seed:epoch:id)`` up to the last that fits. The prefix is found from token
-sums of 256 slices of that order, and row by row in the slice where it ends; it comes out
-as one hash per leaf, so that documents are only compared with their leaf's row.
+sums of 256 slices of that order, then of 256 slices of the one where it ends, and so on
+until that holds no more than ``SLICE_PLACES`` places, which are then gone through one by
+one. Documents of one place are added up first, so neither a leaf nor an id of any size
+comes into one task. The prefix comes out as one hash per leaf, so that documents are only
+compared with their leaf's row.
 
 Everything is SQL functions, joins and aggregates.
 
@@ -23,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +37,8 @@ SEED = 17
 MAX_EPOCHS = 3
 # Tokens of the mixture per 100 tokens of the corpus.
 BUDGET_PERCENT = 60
+# Places of a leaf that one task may go through in order.
+SLICE_PLACES = 100_000
 # Weights of production; a domain is a group of sources.
 DOMAINS = 4
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -107,6 +113,64 @@ def place(epoch: str) -> str:
     return f"md5(CAST(concat('{SEED}:', CAST({epoch} AS STRING), ':', coalesce(CAST(doc_id AS STRING), '')) AS BINARY))"
 
 
+def prefixes(placed: DataFrame, workspace: Workspace, most: int = SLICE_PLACES) -> DataFrame:
+    """``domain, lang, source, cut``: the last place up to which a leaf's tokens are within its ``rest``.
+
+    ``placed`` has ``domain, lang, source, rest, place, n_tokens``; leaves whose first place
+    is too much already have no row.
+    """
+    inside = query("SELECT *, CAST(0 AS BIGINT) AS before FROM {placed}", placed=placed)
+    cuts = []
+    for digits in range(2, 33, 2):
+        slices = workspace.store(
+            query(
+                f"""
+                SELECT *, before + sum(n) OVER (PARTITION BY domain, lang, source ORDER BY slice) AS upto
+                FROM (SELECT domain, lang, source, rest, before, substr(place, 1, {digits}) AS slice,
+                             sum(n_tokens) AS n, max(place) AS last
+                      FROM {{inside}} GROUP BY domain, lang, source, rest, before, substr(place, 1, {digits}))
+                """,
+                inside=inside,
+            ),
+            "slices",
+        )
+        cuts.append(query("SELECT domain, lang, source, last AS cut FROM {slices} WHERE upto <= rest", slices=slices))
+        # Every slice from here on is smaller than the one it is part of.
+        ending = query(
+            "SELECT domain, lang, source, slice, upto - n AS start FROM {slices} WHERE upto > rest AND upto - n <= rest",
+            slices=slices,
+        )
+        inside = workspace.store(
+            query(
+                f"""
+                SELECT p.domain, p.lang, p.source, p.rest, place, sum(n_tokens) AS n_tokens, start AS before
+                FROM {{inside}} p JOIN {{ending}} e
+                ON p.domain = e.domain AND p.lang = e.lang AND p.source = e.source AND substr(p.place, 1, {digits}) = e.slice
+                GROUP BY p.domain, p.lang, p.source, p.rest, place, start
+                """,
+                inside=inside,
+                ending=ending,
+            ),
+            "inside",
+        )
+        largest = query(
+            "SELECT max(n) AS n FROM (SELECT count(*) AS n FROM {inside} GROUP BY domain, lang, source)", inside=inside
+        ).head()["n"]
+        if (largest or 0) <= most:
+            break
+    cuts.append(
+        query(
+            """
+            SELECT domain, lang, source, place AS cut
+            FROM (SELECT *, before + sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS upto FROM {inside})
+            WHERE upto <= rest
+            """,
+            inside=inside,
+        )
+    )
+    return reduce(DataFrame.unionAll, cuts).groupBy("domain", "lang", "source").agg(F.max("cut").alias("cut"))
+
+
 def plan(rows: DataFrame, workspace: Workspace) -> DataFrame:
     """A row per leaf: tokens, budget, whole epochs, and the last place of the next epoch's prefix."""
     keys = ["domain", "lang", "source"]
@@ -159,39 +223,7 @@ def plan(rows: DataFrame, workspace: Workspace) -> DataFrame:
         rows=rows,
         bought=bought,
     )
-    slices = query(
-        """
-        SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY slice) AS upto
-        FROM (SELECT domain, lang, source, rest, substr(place, 1, 2) AS slice, sum(n_tokens) AS n, max(place) AS last
-              FROM {placed} GROUP BY domain, lang, source, rest, substr(place, 1, 2))
-        """,
-        placed=placed,
-    )
-    whole = query(
-        "SELECT domain, lang, source, max(last) AS cut FROM {slices} WHERE upto <= rest GROUP BY domain, lang, source",
-        slices=slices,
-    )
-    ending = query(
-        "SELECT domain, lang, source, slice, upto - n AS before FROM {slices} WHERE upto > rest AND upto - n <= rest",
-        slices=slices,
-    )
-    inside = query(
-        """
-        SELECT domain, lang, source, max(place) AS cut
-        FROM (SELECT p.*, e.before + sum(n_tokens) OVER (PARTITION BY p.domain, p.lang, p.source, e.slice ORDER BY place) AS upto
-              FROM {placed} p JOIN {ending} e
-              ON p.domain = e.domain AND p.lang = e.lang AND p.source = e.source AND substr(p.place, 1, 2) = e.slice)
-        WHERE upto <= rest GROUP BY domain, lang, source
-        """,
-        placed=placed,
-        ending=ending,
-    )
-    cuts = query(
-        "SELECT domain, lang, source, max(cut) AS cut FROM (SELECT * FROM {whole} UNION ALL SELECT * FROM {inside}) GROUP BY domain, lang, source",
-        whole=whole,
-        inside=inside,
-    )
-    return bought.join(cuts, keys, "left")
+    return bought.join(prefixes(placed, workspace), keys, "left")
 
 
 def copies(docs: DataFrame, domain: str = DOMAIN) -> DataFrame:

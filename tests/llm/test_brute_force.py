@@ -11,7 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallybridge.llm import divergence, interpolation
+from tallybridge.llm import divergence, interpolation, mixing
+from tallybridge.workspace import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -193,3 +194,32 @@ def test_divergences_and_verdicts(spark, rows):
         assert [r[k] for r in found] == pytest.approx([r[k] for r in expected], abs=1e-7)
     if any(r[2] == "xx" for r in rows):
         assert {r[4] for r in found if not r[3]} == {True, False}
+
+
+# -- hierarchical budgets -------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [1, 20, 100_000])
+def test_prefixes_end_where_the_tokens_do(spark, tmp_path, most):
+    """One leaf holds most rows and one id a third of them; places agree in up to six digits."""
+    rng = np.random.RandomState(6)
+    rows = []
+    for leaf, (n, rest) in {"hot": (900, 2500), "none": (40, 0), "all": (50, 10**6), "edge": (60, 90)}.items():
+        places = [f"{['00', '3f3f3f', '3f3f'][rng.randint(3)]}{rng.randint(1 << 30):08x}".ljust(32, "0") for _ in range(n)]
+        if leaf == "hot":
+            places[:300] = ["3f3f3f".ljust(32, "7")] * 300
+        rows += [("d", "l", leaf, rest, place, int(rng.randint(1, 9))) for place in places]
+    # A first place that is too much, one without tokens, and one that fits to the token.
+    rows += [("d", "l", "much", 5, "a" * 32, 6), ("d", "l", "blank", 0, "b" * 32, 0), ("d", "l", "just", 6, "c" * 32, 6)]
+    expected = {}
+    for leaf, rest in {r[2]: r[3] for r in rows}.items():
+        upto = 0
+        own = [r for r in rows if r[2] == leaf]
+        for place in sorted({r[4] for r in own}):
+            upto += sum(r[5] for r in own if r[4] == place)
+            if upto <= rest:
+                expected[leaf] = place
+    df = spark.createDataFrame(rows, "domain string, lang string, source string, rest long, place string, n_tokens long")
+    found = mixing.prefixes(df, Workspace(spark, str(tmp_path)), most)
+    assert {r.source: r.cut for r in found.collect()} == expected
+    assert mixing.prefixes(df.where("false"), Workspace(spark, str(tmp_path)), most).count() == 0
