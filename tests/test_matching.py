@@ -260,6 +260,35 @@ def test_three_hundred_columns(spark):
     kept.close()
 
 
+def test_samples_are_the_first_mismatches_of_every_column(spark):
+    """More columns than one row of the aggregate keeps, copies of a key and NULL keys."""
+    names = [f"c{i}" for i in range(70)]
+    ddl = "k string, j int, " + ", ".join(f"{n} int" for n in names)
+    pick = random.Random(4)
+    source = [(pick.choice("abc") if k % 9 else None, k % 5, *[k] * 69, 7) for k in range(60)]
+    target = [(*r[:2], *[v + (pick.random() < 0.3) * 1000 for v in r[2:-1]], r[-1]) for r in source]
+    rec = reconcile(spark.createDataFrame(source, ddl), spark.createDataFrame(target, ddl), ["k", "j"])
+    expected = []
+    for name in names:
+        rows = rec.matched_rows().where(f"NOT {name}_match")
+        found = rows.selectExpr("k", "j", f"{name}_original", f"{name}_new").collect()
+        expected.append((name, found))
+    got = rec.mismatch_samples(4).collect()
+    for name, found in expected:
+        keys = sorted(((r[0] is not None, r[0] or "", r[1]) for r in found))[:4]
+        mine = sorted((r for r in got if r["column"] == name), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(keys) + 1))
+        assert [(r["k"] is not None, r["k"] or "", r["j"]) for r in mine] == keys
+        values = {(r[0], r[1], str(r[2]), str(r[3])) for r in found}
+        assert all((r["k"], r["j"], r["value_original"], r["value_new"]) in values for r in mine)
+    assert not [r for r in got if r["column"] == "c69"]
+
+
+def test_samples_without_shared_values(spark):
+    a, b = spark.createDataFrame([(1, 2)], "k int, x int"), spark.createDataFrame([(1, 2)], "k int, y int")
+    assert reconcile(a, b, ["k"]).mismatch_samples().collect() == []
+
+
 def test_long_equal_beginnings_do_not_mispair(spark):
     """Copies whose texts differ only far in, under repeating keys, on both paths."""
     head = "x" * 70
