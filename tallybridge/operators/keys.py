@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Observation, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tallybridge.functions.comparators import is_instant, is_number, is_text, nan_to_null
 from tallybridge.functions.nested import as_text, is_nested
@@ -32,10 +32,12 @@ HOT_KEY_ROWS = 250_000
 BROADCAST_KEYS = 65_536
 # Starting numbers of ranges, by their number and the mean width of the sort keys.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows per range of a hot key. The range sort samples 100 sort keys per range,
-# up to three times over, on the driver: MAX_SAMPLE_BYTES bounds that sample by
-# the measured width of the sort keys. Fewer ranges are larger, never unsorted.
+# Rows per range of a hot key, and bytes of their sort keys by the mean width of those.
 ROWS_PER_RANGE = 1_000_000
+RANGE_BYTES = 1024 * 1024 * 1024
+# The range sort samples 100 sort keys per range, up to three times over, on the driver:
+# MAX_SAMPLE_BYTES bounds the sample of one sort by the measured width of the sort keys.
+# Where it allows fewer ranges than there should be, each of them is split again.
 MAX_SAMPLE_BYTES = 512 * 1024 * 1024
 SAMPLES_PER_RANGE = 300
 
@@ -216,11 +218,54 @@ def number_ordinary(rows: DataFrame, keys: Sequence[str], order: Ordering) -> Da
 
 
 def range_count(rows: int, rows_per_range: int, width: int, fewest: int = 2) -> int:
-    """Ranges for so many rows; at least ``fewest``, unless their sample is too big."""
+    """Ranges of one sort of so many rows; at least ``fewest``, unless their sample is too big."""
     affordable = MAX_SAMPLE_BYTES // (SAMPLES_PER_RANGE * max(width, 1))
     return max(2, min(max(ceil(rows / rows_per_range), fewest), affordable))
 
 
+def sorted_ranges(
+    rows: DataFrame,
+    total: int,
+    columns: Sequence[str],
+    width: int,
+    rows_per_range: int,
+    fewest: int,
+    workspace: Workspace,
+) -> tuple[DataFrame, int]:
+    """``rows`` on disk with ``_range`` and ``_pos``, their place in the order of ``columns``.
+
+    A sort has as many ranges as its sample may have. Ranges that are still too large are
+    written apart and sorted one by one into ranges of their own, and so on, so that none
+    grows with the width of the sort keys. Returns the number of ranges too.
+    """
+    order = [expr(c) for c in columns]
+    rows_per_range = max(1, min(rows_per_range, RANGE_BYTES // max(width, 1)))
+    path, ranges = workspace.place("hot-sorted"), 0
+    # The last entry comes next, so that ranges are numbered in their order.
+    waiting = [(rows, total, fewest)]
+    while waiting:
+        part, held, fewest = waiting.pop()
+        count = range_count(held, rows_per_range, width, fewest)
+        ranged = part.repartitionByRange(count, *order)
+        if count < ceil(held / rows_per_range):
+            parts = workspace.store(
+                query("SELECT *, spark_partition_id() AS _part FROM {rows}", rows=ranged), "hot-parts", "_part"
+            )
+            sizes = parts.groupBy("_part").count().orderBy(F.desc("_part")).collect()
+            waiting += [(parts.where(F.col("_part") == p).drop("_part"), n, 1) for p, n in sizes]
+            continue
+        placed = query(
+            f"""
+            SELECT *, {ranges} + spark_partition_id() AS _range, monotonically_increasing_id() AS _pos
+            FROM (SELECT * FROM {{rows}} SORT BY {listed(columns)})
+            """,
+            rows=ranged,
+        )
+        placed.write.mode("append").parquet(path)
+        ranges += count
+    return workspace.read(path, placed), ranges
+
+
 def text_width(order: Ordering) -> Column:
     """Mean bytes of a sort key's texts."""
     sizes = [f"coalesce(octet_length({t}), 0)" for t in order.texts] or ["0"]
@@ -254,25 +299,15 @@ def number_hot(
     tied = query("SELECT *, monotonically_increasing_id() AS _tie FROM {rows}", rows=rows)
     tied = workspace.store(tied.observe(seen, text_width(full)), "hot")
     width = int(seen.get["width"] or 0) + 16 * len(full.columns)
-    ranges = range_count(profile.hot_rows, rows_per_range, width, tasks)
-    ranged = tied.repartitionByRange(ranges, *[expr(c) for c in full.columns])
-    in_order = query(f"SELECT * FROM {{ranged}} SORT BY {listed(full.columns)}", ranged=ranged)
-    placed = workspace.store(
-        query(
-            """
-            SELECT * EXCEPT (_tie), spark_partition_id() AS _range,
-                   monotonically_increasing_id() AS _pos FROM {rows}
-            """,
-            rows=in_order,
-        ),
-        "hot-sorted",
+    placed, ranges = sorted_ranges(
+        tied, profile.hot_rows, full.columns, width, rows_per_range, tasks, workspace
     )
     group = listed([*keys, "_side"])
     starts = ranges + 2 * len(profile.hot_hashes)
     hint = "/*+ BROADCAST(o) */" if starts * width <= BROADCAST_BYTES else ""
     return query(
         f"""
-        SELECT {hint} p.* EXCEPT (_pos, _range), o._before + p._pos - o._first + 1 AS _ord
+        SELECT {hint} p.* EXCEPT (_tie, _pos, _range), o._before + p._pos - o._first + 1 AS _ord
         FROM {{placed}} AS p
         JOIN (SELECT *, coalesce(sum(_n) OVER (
                          PARTITION BY {group} ORDER BY _range

@@ -39,14 +39,22 @@ class Workspace:
         base = self._folder.rstrip("/") if self._folder else shared_folder(self._spark)
         return f"{base}/tallybridge-{uuid.uuid4().hex}"
 
+    def place(self, name: str) -> str:
+        """A path that nothing has been written to."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+
     def store(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` once and continue from the files."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        path = self.place(name)
         writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
-        schema = df.schema
+        return self.read(path, df)
+
+    def read(self, path: str, like: DataFrame) -> DataFrame:
+        """The files at ``path``, which hold rows with the columns of ``like``."""
+        schema = like.schema
         return self._spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
     def release(self) -> None:

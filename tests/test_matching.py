@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
-from tallybridge.operators import stats as stats_module
+from tallybridge.operators import keys as keys_module, stats as stats_module
 from tallybridge import reconcile
 from tallybridge.operators.keys import (
     HOT_KEY_ROWS,
@@ -15,9 +16,11 @@ from tallybridge.operators.keys import (
     duplicate_keys,
     key_ordinals,
     range_count,
+    sorted_ranges,
 )
 from tallybridge.operators import match
 from tallybridge.operators.schema import describe
+from tallybridge.workspace import Workspace
 from tests.brute import classify, summary
 
 DDL = "k1 string, k2 int, v double, w string"
@@ -233,6 +236,36 @@ def test_range_sample_is_bounded(width):
     assert range_count(HOT_KEY_ROWS, 1_000_000, width) == 2
 
 
+@pytest.mark.parametrize("sample", [2, 3, 5])
+def test_ranges_are_split_until_they_hold_few_rows(spark, tmp_path, monkeypatch, sample):
+    """Sort keys so wide that one sort may have only a few ranges."""
+    width = 1000
+    monkeypatch.setattr(keys_module, "MAX_SAMPLE_BYTES", sample * SAMPLES_PER_RANGE * width)
+    pick = random.Random(sample)
+    values = [pick.randrange(40) for _ in range(400)]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, _tie long").repartition(3)
+    placed, ranges = sorted_ranges(rows, 400, ("v", "_tie"), width, 30, 2, Workspace(spark, str(tmp_path)))
+    found = placed.orderBy("_range", "_pos").collect()
+    assert [(r["v"], r["_tie"]) for r in found] == sorted((v, i) for i, v in enumerate(values))
+    sizes = Counter(r["_range"] for r in found)
+    assert max(sizes.values()) <= 60 and max(sizes) < ranges
+
+
+def test_wide_hot_keys_pair_whatever_the_sample_allows(spark, monkeypatch):
+    monkeypatch.setattr(keys_module, "MAX_SAMPLE_BYTES", 1)
+    source, target = table(3, 300, 6, hot=0.4), table(4, 260, 6, hot=0.5)
+    check(spark, source, target, hot_key_rows=60, rows_per_range=60)
+
+
+@pytest.mark.parametrize("width", [1, 2**20, 2**40])
+def test_ranges_are_bounded_in_bytes(spark, tmp_path, monkeypatch, width):
+    monkeypatch.setattr(keys_module, "MAX_SAMPLE_BYTES", 2**50)
+    monkeypatch.setattr(keys_module, "RANGE_BYTES", 8 * 2**20)
+    rows = spark.range(64).selectExpr("id AS v")
+    _, ranges = sorted_ranges(rows, 64, ("v",), width, 1000, 2, Workspace(spark, str(tmp_path)))
+    assert ranges == {1: 2, 2**20: 8, 2**40: 64}[width]
+
+
 @pytest.mark.parametrize("per_row", [1, 3, 9, 32])
 def test_wide_tables_are_measured_in_groups(spark, monkeypatch, per_row):
     monkeypatch.setattr(stats_module, "COLUMNS_A_ROW", per_row)
