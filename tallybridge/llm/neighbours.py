@@ -7,8 +7,13 @@
    and, in double precision, a spanning forest of all links among its members: nothing that
    the block connects is lost to a list's length. There are as many trees as leave a pair
    at the threshold apart in all of them with a chance of ``MISS``, whatever the data.
-3. Neighbours-of-neighbours joins refine the lists until a round adds less than ``SETTLED``
-   of the links known.
+3. Neighbours-of-neighbours joins refine the lists, of ``LIST`` entries at first, until a
+   round adds less than ``SETTLED`` of the links known. A list is saturated when it is full
+   and its last entry still is a link: such lists double and are joined again, until none
+   is saturated or they hold ``MOST`` entries. Links beyond those are not needed as edges:
+   the forests of 2 hold what they connect, the counts of 4 are taken without lists, and 5
+   tells when anything is missing. ``block_links``, ``joined_links`` and ``widened_links``
+   tell how many links the lists held after 2, after the joins, and after the doubling.
 4. Links give components. Links are counted exactly by comparing a component's nodes in
    blocks, and are never kept as pairs.
 5. A sample that grows with the table (``AUDIT_ROOTS`` times the root of its nodes, ``AUDIT``
@@ -41,7 +46,11 @@ from tallybridge.workspace import Workspace
 THRESHOLD = 0.95
 BLOCK = 1024
 MISS = 1e-5
-LIST, FEW = 8, 4
+LIST, FEW, MOST = 8, 4, 64
+# Nearest others that every member of a local join gets from it, for a list of ``LIST``.
+PARTNERS = 2
+# Rows that are compared with the audited vectors at a time.
+TILE = 512
 SETTLED = 0.001
 AUDIT, AUDIT_ROOTS, FEW_LINKS, TARGET = 256, 4, 4, 0.99
 # Rounding of single-precision candidates.
@@ -160,7 +169,7 @@ def _block(group: pa.Table) -> pa.Table:
     return pa.concat_tables([near, sure])
 
 
-def _local_join(group: pa.Table) -> pa.Table:
+def _local_join(partners: int, group: pa.Table) -> pa.Table:
     """For every centre in the group: compare its neighbours with each other."""
     group = group.sort_by("v")
     v, ids = group["v"].to_numpy(), group["u"].to_numpy()
@@ -172,7 +181,7 @@ def _local_join(group: pa.Table) -> pa.Table:
             x = np.frombuffer(b"".join(units[a:b]), np.float32).reshape(b - a, -1)
             sims = x @ x.T
             np.fill_diagonal(sims, -2)
-            parts.append(_nearest(ids[a:b], sims, 2))
+            parts.append(_nearest(ids[a:b], sims, partners))
     return _pairs(parts)
 
 
@@ -207,15 +216,60 @@ def _count_links(group: pa.Table) -> pa.Table:
     )
 
 
-def _shorten(pairs: DataFrame) -> DataFrame:
-    """The ``LIST`` nearest of every vector."""
+def _shorten(pairs: DataFrame, widen: bool = False) -> DataFrame:
+    """The nearest of every vector, as many as its list has ``room`` for.
+
+    With ``widen``, saturated lists get twice the room for what comes next.
+    """
+    room = F.col("room")
+    if widen:
+        saturated = (F.size("near") >= room) & (F.element_at("near", -1)["sim"] >= THRESHOLD - _MARGIN)
+        room = F.when(saturated & (room < MOST), room * 2).otherwise(room)
     return (
-        pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-        .groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "b")), asc=False), 1, LIST).alias("near"))
-        .select("a", F.explode("near").alias("n")).select("a", "n.b", "n.sim")
+        pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("room").alias("room"))
+        .groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b")), asc=False).alias("near"), F.max("room").alias("room"))
+        .select("a", F.slice("near", F.lit(1), F.col("room")).alias("near"), "room")
+        .select("a", "near", room.alias("room"))
+        .select("a", "room", F.explode("near").alias("n")).select("a", "n.b", "n.sim", "room")
     )
 
 
+def _links(graph: DataFrame) -> DataFrame:
+    """The pairs of the lists that link, each once."""
+    near = graph.where(F.col("sim") >= THRESHOLD - _MARGIN)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _refined(graph: DataFrame, narrow: DataFrame, partners: int, groups: int) -> DataFrame:
+    """The lists after one join of all neighbours of a vector with each other."""
+    back = _shorten(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", F.lit(LIST).alias("room")))
+    lists = graph.select(F.col("a").alias("v"), F.col("b").alias("u")).union(back.select("a", "b")).distinct()
+    joined = (
+        lists.join(narrow, "u").withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)))
+        .groupBy("g").applyInArrow(lambda group: _local_join(partners, group), _CANDIDATES)
+    )
+    return _shorten(graph.unionByName(joined.withColumn("room", F.lit(LIST))))
+
+
+def _settled(graph: DataFrame, narrow: DataFrame, partners: int, groups: int, workspace: Workspace) -> DataFrame:
+    """The lists when a round adds next to no links."""
+    while True:
+        last, graph = graph, workspace.store(_refined(graph, narrow, partners, groups), "graph")
+        linked = [g.where(F.col("sim") >= THRESHOLD - _MARGIN).select("a", "b") for g in (last, graph)]
+        if linked[1].join(linked[0], ["a", "b"], "left_anti").count() <= SETTLED * linked[1].count():
+            return graph
+
+
+def _widened(graph: DataFrame, narrow: DataFrame, groups: int, workspace: Workspace) -> DataFrame:
+    """The lists after the saturated ones were doubled and joined, as often as they may be."""
+    while True:
+        wide = workspace.store(_shorten(graph, widen=True), "graph")
+        (before,), (after, widest) = graph.agg(F.sum("room")).head(), wide.agg(F.sum("room"), F.max("room")).head()
+        if before == after:
+            return graph
+        graph = _settled(wide, narrow, PARTNERS * widest // LIST, groups, workspace)
+
+
 def _collapse(units: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
     """``node, vec_id, dim, unit, weight`` of every distinct vector, and whose it is.
 
@@ -235,9 +289,8 @@ def _collapse(units: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFr
 
 def _components(nodes: DataFrame, members: DataFrame, sure: DataFrame, graph: DataFrame, workspace: Workspace) -> DataFrame:
     """``vec_id, component`` of every linked id."""
-    near = graph.where(F.col("sim") >= THRESHOLD - _MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     exact = (
-        near.join(nodes.select(F.col("node").alias("a"), F.col("unit").alias("ua")), "a")
+        _links(graph).join(nodes.select(F.col("node").alias("a"), F.col("unit").alias("ua")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub")), "b")
         .select("a", "b", "ua", "ub")
         .mapInArrow(_exact, "a long, b long")
@@ -290,13 +343,15 @@ def _recall(nodes: DataFrame, found: DataFrame, n: int) -> float | None:
                 if dim in shared.value:
                     ids, places, x = shared.value[dim]
                     own = batch.filter(pa.array(dims == dim))
-                    hits = x @ _matrix(own.column(3)).T >= THRESHOLD
-                    hits &= ids[:, None] != own.column(0).to_numpy()[None, :]
-                    right = hits & (places[:, None] == own.column(2).to_numpy()[None, :])
-                    at = np.flatnonzero(hits.any(1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[at]), pa.array(hits.sum(1)[at]), pa.array(right.sum(1)[at])], ["node", "n", "hit"]
-                    )
+                    n, hit = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+                    for start in range(0, own.num_rows, TILE):
+                        tile = own.slice(start, TILE)
+                        hits = x @ _matrix(tile.column(3)).T >= THRESHOLD
+                        hits &= ids[:, None] != tile.column(0).to_numpy()[None, :]
+                        n += hits.sum(1)
+                        hit += (hits & (places[:, None] == tile.column(2).to_numpy()[None, :])).sum(1)
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(n[at]), pa.array(hit[at])], ["node", "n", "hit"])
 
     seen = placed.mapInArrow(compare, "node long, n long, hit long").groupBy("node").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
     means = seen.agg(F.avg(F.expr("hit / n")), F.avg(F.expr(f"CASE WHEN n <= {FEW_LINKS} THEN hit / n END"))).head()
@@ -304,7 +359,7 @@ def _recall(nodes: DataFrame, found: DataFrame, n: int) -> float | None:
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """``vec_id, n_links, component_id, kept, audit_recall`` for every row."""
+    """``vec_id, n_links, component_id, kept, audit_recall`` and the lists' links for every row."""
     spark = vectors.sparkSession
     arrays.ship(spark)
     workspace = Workspace(spark)
@@ -337,20 +392,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
         more = found.where("sure").select("a", "b").distinct()
         sure = more if sure is None else sure.unionByName(more)
         pairs = found.where("NOT sure").drop("sure")
+        pairs = pairs.withColumn("room", F.lit(LIST))
         graph = workspace.store(_shorten(pairs if graph is None else graph.unionByName(pairs)), "graph")
         narrow = singles.mapInArrow(_singles, "u long, unit binary")
         groups = arrays.spread(singles, 8 << 20) * 4
-        while True:
-            back = _shorten(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-            lists = graph.select(F.col("a").alias("v"), F.col("b").alias("u")).union(back.select("a", "b")).distinct()
-            joined = (
-                lists.join(narrow, "u").withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)))
-                .groupBy("g").applyInArrow(_local_join, _CANDIDATES)
-            )
-            last, graph = graph, workspace.store(_shorten(graph.unionByName(joined)), "graph")
-            linked = [g.where(F.col("sim") >= THRESHOLD - _MARGIN).select("a", "b") for g in (last, graph)]
-            if linked[1].join(linked[0], ["a", "b"], "left_anti").count() <= SETTLED * linked[1].count():
-                break
+        held = {"block_links": _links(graph).count()}
+        graph = _settled(graph, narrow, PARTNERS, groups, workspace)
+        held["joined_links"] = _links(graph).count()
+        graph = _widened(graph, narrow, groups, workspace)
+        held["widened_links"] = _links(graph).count()
         place = _components(nodes, members, sure, graph, workspace)
         recall = _recall(nodes, place, n)
         if recall is None or recall >= TARGET:
@@ -360,4 +410,5 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
         F.lit(recall).cast("double").alias("audit_recall"),
+        *[F.lit(n).cast("long").alias(name) for name, n in held.items()],
     )

@@ -285,6 +285,10 @@ def test_vectors_against_brute_force(spark):
     assert found[130 - 1].component_id == 50 and found[201].component_id == 200
     assert all(found[i].n_links == 0 and found[i].kept for i in range(900, 906))
     assert found[None].component_id is None and found[None].kept
+    # 80 vectors that all link: lists of eight are saturated, lists of 64 hold most links.
+    held = found[0]
+    assert held.block_links <= held.joined_links < 80 * 8
+    assert 3 * held.joined_links < held.widened_links <= near.sum() // 2
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.near_duplicate_vectors(empty).count() == 0
 
