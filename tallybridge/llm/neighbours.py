@@ -9,8 +9,8 @@
    at the threshold apart in all of them with a chance of ``MISS``, whatever the data.
 3. Neighbours-of-neighbours joins refine the lists, of ``LIST`` entries at first, until a
    round adds less than ``SETTLED`` of the links known. A list is saturated when it is full
-   and its last entry still is a link: such lists double and are joined again, until none
-   is saturated or they hold ``MOST`` entries. Links beyond those are not needed as edges:
+   and its last entry still is a link: such lists double and are joined again, they alone,
+   until none is saturated or they hold ``MOST`` entries. Links beyond those are not needed as edges:
    the forests of 2 hold what they connect, the counts of 4 are taken without lists, and 5
    tells when anything is missing. ``block_links``, ``joined_links`` and ``widened_links``
    tell how many links the lists held after 2, after the joins, and after the doubling.
@@ -240,10 +240,15 @@ def _links(graph: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _refined(graph: DataFrame, narrow: DataFrame, partners: int, groups: int) -> DataFrame:
-    """The lists after one join of all neighbours of a vector with each other."""
-    back = _shorten(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", F.lit(LIST).alias("room")))
-    lists = graph.select(F.col("a").alias("v"), F.col("b").alias("u")).union(back.select("a", "b")).distinct()
+def _refined(graph: DataFrame, narrow: DataFrame, partners: int, groups: int, wide_only: bool = False) -> DataFrame:
+    """The lists after one join of all neighbours of a vector with each other.
+
+    With ``wide_only``, of the vectors whose lists were doubled.
+    """
+    near = graph.where(F.col("room") > LIST) if wide_only else graph
+    # Those who list a vector, as far as there is room for them.
+    back = near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", F.lit(LIST).alias("room"))
+    lists = near.select(F.col("a").alias("v"), F.col("b").alias("u")).union(_shorten(back).select("a", "b")).distinct()
     joined = (
         lists.join(narrow, "u").withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)))
         .groupBy("g").applyInArrow(lambda group: _local_join(partners, group), _CANDIDATES)
@@ -251,10 +256,10 @@ def _refined(graph: DataFrame, narrow: DataFrame, partners: int, groups: int) ->
     return _shorten(graph.unionByName(joined.withColumn("room", F.lit(LIST))))
 
 
-def _settled(graph: DataFrame, narrow: DataFrame, partners: int, groups: int, workspace: Workspace) -> DataFrame:
+def _settled(graph: DataFrame, narrow: DataFrame, groups: int, workspace: Workspace) -> DataFrame:
     """The lists when a round adds next to no links."""
     while True:
-        last, graph = graph, workspace.store(_refined(graph, narrow, partners, groups), "graph")
+        last, graph = graph, workspace.store(_refined(graph, narrow, PARTNERS, groups), "graph")
         linked = [g.where(F.col("sim") >= THRESHOLD - _MARGIN).select("a", "b") for g in (last, graph)]
         if linked[1].join(linked[0], ["a", "b"], "left_anti").count() <= SETTLED * linked[1].count():
             return graph
@@ -267,7 +272,7 @@ def _widened(graph: DataFrame, narrow: DataFrame, groups: int, workspace: Worksp
         (before,), (after, widest) = graph.agg(F.sum("room")).head(), wide.agg(F.sum("room"), F.max("room")).head()
         if before == after:
             return graph
-        graph = _settled(wide, narrow, PARTNERS * widest // LIST, groups, workspace)
+        graph = workspace.store(_refined(wide, narrow, PARTNERS * widest // LIST, groups, True), "graph")
 
 
 def _collapse(units: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -397,7 +402,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
         narrow = singles.mapInArrow(_singles, "u long, unit binary")
         groups = arrays.spread(singles, 8 << 20) * 4
         held = {"block_links": _links(graph).count()}
-        graph = _settled(graph, narrow, PARTNERS, groups, workspace)
+        graph = _settled(graph, narrow, groups, workspace)
         held["joined_links"] = _links(graph).count()
         graph = _widened(graph, narrow, groups, workspace)
         held["widened_links"] = _links(graph).count()
