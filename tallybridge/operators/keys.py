@@ -38,7 +38,7 @@ RANGE_BYTES = 1024 * 1024 * 1024
 # The range sort samples 100 sort keys per range, up to three times over, on the driver:
 # MAX_SAMPLE_BYTES bounds the sample of one sort by the measured width of the sort keys.
 # Where it allows fewer ranges than there should be, each of them is split again.
-MAX_SAMPLE_BYTES = 512 * 1024 * 1024
+MAX_SAMPLE_BYTES = 128 * 1024 * 1024
 SAMPLES_PER_RANGE = 300
 
 

@@ -236,6 +236,12 @@ def test_range_sample_is_bounded(width):
     assert range_count(HOT_KEY_ROWS, 1_000_000, width) == 2
 
 
+def test_the_sample_of_a_large_sort_of_texts_stays_small():
+    """Six million texts of 2.7 KB, for which the cluster would rather have 600 tasks."""
+    ranges = range_count(6_200_000, 400_000, 2_700, fewest=600)
+    assert 16 <= ranges <= 600 and ranges * SAMPLES_PER_RANGE * 2_700 <= 200_000_000
+
+
 @pytest.mark.parametrize("sample", [2, 3, 5])
 def test_ranges_are_split_until_they_hold_few_rows(spark, tmp_path, monkeypatch, sample):
     """Sort keys so wide that one sort may have only a few ranges."""
