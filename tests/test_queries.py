@@ -14,6 +14,19 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_parts_of_a_publication_grow_with_the_table(spark, tmp_path):
+    lines = spark.range(3_000).selectExpr("id AS l_orderkey", "CAST(id % 7 AS INT) AS l_linenumber")
+    lines.repartition(12).write.parquet(str(tmp_path / "lineitem.parquet"))
+    # One task for every file.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        published = QUERIES["q39_published_dataset"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(published.inputFiles()) >= 12
+    assert sorted(published.collect()) == sorted(lines.collect())
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf_dir, duckdb_tables, name):
     result = QUERIES[name](spark, sf_dir)
