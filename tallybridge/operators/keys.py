@@ -32,6 +32,8 @@ HOT_KEY_ROWS = 250_000
 BROADCAST_KEYS = 65_536
 # Starting numbers of ranges, by their number and the mean width of the sort keys.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows per task of a shuffle by key.
+ROWS_PER_TASK = 500_000
 # Rows per range of a hot key, and bytes of their sort keys by the mean width of those.
 ROWS_PER_RANGE = 1_000_000
 RANGE_BYTES = 1024 * 1024 * 1024
@@ -53,6 +55,10 @@ class KeyProfile:
     hot_hashes: tuple[int, ...] = field(default=(), repr=False)
     hot_rows: int = 0
 
+    @property
+    def ordinary_rows(self) -> int:
+        return self.source_rows + self.target_rows - self.hot_rows
+
     @property
     def source_unique(self) -> bool:
         return self.source_largest <= 1
@@ -204,16 +210,31 @@ def _to(value: str, dtype: T.DataType, wanted: str) -> str:
     return f"CAST({value} AS {wanted})"
 
 
-def number_ordinary(rows: DataFrame, keys: Sequence[str], order: Ordering) -> DataFrame:
+def spread(rows: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+    """``rows``, so many in total, shuffled by ``keys``.
+
+    Beyond a task's rows the number of tasks is given: Spark would merge them by their
+    compressed bytes, and of copies millions of rows take next to none.
+    """
+    if total <= ROWS_PER_TASK:
+        return query(f"SELECT * FROM {{rows}} DISTRIBUTE BY {listed(keys)}", rows=rows)
+    conf = rows.sparkSession.conf
+    usual = conf.get("spark.sql.shuffle.partitions")
+    usual = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", usual)
+    tasks = max(int(usual), ceil(total / ROWS_PER_TASK))
+    return query(f"SELECT /*+ REPARTITION({tasks}, {listed(keys)}) */ * FROM {{rows}}", rows=rows)
+
+
+def number_ordinary(rows: DataFrame, keys: Sequence[str], order: Ordering, total: int) -> DataFrame:
     """Add ``_ord`` with one shuffle on the key, which later grouping can reuse."""
     return query(
         f"""
         SELECT *, CAST(row_number() OVER (
                       PARTITION BY {listed(keys)}, _side
                       ORDER BY {listed(order.columns) or "_side"}) AS BIGINT) AS _ord
-        FROM (SELECT * FROM {{rows}} DISTRIBUTE BY {listed(keys)})
+        FROM {{rows}}
         """,
-        rows=rows,
+        rows=spread(rows, keys, total),
     )
 
 
@@ -359,7 +380,7 @@ def key_ordinals(
     order = ordering([[(inner[name], types[name])] for name in values])
     profile = profile_keys(rows, matched_on, hot_key_rows)
     ordinary, hot = split_hot(rows, matched_on, profile)
-    numbered = number_ordinary(ordinary, matched_on, order)
+    numbered = number_ordinary(ordinary, matched_on, order, profile.ordinary_rows)
     if hot is not None:
         workspace = workspace or Workspace(df.sparkSession)
         key_types = [types[name] for name in names]

@@ -23,6 +23,7 @@ from tallybridge.operators.keys import (
     ordering,
     profile_keys,
     split_hot,
+    spread,
 )
 from tallybridge.operators.schema import Layout, key_value
 from tallybridge.workspace import Workspace
@@ -149,11 +150,13 @@ def classify_duplicates(
         + [[(names_t[n], layout.target[n])] for n in layout.target_only]
     )
     ordinary, hot = split_hot(_stack(source, target, layout), keys, key_profile)
-    classified = _fold(number_ordinary(ordinary, keys, order), layout)
+    numbered = number_ordinary(ordinary, keys, order, key_profile.ordinary_rows)
+    classified = _fold(numbered, layout)
     if hot is not None:
         numbered = number_hot(
             hot, keys, layout.key_types, order, workspace, key_profile, rows_per_range
         )
+        numbered = spread(numbered, [*keys, "_ord"], key_profile.hot_rows)
         classified = classified.unionByName(_fold(numbered, layout))
     return classified
 

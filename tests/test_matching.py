@@ -242,6 +242,20 @@ def test_the_sample_of_a_large_sort_of_texts_stays_small():
     assert 16 <= ranges <= 600 and ranges * SAMPLES_PER_RANGE * 2_700 <= 200_000_000
 
 
+@pytest.mark.parametrize("hot_key_rows", [100, 10**6])
+def test_tasks_hold_few_rows_however_well_copies_compress(spark, monkeypatch, hot_key_rows):
+    monkeypatch.setattr(keys_module, "ROWS_PER_TASK", 400)
+    # Copies of one key if it is hot, two copies of every key if none is.
+    key = "0L" if hot_key_rows == 100 else "id DIV 2"
+    rows = spark.range(8_000).selectExpr(f"{key} AS k", "'copy' AS flag")
+    rec = reconcile(rows, rows, ["k"], hot_key_rows=hot_key_rows)
+    assert bool(rec.key_profile.hot_hashes) == (hot_key_rows == 100)
+    status = rec.row_status().selectExpr("status", "spark_partition_id() AS task")
+    held = status.groupBy("task").count().collect()
+    assert sum(n for _, n in held) == 8_000 and max(n for _, n in held) <= 800
+    assert {r["status"] for r in status.select("status").distinct().collect()} == {"matched"}
+
+
 @pytest.mark.parametrize("sample", [2, 3, 5])
 def test_ranges_are_split_until_they_hold_few_rows(spark, tmp_path, monkeypatch, sample):
     """Sort keys so wide that one sort may have only a few ranges."""
