@@ -8,7 +8,7 @@ because a NULL key is a legal key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from tallybridge.functions.nested import sql_type
 from tallybridge.functions.sqltext import both, ident, listed, query
@@ -28,6 +28,17 @@ from tallybridge.operators.keys import (
 from tallybridge.operators.schema import Layout, key_value
 from tallybridge.workspace import Workspace
 
+# Types whose equal values are the same value.
+_EXACT = (
+    T.IntegralType,
+    T.DecimalType,
+    T.BooleanType,
+    T.DateType,
+    T.TimestampType,
+    T.TimestampNTZType,
+    T.BinaryType,
+)
+
 
 def key_names(layout: Layout) -> list[str]:
     return [f"_k{i}" for i in range(len(layout.keys))]
@@ -221,6 +232,43 @@ def _fold(numbered: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
+def _once(layout: Layout) -> dict[str, str]:
+    """When the target's value, by its name, is the very value of the source."""
+    names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
+    conditions = {}
+    for name in _common(layout):
+        dtype, s, t = layout.source[name], names_s[name], names_t[name]
+        if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
+            # 0.0 equals -0.0.
+            conditions[t] = f"{s} <=> {t} AND coalesce({s} != 0, true)"
+        elif isinstance(dtype, _EXACT) or dtype == T.StringType():
+            conditions[t] = f"{s} <=> {t}"
+    return conditions
+
+
+def kept_once(classified: DataFrame, layout: Layout) -> DataFrame:
+    """Classified rows without the target values that are the source's, ``_same_t0..`` flags instead."""
+    same = _once(layout)
+    shown = [
+        f"IF({same[c]}, NULL, {c}) AS {c}" if c in same else c for c in classified.columns
+    ]
+    shown += [f"({condition}) AS _same{t}" for t, condition in same.items()]
+    return query(f"SELECT {listed(shown)} FROM {{rows}}", rows=classified)
+
+
+def kept_twice(stored: DataFrame, layout: Layout) -> DataFrame:
+    """The rows that ``kept_once`` was given."""
+    names_s, names_t = value_names(layout, SOURCE), value_names(layout, TARGET)
+    source_of = {names_t[name]: names_s[name] for name in _common(layout)}
+    same = _once(layout)
+    shown = [
+        f"IF(_same{c}, {source_of[c]}, {c}) AS {c}" if c in same else c
+        for c in stored.columns
+        if not c.startswith("_same")
+    ]
+    return query(f"SELECT {listed(shown)} FROM {{rows}}", rows=stored)
+
+
 def only_in(source: DataFrame, target: DataFrame, layout: Layout, side: int) -> DataFrame:
     """Rows of one side whose key the other lacks; for keys that never repeat.
 

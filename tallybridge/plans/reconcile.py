@@ -109,7 +109,8 @@ class Reconciliation:
         """Write the classified rows once, so that several outputs can share them.
 
         The table is partitioned by status: one-sided outputs do not read the
-        matched rows, and the other way round. Row and column measures are observed
+        matched rows, and the other way round. A target value that is the source's too is
+        kept once. Row and column measures are observed
         while the rows are written, so they need no scan of their own.
         """
         if self._stored:
@@ -122,8 +123,10 @@ class Reconciliation:
         seen = Observation()
         labelled = query(f"SELECT *, {stats.STATUS} AS _status FROM {{rows}}", rows=self.classified)
         watched = labelled.observe(seen, *map(expr, wanted))
-        table = self.workspace.store(watched, "classified", "_status")
-        return replace(self, classified=table, _stored=True)._measured(seen.get)
+        table = self.workspace.store(
+            match.kept_once(watched, self.layout), "classified", "_status", codec="zstd"
+        )
+        return replace(self, classified=match.kept_twice(table, self.layout), _stored=True)._measured(seen.get)
 
     def _measured(self, measures: dict[str, object]) -> Reconciliation:
         """Keep the measures that were observed while the rows were written: one row."""

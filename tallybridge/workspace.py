@@ -43,12 +43,16 @@ class Workspace:
         """A path that nothing has been written to."""
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def store(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def store(
+        self, df: DataFrame, name: str, partition_by: str | None = None, codec: str | None = None
+    ) -> DataFrame:
         """Write ``df`` once and continue from the files."""
         path = self.place(name)
         writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
+        if codec:
+            writer = writer.option("compression", codec)
         writer.parquet(path)
         return self.read(path, df)
 

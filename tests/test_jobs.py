@@ -7,6 +7,7 @@ import glob
 import json
 import os
 import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,46 @@ def test_lookups_in_a_broken_ledger_answer_with_a_state(spark, tmp_path):
     assert ledger.result("j") == {"job_id": "j", "result": {}}
 
 
+def test_equal_values_are_stored_once(spark, tmp_path):
+    source = spark.range(4_000).selectExpr("id", *[f"sha2(CAST(id + {i} AS STRING), 256) AS c{i}" for i in range(4)])
+    target = source.where("id % 50 <> 0").withColumn("c1", F.expr("IF(id % 7 = 0, NULL, c1)"))
+    source.write.parquet(str(tmp_path / "side"))
+    kept = reconcile(source, target, ["id"]).stored()
+    sizes = [
+        sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+        for df in (kept.classified, spark.read.parquet(str(tmp_path / "side")))
+    ]
+    assert sizes[0] < 1.5 * sizes[1]
+    lazy = reconcile(source, target, ["id"])
+    for name in ("matched_rows", "source_only_rows", "target_only_rows", "row_status", "column_stats"):
+        found, expected = getattr(kept, name)().collect(), getattr(lazy, name)().collect()
+        assert sorted(map(repr, found)) == sorted(map(repr, expected))
+    kept.close()
+
+
+def test_stored_values_come_back_as_they_were(spark):
+    ddl = "k int, f float, d double, n decimal(5,2), t string, b binary, a array<int>, x int"
+    left = [
+        (1, 0.0, -0.0, Decimal("1.10"), "a", b"a", [1], 1),
+        (2, float("nan"), None, None, None, None, None, None),
+        (3, 1.5, 2.5, Decimal("2.00"), "", b"", [], 3),
+        (4, 1.5, 2.5, None, "x", b"x", [None], None),
+    ]
+    right = [
+        (1, -0.0, 0.0, Decimal("1.10"), "A", b"b", [1], 2),
+        (2, float("nan"), 0.0, None, None, None, None, None),
+        (3, 1.5, None, Decimal("2.00"), "", b"", None, 3),
+        (5, 0.0, None, None, None, None, None, 7),
+    ]
+    a, b = spark.createDataFrame(left, ddl), spark.createDataFrame(right, ddl)
+    lazy, kept = reconcile(a, b, ["k"]), reconcile(a, b, ["k"]).stored()
+    for name in ("matched_rows", "source_only_rows", "target_only_rows", "row_status", "column_stats"):
+        found, expected = getattr(kept, name)(), getattr(lazy, name)()
+        assert found.schema.simpleString() == expected.schema.simpleString()
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    kept.close()
+
+
 def test_empty_sides_are_measured_too(spark):
     none = spark.createDataFrame([], "id long, v double, t string")
     some = spark.createDataFrame([(1, 2.0, "a")], "id long, v double, t string")
