@@ -53,6 +53,17 @@ SHARDS = (
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def _pick(flat: np.ndarray, begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` that begin there and are so wide, one after the other."""
+    if not widths.all():
+        begins, widths = begins[widths > 0], widths[widths > 0]
+    at = np.cumsum(widths, dtype=np.int64)
+    index = np.ones(int(at[-1]) if len(at) else 0, np.int64)
+    index[:1] = begins[:1]
+    index[at[:-1]] = begins[1:] - begins[:-1] - widths[:-1] + 1
+    return flat[np.cumsum(index, out=index)]
+
+
 class Grammar:
     """Rules, what each expands to in length, and the start symbols."""
 
@@ -66,8 +77,16 @@ class Grammar:
         return np.where(rule < 0, 1, self.spans[np.maximum(rule, 0)].astype(np.int64))
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that the symbols stand for; expansion lengths say where each one goes."""
-        symbols = symbols.astype(np.int64)
+        """The ids that the symbols stand for: every distinct symbol is expanded once."""
+        used = np.zeros(self.vocabulary + len(self.rules), bool)
+        used[symbols] = True
+        distinct = np.flatnonzero(used)
+        sizes = self.sizes(distinct)
+        number = (np.cumsum(used) - 1)[symbols]
+        return _pick(self._expand(distinct), (np.cumsum(sizes) - sizes)[number], sizes[number])
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Expansion lengths say where each id goes."""
         sizes = self.sizes(symbols)
         at = np.cumsum(sizes) - sizes
         out = np.empty(int(sizes.sum()), np.uint32)
@@ -95,7 +114,7 @@ def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
     until no pair occurs ``LEAST_COUNT`` times. Only places whose pair can still be frequent
     are looked at again: the count of a pair can't grow, and new pairs hold a new symbol.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.int32)
     live = np.ones(len(symbols), bool)
     live[-1:] = False
     rules: list[np.ndarray] = []
@@ -104,13 +123,19 @@ def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
         at = np.flatnonzero(live)
         if len(at) < LEAST_COUNT:
             break
-        codes = symbols[at] << 32 | symbols[at + 1]
+        codes = symbols[at].astype(np.int64)
+        codes <<= 32
+        codes |= symbols[at + 1]
         # In a run of one symbol every other pair overlaps the one before it.
-        follows = np.zeros(len(at), bool)
-        follows[1:] = (codes[1:] == codes[:-1]) & (at[1:] == at[:-1] + 1)
-        if follows.any():
-            place = np.arange(len(at))
-            alone = (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
+        follows = np.flatnonzero(codes[1:] == codes[:-1]) + 1
+        follows = follows[at[follows] == at[follows - 1] + 1]
+        if len(follows):
+            place = np.arange(len(follows))
+            begins = np.ones(len(follows), bool)
+            begins[1:] = follows[1:] != follows[:-1] + 1
+            odd = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+            alone = np.ones(len(at), bool)
+            alone[follows[odd]] = False
             at, codes = at[alone], codes[alone]
         number, distinct = pd.factorize(codes)
         counts = np.bincount(number)
@@ -131,12 +156,12 @@ def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
         wins[1:] &= ~near | (rank[1:] < rank[:-1])
         wins[:-1] &= ~near | (rank[:-1] < rank[1:])
         taken = np.bincount(rank[wins], minlength=len(chosen))
-        wins &= taken[rank] >= LEAST_COUNT  # the most frequent pair takes all its places
+        repays = taken >= LEAST_COUNT  # the most frequent pair takes all its places
+        wins &= repays[rank]
         at, rank = at[wins], rank[wins]
-        used, new = np.unique(rank, return_inverse=True)
-        pairs = distinct[chosen[used]]
+        pairs = distinct[chosen[repays]]
         pairs = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)
-        symbols[at] = len(known) + new
+        symbols[at] = len(known) - 1 + np.cumsum(repays)[rank]
         known = np.concatenate([known, known[pairs[:, 0]] + known[pairs[:, 1]]])
         rules.append(pairs)
         live[at] = True
@@ -171,18 +196,89 @@ def _special(file: bytes) -> tuple[bytes, ...]:
     return tuple(token.content.encode() for token in added)
 
 
-# Ids of pre-tokens that a worker has met, by hash.
-_memo: dict[bytes, np.ndarray] = {}
-MEMO_ENTRIES = 300_000
+class Memo:
+    """Ids of the pre-tokens that a worker has met, by their 64-bit hashes in ascending order.
+
+    Flat arrays take far less than as many lists of ids. Beyond ``MEMO_IDS`` ids it
+    begins anew with the last batch's pre-tokens, without those of more than ``MEMO_WIDTH`` ids.
+    """
+
+    def __init__(self) -> None:
+        self.keys, self.begins = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.widths, self.ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the ascending keys stands or belongs, and whether it is there."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        return at, known
+
+    def add(self, at: np.ndarray, keys: np.ndarray, widths: np.ndarray, ids: np.ndarray) -> None:
+        self.keys = np.insert(self.keys, at, keys)
+        self.begins = np.insert(self.begins, at, len(self.ids) + np.cumsum(widths) - widths)
+        self.widths = np.insert(self.widths, at, widths)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def bound(self, at: np.ndarray) -> None:
+        if len(self.ids) > MEMO_IDS:
+            at = at[self.widths[at] <= MEMO_WIDTH]
+            ids = _pick(self.ids, self.begins[at], self.widths[at])
+            self.keys, self.widths, self.ids = self.keys[at], self.widths[at], ids
+            self.begins = np.cumsum(self.widths, dtype=np.int64) - self.widths
+
+
+MEMO_IDS = 8_000_000
+MEMO_WIDTH = 16
+_memos: dict[bytes, Memo] = {}
+
+
+def _library_ids(file: bytes, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids the library gives each pre-token, and all those ids.
+
+    Pre-tokens go to it in lines, 500 to a text: a line feed is a pre-token by itself between
+    two that are not white space, and its id stands nowhere else then. White space, and lines
+    that don't come back one by one, go to it alone.
+    """
+    tokenizer = _tokenizer(file)
+    words = [piece.decode() for piece in pieces]
+    lines = [k for k, word in enumerate(words) if not word.isspace()]
+    alone = [k for k, word in enumerate(words) if word.isspace()]
+    widths, order, ids = np.zeros(len(words), np.int64), [], [np.zeros(0, np.uint32)]
+    feed = tokenizer.encode("\n", add_special_tokens=False).ids
+    blocks = [lines[i : i + 500] for i in range(0, len(lines), 500)]
+    for block, own in zip(blocks, _library(tokenizer, ["\n".join([words[k] for k in b]) for b in blocks])):
+        own = np.array(own, np.uint32)
+        cuts = np.flatnonzero(own == feed[0])
+        if len(feed) == 1 and len(cuts) == len(block) - 1:
+            widths[block] = np.diff(cuts, prepend=-1, append=len(own)) - 1
+            order += block
+            ids.append(own[own != feed[0]])
+        else:
+            alone += block
+    for k, own in zip(alone, _library(tokenizer, [words[k] for k in alone])):
+        widths[k] = len(own)
+        order.append(k)
+        ids.append(np.array(own, np.uint32))
+    order = np.array(order, np.int64)
+    begins = np.empty(len(words), np.int64)
+    begins[order] = np.cumsum(widths[order]) - widths[order]
+    return widths, _pick(np.concatenate(ids), begins, widths)
+
+
+def _library(tokenizer, texts: list[str]) -> Iterator[list[int]]:
+    for begin in range(0, len(texts), 40):
+        for found in tokenizer.encode_batch_fast(texts[begin : begin + 40], add_special_tokens=False):
+            yield found.ids
 
 
 def _encode(file: bytes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, an end id after each, and how many each text has.
 
-    The library encodes every distinct pre-token of the batch once: its model never
-    merges across pre-tokens. Texts that spell a special token go to it whole.
+    The library encodes every distinct pre-token once: its model never merges across
+    pre-tokens. Texts that spell a special token go to it whole.
     """
-    tokenizer = _tokenizer(file)
     blob = data.tobytes()
     n = len(offsets) - 1
     hashes, places, sizes, counts = [], [], [], np.zeros(n, np.int64)
@@ -198,38 +294,37 @@ def _encode(file: bytes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
         codes, distinct = pd.factorize(hashes)
         firsts = np.empty(len(distinct), np.int64)
         firsts[codes[::-1]] = np.arange(total - 1, -1, -1)
-        pieces = [blob[s : s + k] for s, k in zip(places[firsts].tolist(), sizes[firsts].tolist())]
-        ids: list = [_memo.get(p) for p in pieces]
-        unknown = [k for k, own in enumerate(ids) if own is None]
-        if len(_memo) + len(unknown) > MEMO_ENTRIES:
-            _memo.clear()
-        for begin in range(0, len(unknown), 20_000):
-            some = unknown[begin : begin + 20_000]
-            for k, e in zip(some, tokenizer.encode_batch_fast([pieces[k].decode() for k in some], add_special_tokens=False)):
-                ids[k] = own = e.ids
-                if len(_memo) < MEMO_ENTRIES and len(pieces[k]) <= 24:
-                    _memo[pieces[k]] = own
-        width = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(width.sum()))
-        begins = np.cumsum(width) - width
+        memo = _memos.setdefault(file, Memo())
+        order = np.argsort(distinct)
+        keys = distinct[order]
+        at, known = memo.find(keys)
+        fresh = firsts[order[~known]]
+        pieces = [blob[s : s + k] for s, k in zip(places[fresh].tolist(), sizes[fresh].tolist())]
+        memo.add(at[~known], keys[~known], *_library_ids(file, pieces))
+        at, _ = memo.find(keys)
+        own = np.empty(len(at), np.int64)
+        own[order] = at
+        width = memo.widths[own].astype(np.int64)
+        flat = _pick(memo.ids, memo.begins[own], width)
+        memo.bound(at)
     else:
-        codes, width, flat, begins = (np.zeros(0, np.int64),) * 4
+        codes, width, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     # The end id stands after each text's pre-tokens as one more piece.
-    owner = np.repeat(np.arange(n), counts)
-    slot = np.arange(total) + owner
     ends = np.cumsum(counts) + np.arange(n)
-    long = np.ones(total + n, np.int64)
-    source = np.full(total + n, len(flat), np.int64)
-    long[slot], source[slot] = width[codes], begins[codes]
-    at = np.cumsum(long) - long
-    flat = np.append(flat, END_ID).astype(np.uint32)
-    out = flat[np.repeat(source - at, long) + np.arange(int(long.sum()))]
-    lengths = np.diff(np.append(0, at[ends] + 1)) if n else np.zeros(0, np.int64)
+    inner = np.ones(total + n, bool)
+    inner[ends] = False
+    piece = np.full(total + n, len(width), np.int64)
+    piece[inner] = codes
+    width = np.append(width, 1)
+    long = width[piece]
+    out = _pick(np.append(flat, END_ID).astype(np.uint32), (np.cumsum(width) - width)[piece], long)
+    stops = np.cumsum(long)[ends]
+    lengths = np.diff(stops, prepend=0)
     whole = [k for k in range(n) if any(s in blob[offsets[k] : offsets[k + 1]] for s in _special(file))] if any(s in blob for s in _special(file)) else []
     if whole:
         texts = np.split(out, np.cumsum(lengths)[:-1])
         for k in whole:
-            own = tokenizer.encode(blob[offsets[k] : offsets[k + 1]].decode(), add_special_tokens=False).ids
+            own = _tokenizer(file).encode(blob[offsets[k] : offsets[k + 1]].decode(), add_special_tokens=False).ids
             texts[k] = np.array([*own, END_ID], np.uint32)
         out, lengths = np.concatenate(texts), np.array([len(t) for t in texts], np.int64)
     return out, lengths
@@ -306,7 +401,8 @@ def read_documents(shards: DataFrame, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the shards alone.
 
     Starts are summed over partitions first and over the shards of each then, so no task
-    sees more than a partition's shards or one number per partition.
+    sees more than a partition's shards or one number per partition. They are three numbers
+    for two million ids: sent to the shards, which then need no shuffle.
     """
     arrays.ship(shards.sparkSession)
     vocabulary = _tokenizer(read_tokenizer(path)).get_vocab_size()
@@ -319,7 +415,7 @@ def read_documents(shards: DataFrame, path: str) -> DataFrame:
         "part", "shard",
         "base + coalesce(sum(n_tokens) OVER (PARTITION BY part ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
     )
-    return shards.join(starts, ["part", "shard"]).mapInArrow(lambda b: _documents(vocabulary, b), RESULT)
+    return shards.join(F.broadcast(starts), ["part", "shard"]).mapInArrow(lambda b: _documents(vocabulary, b), RESULT)
 
 
 def token_files(docs: DataFrame, path: str) -> DataFrame:

@@ -121,6 +121,34 @@ def test_library_ids_piece_by_piece():
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_known_pretokens_are_not_encoded_again(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    file, library = repair.read_tokenizer(path), tokenizers.Tokenizer.from_file(path)
+    given = []
+    encode = repair._library
+    monkeypatch.setattr(repair, "_memos", {})
+    monkeypatch.setattr(repair, "_library", lambda t, texts: given.extend(texts) or encode(t, texts))
+
+    def check(values):
+        ids, lengths = repair._encode(file, *arrays.utf8(pa.array(values, pa.string())))
+        expected = [library.encode(v or "", add_special_tokens=False).ids + [0] for v in values]
+        assert ids.tolist() == [i for e in expected for i in e] and lengths.tolist() == [len(e) for e in expected]
+
+    # More pre-tokens than were ever kept before, and white space of all kinds around and inside.
+    many = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" * 2 + str(i) for i in range(k, k + 1000)) for k in range(0, 330_000, 1000)]
+    odd = ["a\n\nb \n c", "\n", "  ", "\u00a0x\u3000\u2028y", None, "it's \r\n''s", "\x1c\x1d z", "a" * 300]
+    check(many + odd)
+    given.clear()
+    check(odd + many[::-1])
+    assert not given
+    # Beyond its limit only the last batch's pre-tokens are kept, without the long ones.
+    monkeypatch.setattr(repair, "MEMO_IDS", 10)
+    check(odd)
+    kept = repair._memos[file]
+    assert 0 < len(kept.keys) < 30 and kept.widths.max() <= repair.MEMO_WIDTH and len(kept.ids) == kept.widths.sum()
+    check([*texts(5, 50, 60), *odd])
+
+
 def test_packed_counts_and_hashes_round_trip():
     rng = np.random.RandomState(1)
     counts = rng.randint(0, 2**32, 1000, dtype=np.uint64).astype("<u4")

@@ -126,6 +126,18 @@ def test_bpe_and_shards(docs, none):
     assert repair.token_files(none, path).count() == 0
 
 
+def test_shards_are_read_without_a_shuffle(docs):
+    # However large the files are, only their starts are sent to them.
+    spark, path = docs.sparkSession, public_tokenizers.path("byte_bpe_50k.json")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = repair.token_files(docs, path)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "rightHint=(strategy=broadcast)" in join
+
+
 def test_language_model_scores(docs, none):
     rows = [(k, words(t) + [None], k is not None and zlib.crc32(str(k).encode()) % 5 == 1) for k, t, *_ in documents()]
     counts = Counter(w for _, own, test in rows if not test for w in own)
