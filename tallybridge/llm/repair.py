@@ -123,9 +123,9 @@ def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
         at = np.flatnonzero(live)
         if len(at) < LEAST_COUNT:
             break
-        codes = symbols[at].astype(np.int64)
+        codes = symbols.take(at).astype(np.int64)
         codes <<= 32
-        codes |= symbols[at + 1]
+        codes |= symbols[1:].take(at)
         # In a run of one symbol every other pair overlaps the one before it.
         follows = np.flatnonzero(codes[1:] == codes[:-1]) + 1
         follows = follows[at[follows] == at[follows - 1] + 1]
@@ -136,13 +136,15 @@ def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
             odd = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
             alone = np.ones(len(at), bool)
             alone[follows[odd]] = False
-            at, codes = at[alone], codes[alone]
+            alone = np.flatnonzero(alone)
+            at, codes = at.take(alone), codes.take(alone)
         number, distinct = pd.factorize(codes)
         counts = np.bincount(number)
         frequent = counts >= LEAST_COUNT
-        stays = frequent[number]
-        live[at[~stays]] = False
-        at, number = at[stays], number[stays]
+        stays = frequent.take(number)
+        live[at.take(np.flatnonzero(~stays))] = False
+        stays = np.flatnonzero(stays)
+        at, number = at.take(stays), number.take(stays)
         if not len(at):
             break
         chosen = np.flatnonzero(frequent)
@@ -157,8 +159,8 @@ def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
         wins[:-1] &= ~near | (rank[:-1] < rank[1:])
         taken = np.bincount(rank[wins], minlength=len(chosen))
         repays = taken >= LEAST_COUNT  # the most frequent pair takes all its places
-        wins &= repays[rank]
-        at, rank = at[wins], rank[wins]
+        wins = np.flatnonzero(wins & repays.take(rank))
+        at, rank = at.take(wins), rank.take(wins)
         pairs = distinct[chosen[repays]]
         pairs = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)
         symbols[at] = len(known) - 1 + np.cumsum(repays)[rank]
@@ -168,7 +170,8 @@ def compress(ids: np.ndarray, vocabulary: int) -> Grammar:
         live[at[at > 0] - 1] = True
         kept = np.ones(len(symbols), bool)
         kept[at + 1] = False
-        symbols, live = symbols[kept], live[kept]
+        kept = np.flatnonzero(kept)
+        symbols, live = symbols.take(kept), live.take(kept)
         live[-1:] = False
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return Grammar(symbols.astype(np.uint32), table.astype(np.uint32), known[vocabulary:].astype(np.uint32), vocabulary)
